@@ -101,6 +101,6 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", id_col, "start"], ascending=[False, True, True], kind="stable")
         into, offset = best_fit(shard["length"].to_numpy(), window)
-        return shard.assign(sequence_id=(shard["shard"] << 32) + into, offset=offset).drop(columns="shard")
+        return shard.assign(sequence_id=shard["shard"] * (1 << 32) + into, offset=offset).drop(columns="shard")
 
-    return dealt.groupBy("shard").applyInPandas(run, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return dealt.groupBy("shard").applyInPandas(run, ", ".join(f"{c} long" for c in [*cut.columns, "sequence_id", "offset"]))
