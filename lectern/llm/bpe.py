@@ -88,27 +88,28 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        known = self.seen
+        known, rows, unseen = self.seen, [], set()
         if len(known) > CACHE_PIECES:
             known.clear()
-        unseen: set[str] = set()
-        for parts in split:
-            if parts:
-                unseen.update(parts[1:])
-        unseen = unseen.difference(known)
+        for text in texts:
+            if self.odd.search(text):
+                rows.append((None, text, None, None))
+                continue
+            head, *tail = text.split(" ")
+            found = list(map(known.get, tail))
+            gaps = [k for k, x in enumerate(found) if x is None] if None in found else []
+            unseen.update([tail[k] for k in gaps])
+            rows.append((found, head, tail, gaps))
         now = self._learn(unseen) if unseen else {}
         known.update((p, b) for p, b in now.items() if len(p) <= CACHE_CHARS)
-        long = {p: b for p, b in now.items() if len(p) > CACHE_CHARS}
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(self._raw(text))
+        for found, head, tail, gaps in rows:
+            if found is None:
+                out.append(self._raw(head))
                 continue
-            tail = parts[1:]
-            joined = b"".join(map(known.__getitem__, tail)) if not long else b"".join([known[p] if p in known else long[p] for p in tail])
-            head = self._raw(parts[0]).tobytes() if parts[0] else b""
-            out.append(np.frombuffer(head + joined, dtype=self.kind))
+            for k in gaps:
+                found[k] = now[tail[k]]
+            out.append(np.frombuffer((self._raw(head).tobytes() if head else b"") + b"".join(found), dtype=self.kind))
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
