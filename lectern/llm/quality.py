@@ -37,11 +37,11 @@ def _repeated_words(windows: Column) -> Column:
     def heavy(ordered: Column) -> Column:
         twice = F.filter(ordered, lambda x, i: F.coalesce(x["h"] == F.get(ordered, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(ordered, i + 1)["h"], F.lit(False)))
         return _let(
-            F.array_sort(F.transform(twice, lambda x: x["p"])),
+            F.sort_array(F.transform(twice, lambda x: x["p"])),
             lambda at: F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b),
         )
 
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(ordered, heavy))
 
 
@@ -64,18 +64,19 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "_windows",
         F.when(F.size("_hashes") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")),
     )
-    return step.select(
-        id_col,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("_windows")).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        "n_upper",
-        "n_marks",
-        "n_digits",
-    )
+    counts = {
+        "n_words": F.size("_words"),
+        "word_chars": F.length(F.array_join("_words", "")),
+        "n_symbols": F.col("n_symbols"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": _repeated_words(F.col("_windows")),
+        "n_lines": F.size("_lines"),
+        "n_upper": F.col("n_upper"),
+        "n_marks": F.col("n_marks"),
+        "n_digits": F.col("n_digits"),
+    }
+    # a generator of one row: filters on the counts stay above it, so that no count is worked out twice
+    return step.select(id_col, F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))))
 
 
 def base_failed() -> Column:
