@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, packing, quality
+from lectern.llm import bpe, packing, quality, secrets, urlfilter
 from lectern.llm.shared import table
 
 
@@ -27,14 +28,48 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base.kind", lambda k: k == kind)).cast("long")
+
+    counts = [count(i).alias(n) for i, n in enumerate(["n_assign", "n_access", "n_hex"])]
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+_BLOCKED = ", ".join(f"'{h}'" for h in urlfilter.BLOCKED_HOSTS)
+
+ORACLES: dict[str, str] = {
+    "op10_url_filter": f"""
+        with cut as (
+          select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        parts as (
+          select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') as path from cut),
+        ruled as (
+          select *, case
+            when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+            when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+            when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+            when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from parts),
+        listed(name) as (select unnest([{_BLOCKED}]))
+        select page_id, host, path, rule,
+               case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+                    when exists (select 1 from listed where host = name or ends_with(host, '.' || name)) then 'block' else 'allow' end as verdict
+        from ruled""",
+}
