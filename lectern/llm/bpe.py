@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces whose ids a worker remembers, and the longest piece worth remembering.
-CACHE_PIECES, CACHE_CHARS = 500_000, 48
+CACHE_PIECES, CACHE_CHARS = 900_000, 48
 
 
 def byte_table() -> dict[str, int]:
