@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, packing, quality, secrets, urlfilter
+from lectern.llm import bpe, fingerprint, packing, quality, secrets, urlfilter
 from lectern.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
+    "op9_imatch": op9_imatch,
     "op10_url_filter": op10_url_filter,
 }
 
