@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fingerprint, packing, quality, secrets, urlfilter
+from lectern.llm import bpe, fingerprint, linededup, packing, quality, secrets, urlfilter
 from lectern.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: int) -> Column:
         return F.size(F.filter("base.kind", lambda k: k == kind)).cast("long")
@@ -51,6 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_imatch": op9_imatch,
