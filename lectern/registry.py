@@ -1,4 +1,4 @@
-"""Registered queries of the library: key -> (builder, oracle SQL or None)."""
+"""Registered queries of the library: key -> builder, and oracle SQL where SQL can express the query."""
 
 from __future__ import annotations
 
@@ -6,17 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern import adapters
+
 Builder = Callable[[SparkSession, str], DataFrame]
 _BUILDERS: dict[str, Builder] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def register(key: str, builder: Builder, oracle: str | None = None) -> None:
+def register(key: str, builder: Builder, views: list[str] | None = None, oracle: str | None = None) -> None:
+    """A query built by a function; oracle is DuckDB SQL over the named views."""
     if key in _BUILDERS:
         raise ValueError(f"{key} is registered twice")
     _BUILDERS[key] = builder
     if oracle is not None:
-        _ORACLES[key] = oracle
+        _ORACLES[key] = adapters.with_views(views or [], oracle)
+
+
+def register_sql(key: str, views: list[str], body: str, duckdb: str | None = None) -> None:
+    """A query that is one Spark SQL statement over the named views; duckdb where its dialect differs."""
+    register(key, lambda spark, sf_dir: adapters.query(spark, sf_dir, views, body), views, duckdb or body)
+
+
+#: Spellings that differ between the dialects: (Spark, DuckDB), for register_dialects.
+DIALECTS = {
+    "$EXPLODE(": ("explode(", "unnest("),
+    "$SIZE(": ("size(", "len("),
+    "$ARRAY(": ("array(", "list_value("),
+    "$HAS(": ("array_contains(", "list_contains("),
+    "$OVERLAP(": ("arrays_overlap(", "list_has_any("),
+    "$SECONDS(": ("unix_seconds(timestamp ", "epoch("),
+    "$DISTINCT(": ("array_distinct(", "list_distinct("),
+    "$MATCHES(": ("regexp_like(", "regexp_matches("),
+}
+
+
+def register_dialects(key: str, views: list[str], body: str, **words: tuple[str, str]) -> None:
+    """register_sql for a text in which $WORDs stand for what the dialects spell differently; words adds further ones."""
+    texts = [body, body]
+    for name, pair in ({f"${k}": v for k, v in words.items()} | DIALECTS).items():
+        texts = [t.replace(name, p) for t, p in zip(texts, pair, strict=True)]
+    register_sql(key, views, *texts)
 
 
 def _load() -> None:
