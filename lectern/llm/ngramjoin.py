@@ -10,7 +10,8 @@ A document's set is its distinct word shingles. The steps:
    that share a bit. A dual traversal from the root drops node pairs whose greatest possible overlap is too small; leaf
    pairs that remain, and that are not in one component yet, are verified on the whole sets.
 4. Clusters of more than `CHUNK` nodes are split over tasks: trees of chunks first, then of one node from each
-   component found, and finally every node outside a cluster's largest component against all chunks of the cluster.
+   component found, and finally of the nodes in each band bucket that still holds several components (in pairs of
+   chunks, where a bucket is larger than one).
 5. Links become components by distributed star contraction.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows that share an id are one node;
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.shared import chunks, materialize, mix, shingle_sets, word_bounds, word_hashes
+from lectern.llm.shared import bit_filter, chunks, materialize, mix, shingle_sets, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 3
@@ -193,15 +194,20 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
     dealt = components(banded.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")))
     dealt = materialize(dealt.withColumnRenamed("component", "cluster"), "clusters")
     sizes = dealt.groupBy("cluster").agg(F.count("*").alias("members"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunk")
+    placed = materialize(dealt.join(sizes, "cluster").select("node", "cluster", chunk, "members"), "placed")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
-
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(dealt.select("node"), "node", "left_semi")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunk")
-    sets = texts.mapInArrow(pack, "node long, set binary").join(dealt, "node").join(sizes, "cluster")
-    sets = materialize(sets.select("cluster", chunk, "node", F.col("node").alias("group"), "members", "set"), "sets")
+        for batch in batches:
+            at = 0
+            for _, sets in _sets(iter([batch]), size):
+                part = batch.slice(at, len(sets))
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(0), part.column(0), part.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "chunk", "node", "group", "members", "set"])
+
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).where(bit_filter(placed.select(F.xxhash64("node").alias("h")), F.xxhash64(docs[id_col])))
+    sets = texts.join(placed, "node").select("node", "text", "cluster", "chunk", "members").mapInArrow(pack, "cluster long, chunk int, node long, group long, members long, set binary")
+    sets = materialize(sets, "sets")
     found = materialize(_linked(_sides(sets, 0, "chunk"), ["cluster", "chunk"], percent), "links")
     large = sets.where(F.col("members") > CHUNK)
     if large.isEmpty():
@@ -219,21 +225,13 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
     found = materialize(found.union(_linked(_sides(heads, 0, "part"), ["cluster", "part"], percent)), "links")
 
     rows = grouped()
-    counted = rows.groupBy("cluster", "group").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "group")).alias("most"), F.sum("k").alias("members"))
-    outside = rows.drop("members").join(counted, "cluster").where(F.col("group") != F.col("most.group"))
-    outside = outside.withColumn("outsiders", F.count("*").over(_by_cluster()))
-    outside = outside.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("outsiders") / CHUNK)).cast("int"))
-    parts = outside.select("cluster", "part", F.ceil(F.col("members") / CHUNK).cast("int").alias("n")).distinct()
-    left = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / CHUNK).cast("int") - 1)))
-    right = rows.join(parts.select("cluster", "part"), "cluster")
-    cross = _sides(left, 0, "part", "chunk").union(_sides(right, 1, "part", "chunk"))
-    return found.union(_linked(cross, ["cluster", "part", "chunk"], percent))
-
-
-def _by_cluster():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("cluster")
+    keyed = rows.select("node", "group").join(nodes, "node").select("node", "group", F.explode("keys").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high")
+    keyed = keyed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "key")
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = keyed.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "group", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    return found.union(_linked(keyed.join(rows.select("node", "set").dropDuplicates(["node"]), "node"), ["key", "i", "j"], percent))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that part words, as a regular expression and as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +47,19 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bits of a filter that is sent to every task.
+FILTER_BITS = 1 << 22
+
+
+def bit_filter(values: DataFrame, tested: Column) -> Column:
+    """A test that all of values (h) pass and few others: FILTER_BITS bits, whatever the number of values."""
+    words = values.select(F.pmod("h", F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits"))
+    dense = values.sparkSession.range(FILTER_BITS // 64).join(words.groupBy("word").agg(F.bit_or("bits").alias("bits")), F.col("id") == F.col("word"), "left")
+    bits = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"])).scalar()
+    bit = F.pmod(tested, F.lit(FILTER_BITS))
+    return F.getbit(F.get(bits, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+
+
 # -- words and shingles over Arrow batches ---------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20_240_607)
