@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lectern.plans import books, joins, vision  # noqa: F401
+from lectern.plans import books, joins, retrieval, text, vision  # noqa: F401

@@ -63,7 +63,7 @@ register_sql("rerank_order_changed", ["libraries"], f"with {_SCORED}, ranks as (
 register_dialects("recent_turns", ["turns"], "with placed as (select *, row_number() over (partition by conv_id order by turn desc) as place from turns) select conv_id, $ROLES as roles, count(*) as kept from placed where place <= 4 group by conv_id", ROLES=("array_join(transform(sort_array(collect_list(struct(turn, role))), x -> x.role), ',')", "string_agg(role, ',' order by turn)"))
 register_sql("list_conversations", ["turns"], "select conv_id, count(*) as messages, max(turn) as last_turn, concat('Chat ', cast(conv_id as varchar(20))) as title from turns group by conv_id order by last_turn desc, conv_id limit 20")
 register_sql("lru_trim", ["latency"], "with used as (select user_id as entry, max(ts) as accessed_at from latency group by user_id), placed as (select *, row_number() over (order by accessed_at desc, entry) as place from used where accessed_at >= timestamp '2024-01-05 00:00:00') select entry, place from placed where place <= 50")
-register_sql("cache_lookup", ["latency"], "with cached as (select distinct user_id from latency where event_id % 3 = 0), asked as (select event_id, user_id * 2 as k, ts from latency) select a.k, count(*) as lookups, count(c.user_id) as hits, round(avg(case when c.user_id is not null then 1.0 else 0.0 end), 6) as hit_rate, max(a.ts) as accessed_at from asked a left join cached c on c.user_id = a.k group by a.k")
+register_sql("cache_lookup", ["latency"], "with cached as (select distinct user_id from latency where event_id % 3 = 0), asked as (select event_id, user_id * 2 as k, ts from latency) select a.k, count(*) as lookups, count(c.user_id) as hits, round(avg(case when c.user_id is not null then 1e0 else 0e0 end), 6) as hit_rate, max(a.ts) as accessed_at from asked a left join cached c on c.user_id = a.k group by a.k")
 register_sql("context_window", ["turns"], "with last as (select conv_id, book_id, max(turn) as turn from turns group by conv_id, book_id), placed as (select *, row_number() over (partition by conv_id order by turn desc, book_id) as place from last) select conv_id, book_id, turn, place from placed where place <= 10")
 
 # -- sets and merges

@@ -1,0 +1,190 @@
+"""Text, array and hash transforms as column jobs."""
+
+from __future__ import annotations
+
+import difflib
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern import adapters
+from lectern.registry import register, register_dialects, register_sql
+
+
+def tokenize(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores of two characters or more."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: F.length(t) > 1)
+
+
+register(
+    "tokenize",
+    lambda s, d: adapters.view(s, d, "benchmark").select("item_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("tf")),
+    [],
+    r"select item_id, token, count(*) as tf from (select item_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)) as token from benchmark) group by item_id, token",
+)
+_CLEAN = ("filter(split(regexp_replace(query, '[^\\\\p{L}\\\\p{N}_]+', ' '), ' '), w -> length(w) > 1)", "list_filter(string_split(regexp_replace(query, '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda w: length(w) > 1)")
+register_sql("clean_query", ["search_queries"], f"select query_id, array_join({_CLEAN[0]}, ' ') as cleaned from search_queries", f"select query_id, array_to_string({_CLEAN[1]}, ' ') as cleaned from search_queries")
+register_dialects(
+    "normalize_title_col", ["books"],
+    "with raw as (select book_id, concat(case when book_id % 3 = 0 then 'The ' when book_id % 3 = 1 then 'A ' else '' end, title, case when book_id % 4 = 0 then ': a subtitle' when book_id % 4 = 1 then ' (Book 2)' else '!' end) as t from books) select book_id, t as title, trim($SUB(t, ' *(:.*|[(]Book [0-9]+[)])$', '')) as short_title, trim($SUB($SUB($SUB(lower(t), ':.*$', ''), '^(the|a|an) ', ''), '[^a-z0-9 ]', ''$G)) as match_title from raw",
+    SUB=("regexp_replace", "regexp_replace"), G=("", ", 'g'"),
+)
+register_sql(
+    "normalize_author_col", ["books"],
+    "with raw as (select book_id, case when book_id % 2 = 0 then concat('SMITH', cast(book_id % 9 as varchar(2)), ', JOHN') else concat('Ann Brown Jr.') end as a from books) select book_id, a as author, case when position(',' in a) > 0 then concat(trim(substring(a, position(',' in a) + 1)), ' ', substring(a, 1, position(',' in a) - 1)) else a end as swapped, trim(replace(replace(lower(a), ' jr.', ''), ',', '')) as match_author from raw",
+)
+register_sql(
+    "parse_title_author", ["books"],
+    """with raw as (select book_id, case book_id % 3 when 0 then concat(title, ' by ', author) when 1 then concat(author, ' - ', title) else title end as q from books)
+       select book_id, q as query, case when position(' by ' in q) > 0 then substring(q, 1, position(' by ' in q) - 1)
+                  when position(' - ' in q) > 0 then case when position(' - ' in q) - 1 >= length(q) - position(' - ' in q) - 2 then substring(q, 1, position(' - ' in q) - 1) else substring(q, position(' - ' in q) + 3) end else q end as title,
+              case when position(' by ' in q) > 0 then substring(q, position(' by ' in q) + 4)
+                  when position(' - ' in q) > 0 then case when position(' - ' in q) - 1 >= length(q) - position(' - ' in q) - 2 then substring(q, position(' - ' in q) + 3) else substring(q, 1, position(' - ' in q) - 1) end end as author from raw""",
+)
+register_sql("ocr_quality_tier", ["ocr_pairs"], "select sample_id, confidence, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' when confidence >= 0.3 then 'low' else 'unusable' end as tier, confidence >= 0.4 and confidence < 0.6 as retry, confidence >= 0.5 as usable from ocr_pairs")
+register_sql("calibration_stats", ["latency"], "with placed as (select event_id, least(1.0, ms / 100) as confidence, stage = 'view' or stage = 'click' as correct, row_number() over (order by event_id desc) as place from latency) select cast(floor(confidence * 10 + 0.5) as int) as bucket, count(*) as samples, round(avg(case when correct then 1e0 else 0e0 end), 6) as accuracy, round(avg(confidence), 6) as mean_confidence from placed where place <= 500 group by 1")
+register_dialects(
+    "expand_query", ["search_queries"],
+    "with synonyms as (select * from (values (1, 'the', 'def'), (2, 'th', 'abc'), (3, 'on', 'above'), (4, 'in', 'inside'), (5, 'er', 'error')) s(ord, k, term)), hits as (select q.query_id, s.ord, s.term, row_number() over (partition by q.query_id order by s.ord) as place from search_queries q join synonyms s on position(s.k in lower(q.query)) > 0) select q.query_id, concat_ws(' ', q.query, h.terms) as expanded from search_queries q left join (select query_id, $TERMS as terms from hits where place <= 3 group by query_id) h on h.query_id = q.query_id",
+    TERMS=("array_join(transform(sort_array(collect_list(struct(ord, term))), x -> x.term), ' ')", "string_agg(term, ' ' order by ord)"),
+)
+register_sql("classify_intent", ["turns"], "select conv_id, turn, case when lower(text) like '%ent %' then 'recommendation' when lower(text) like '%ion %' then 'analysis' when lower(text) like '%qu%' then 'summary' else 'default' end as intent from turns")
+register_dialects(
+    "extract_entities", ["books"],
+    "with q as (select book_id, concat('books on ', title, ' from ', cast(publication_year as varchar(8)), ' or 1999') as query from books) select book_id, $JOIN($ALL, ',') as years from q",
+    JOIN=("array_join", "array_to_string"), ALL=("regexp_extract_all(query, '\\\\b((?:19|20)[0-9]{2})\\\\b', 1)", "regexp_extract_all(query, '\\b((?:19|20)[0-9]{2})\\b', 1)"),
+)
+register_dialects(
+    "extract_citations", ["owned"],
+    "with answers as (select library_id, book_id, concat('As in [', title, ' by ', author, '] and [', upper(title), ' by ', author, '].') as answer from owned where library_id < 400), found as (select library_id, book_id, $EXPLODE($ALL) as cite from answers) select library_id, book_id, substring(cite, 1, position(' by ' in cite) - 1) as title, substring(cite, position(' by ' in cite) + 4) as author from found",
+    ALL=("regexp_extract_all(answer, '\\\\[([^\\\\[\\\\]]+ by [^\\\\[\\\\]]+)\\\\]', 1)", "regexp_extract_all(answer, '\\[([^\\[\\]]+ by [^\\[\\]]+)\\]', 1)"),
+)
+register_dialects(
+    "context_block", ["owned"],
+    "with placed as (select library_id, book_id, concat(title, ' by ', author, ' (', cast(publication_year as varchar(8)), ')') as line, row_number() over (partition by library_id order by book_id) as place from owned) select library_id, $LINES as block from placed where place <= 10 group by library_id",
+    LINES=("array_join(transform(sort_array(collect_list(struct(place, line))), x -> x.line), '; ')", "string_agg(line, '; ' order by place)"),
+)
+register_dialects("text_hash_key", [], "select doc_id, substring($SHA(concat('text:model-a:', text)$BITS), 1, 32) as cache_key, substring($SHA(text$BITS), 1, 16) as source_hash from documents", SHA=("sha2", "sha256"), BITS=(", 256", ""))
+register_sql("redact_fields", ["latency"], "select event_id, regexp_replace(props, '(\"k\": *)[0-9]+', '$1\"***\"') as props from events", "select event_id, regexp_replace(props, '(\"k\": *)[0-9]+', '\\1\"***\"', 'g') as props from events")
+register_sql("edit_distance_cols", ["ocr_pairs"], "select sample_id, levenshtein(truth, prediction) as distance, round(cast(levenshtein(truth, prediction) as double) / greatest(1, length(truth)), 6) as cer, lower(trim(truth)) = lower(trim(prediction)) as exact from ocr_pairs")
+register_sql("wer_char_approx", ["ocr_pairs"], "select sample_id, round(least(1.0, cast(levenshtein(truth, prediction) as double) / greatest(1, size(split(trim(truth), ' +')))), 6) as wer from ocr_pairs", "select sample_id, round(least(1.0, cast(levenshtein(truth, prediction) as double) / greatest(1, len(string_split_regex(trim(truth), ' +')))), 6) as wer from ocr_pairs")
+
+
+def _isbn(text: Column, wanted: str, weights: list[int], modulus: int) -> Column:
+    """First run of the wanted form whose weighted digit sum is divisible by the modulus."""
+    value = lambda c: F.when(c == "X", 10).otherwise(c.cast("int"))
+    runs = F.regexp_extract_all(F.regexp_replace(text, "[- ]", ""), F.lit(wanted), F.lit(1))
+    digits = lambda r: sum((value(F.substring(r, F.lit(i + 1), F.lit(1))) * w for i, w in enumerate(weights)), F.lit(0))
+    return F.get(F.filter(runs, lambda r: digits(r) % modulus == 0), F.lit(0))
+
+
+def extract_isbn(text: Column) -> Column:
+    """First valid ISBN-13, else the first valid ISBN-10, hyphens and spaces taken out."""
+    return F.coalesce(_isbn(text, "(?<![0-9])(97[89][0-9]{10})(?![0-9])", [1, 3] * 6 + [1], 10), _isbn(text, "(?<![0-9])([0-9]{9}[0-9X])(?![0-9X])", list(range(10, 0, -1)), 11))
+
+
+def _isbn_rows(s: SparkSession, d: str) -> DataFrame:
+    head = F.concat(F.lit("978"), F.lpad(F.col("book_id").cast("string"), 9, "0"))
+    total = sum((F.substring(head, F.lit(i + 1), F.lit(1)).cast("int") * (1 if i % 2 == 0 else 3) for i in range(12)), F.lit(0))
+    return adapters.view(s, d, "books").select("book_id", extract_isbn(F.concat(F.lit("ISBN "), head, ((10 - total % 10) % 10).cast("string"), F.lit("; x"))).alias("isbn"))
+
+
+def _check(i: int) -> str:
+    return f"{1 if i % 2 else 3} * cast(substring(h, {i}, 1) as int)"
+
+
+register("extract_isbn", _isbn_rows, ["books"], f"select book_id, concat(h, cast((10 - ({' + '.join(_check(i) for i in range(1, 13))}) % 10) % 10 as varchar)) as isbn from (select book_id, concat('978', lpad(cast(book_id as varchar), 9, '0')) as h from books)")
+
+
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of matching characters in the longest-block alignment of two strings; null counts as empty."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf("string")
+def compatible_form(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+@F.pandas_udf("double")
+def word_error_rate(truth: pd.Series, prediction: pd.Series) -> pd.Series:
+    """Word edits over truth words; 0 or 1 where the truth has none."""
+
+    def one(t: str, p: str) -> float:
+        a, b = (t or "").split(), (p or "").split()
+        if not a:
+            return float(bool(b))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1] / len(a)
+
+    return pd.Series([one(t, p) for t, p in zip(truth, prediction, strict=True)])
+
+
+def token_sort(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(F.lower(F.trim(text)), r"\s+")), " ")
+
+
+#: (pattern, replacement) of the strict corrections of scanned text, in order.
+CORRECTIONS = [(r"(?<=[A-Z])0(?=[A-Z])", "O"), (r"(?<=[a-z])1(?=[a-z])", "l"), (r"\bvv", "w"), (r"\s+", " ")]
+
+
+def normalize_scanned(text: Column) -> tuple[Column, Column]:
+    """Corrected text and the number of corrections that changed it."""
+    text, changes = compatible_form(text), F.lit(0)
+    for pattern, new in CORRECTIONS:
+        after = F.regexp_replace(text, pattern, new)
+        changes, text = changes + (after != text).cast("int"), after
+    return F.trim(text), changes
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return adapters.view(s, d, "ocr_pairs")
+
+
+def _fuzzy(s: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("truth"), F.col("prediction")
+    return _pairs(s, d).select("sample_id", F.round(sequence_ratio(a, b), 6).alias("ratio"), F.round(sequence_ratio(token_sort(a), token_sort(b)), 6).alias("token_sort_ratio"), F.when(F.contains(a, b) | F.contains(b, a), F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(0.0).alias("partial_ratio"))
+
+
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    text, changes = normalize_scanned(F.col("prediction"))
+    return _pairs(s, d).select("sample_id", text.alias("text"), changes.alias("corrections"), F.greatest(F.lit(-0.3), changes * -0.02).alias("adjustment"))
+
+
+def _confidence(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("prediction")
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    pattern = F.when(t.rlike("[0-9]"), 0.5).otherwise(1.0)
+    language = F.least(F.lit(1.0), F.length(F.regexp_replace(F.lower(t), "[^etaoinshr]", "")) / F.greatest(letters, F.lit(1)))
+    book = F.when(F.length(t) >= 10, 1.0).otherwise(0.4)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.35 * F.col("confidence") + 0.25 * pattern + 0.25 * language + 0.15 * book))
+    flags = F.array_compact(F.array(F.when(F.length(t) < 3, "very_short"), F.when(t.rlike("[0-9]"), "digits"), F.when(language < 0.5, "odd_letters")))
+    return _pairs(s, d).select("sample_id", F.round(score, 6).alias("confidence"), F.array_join(flags, ",").alias("flags"))
+
+
+register("fuzzy_ratio_cols", _fuzzy)
+register("udf_similarity", lambda s, d: _pairs(s, d).select("sample_id", sequence_ratio("truth", "prediction").alias("similarity")))
+register("normalize_ocr_text", _normalized)
+register("batch_normalize", lambda s, d: _pairs(s, d).select("sample_id", normalize_scanned(F.col("truth"))[0].alias("plain"), F.initcap(normalize_scanned(F.col("truth"))[0]).alias("title")))
+register("ocr_confidence", _confidence)
+register("word_error_rate", lambda s, d: _pairs(s, d).select("sample_id", word_error_rate("truth", "prediction").alias("wer")))
+
+
+@F.pandas_udf("array<struct<g: string, p: string>>")
+def _confusions(truth: pd.Series, prediction: pd.Series) -> pd.Series:
+    out = []
+    for t, p in zip(truth, prediction, strict=True):
+        blocks = difflib.SequenceMatcher(None, t or "", p or "", autojunk=False).get_opcodes()
+        out.append([{"g": g, "p": q} for tag, a, b, c, d in blocks if tag == "replace" for g, q in zip(t[a:b], p[c:d], strict=False)])
+    return pd.Series(out)
+
+
+register("char_confusion", lambda s, d: _pairs(s, d).select(F.explode(_confusions("truth", "prediction")).alias("x")).groupBy("x.g", "x.p").agg(F.count("*").alias("times")))
