@@ -121,8 +121,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     place = inner - np.repeat(heads, lengths)
     at = place + np.repeat(starts, lengths)
     power = _POWERS[place & 4095]
-    if int(lengths.max()) > 4096:  # longer words: the block of 4096 bytes counts too
-        power = power * mix((place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)) | np.uint64(1)
+    if int(lengths.max()) > 4096:  # in longer words the block of 4096 bytes counts too
+        block = (place >> 12).astype(np.uint64)
+        power = power * np.where(block > 0, mix(block) | np.uint64(1), np.uint64(1))
     return mix(np.add.reduceat(_BYTE[LOWER[data[at]]] * power, heads) + lengths.astype(np.uint64))
 
 
