@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import adapters
 from lectern.registry import register, register_dialects, register_sql
@@ -98,19 +99,19 @@ def _check(i: int) -> str:
 register("extract_isbn", _isbn_rows, ["books"], f"select book_id, concat(h, cast((10 - ({' + '.join(_check(i) for i in range(1, 13))}) % 10) % 10 as varchar)) as isbn from (select book_id, concat('978', lpad(cast(book_id as varchar), 9, '0')) as h from books)")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters in the longest-block alignment of two strings; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible_form(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(truth: pd.Series, prediction: pd.Series) -> pd.Series:
     """Word edits over truth words; 0 or 1 where the truth has none."""
 
@@ -178,7 +179,7 @@ register("ocr_confidence", _confidence)
 register("word_error_rate", lambda s, d: _pairs(s, d).select("sample_id", word_error_rate("truth", "prediction").alias("wer")))
 
 
-@F.pandas_udf("array<struct<g: string, p: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())])))
 def _confusions(truth: pd.Series, prediction: pd.Series) -> pd.Series:
     out = []
     for t, p in zip(truth, prediction, strict=True):
