@@ -138,3 +138,33 @@ def _metrics_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 register("vector_table_persist", _vector_round_trip, [], "select modality, count(*) as vectors from (select 'text' as modality from embeddings union all select 'visual' from embeddings) v group by modality")
 register("save_metrics_json", _metrics_round_trip, ["latency"], "select stage, count(*) as samples, max(ms) as slowest, 'run-1' as run from latency group by stage")
+
+EVAL = "query_id long, query string, category string, confidence double, candidates array<string>, relevant array<string>"
+
+
+def read_eval_queries(feed: DataFrame) -> DataFrame:
+    """(query_id, query, category, confidence, candidate, place, relevant) with the defaults of missing fields."""
+    base = feed.select("query_id", "query", F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.posexplode_outer("candidates").alias("at", "candidate"), F.coalesce("relevant", F.array().cast("array<string>")).alias("r"))
+    return base.select("query_id", "query", "category", "confidence", "candidate", (F.col("at") + 1).alias("place"), F.coalesce(F.array_contains("r", F.col("candidate")), F.lit(False)).alias("relevant"))
+
+
+def _shelves(s: SparkSession, d: str) -> DataFrame:
+    b = adapters.view(s, d, "isbn_books")
+    book = F.struct(F.when(F.col("book_id") % 2 == 0, F.col("book_id").cast("string")).alias("id"), F.coalesce("isbn_13", F.lit("none")).alias("isbn"), "title", "author", F.array(F.lit(0.0), F.lit(1.0)).alias("bbox"))
+    sample = F.struct(F.concat(F.lit("shelf"), (F.col("book_id") % 50).cast("string")).alias("image"), F.array(book).alias("books"))
+    path = _json_lines(b.select(F.to_json(F.struct(F.array(sample).alias("samples"))).alias("value")), s, "shelves")
+    rows = s.read.schema(SHELF).json(path).select(F.explode("samples").alias("s")).select("s.image", F.explode_outer("s.books").alias("b"))
+    return rows.select("image", F.coalesce("b.id", "b.isbn").alias("book_key"), F.concat_ws(" ", "b.title", "b.author").alias("expected_text"))
+
+
+def _eval_queries(s: SparkSession, d: str) -> DataFrame:
+    q = adapters.view(s, d, "books")
+    row = F.struct(F.col("book_id").alias("query_id"), F.col("title").alias("query"), F.when(F.col("book_id") % 3 == 0, F.col("author")).alias("category"), F.when(F.col("book_id") % 2 == 0, F.lit(0.5)).alias("confidence"), F.array(F.col("book_id").cast("string"), F.lit("x")).alias("candidates"), F.when(F.col("book_id") % 5 != 0, F.array(F.col("book_id").cast("string"))).alias("relevant"))
+    return read_eval_queries(s.read.schema(EVAL).json(_json_lines(q.select(F.to_json(row).alias("value")), s, "eval")))
+
+
+register("load_shelf_annotations", _shelves, ["isbn_books"], "select concat('shelf', cast(book_id % 50 as varchar)) as image, case when book_id % 2 = 0 then cast(book_id as varchar) else coalesce(isbn_13, 'none') end as book_key, concat(title, ' ', author) as expected_text from isbn_books")
+register(
+    "load_eval_queries", _eval_queries, ["books"],
+    "select book_id as query_id, title as query, case when book_id % 3 = 0 then author else 'general' end as category, case when book_id % 2 = 0 then 0.5::double else 1.0::double end as confidence, c.candidate, c.place, c.place = 1 and book_id % 5 <> 0 as relevant from books cross join lateral (select cast(book_id as varchar) as candidate, cast(1 as int) as place union all select 'x', 2) c",
+)

@@ -88,3 +88,28 @@ register("stream_token_bucket", lambda s, d: drain(limited(events(s, d))))
 register("stream_state_ttl", lambda s, d: drain(limited(events(s, d), 0.001, 1)).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked")))
 register("stream_latency", lambda s, d: keep_latest(latency_sketches(events(s, d)), ["event_type"]))
 register("stream_calibration", lambda s, d: keep_latest(events(s, d).groupBy(F.floor(F.least(F.col("value") / 10, F.lit(9))).alias("bucket")).agg(F.count("*").alias("samples"), F.avg((F.col("event_type") == "click").cast("double")).alias("accuracy")), ["bucket"]))
+
+
+def fold_context(limit: int = 50) -> Callable:
+    """Books mentioned in a conversation, in the order of first mention, at most limit of them."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        books = list(state.get[0]) if state.exists else []
+        for book in pd.concat(list(parts)).sort_values("turn")["book_id"].tolist():
+            if book not in books:
+                books.append(book)
+        books = books[:limit]
+        state.update((books,))
+        yield pd.DataFrame({"conv_id": [key[0]], "mentioned": [len(books)], "first_book": [books[0]], "last_book": [books[-1]]})
+
+    return run
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 200).alias("book_id"))
+    folded = turns.groupBy("conv_id").applyInPandasWithState(fold_context(), "conv_id long, mentioned long, first_book long, last_book long", "books array<long>", "update", GroupStateTimeout.NoTimeout)
+    return keep_latest(folded, ["conv_id"])
+
+
+register("stream_context_fold", _context, ["turns"], "select conv_id, count(distinct book_id) as mentioned, arg_min(book_id, turn) as first_book, arg_max(book_id, turn) as last_book from turns group by conv_id")
