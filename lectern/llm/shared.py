@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-lectern-", dir="/tmp")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="spark-lectern-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    """The folder that driver and executors share; a temporary one only where none is configured (tests, local mode)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
