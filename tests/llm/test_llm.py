@@ -171,6 +171,40 @@ def test_lines(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def line_partition(spark, lines):
+    """Sets of lines that stand in one component, found and by brute force."""
+    rows = table(spark, lines)
+    seen, repeated = linededup.line_components(rows)
+    found = defaultdict(set)
+    for r in seen.join(repeated, "h").collect():
+        found[r.component].add(lines[r.doc_id])
+    sets = {x: {x[k : k + 8] for k in range(len(x) - 7)} for x in lines}
+    groups = [{x} for x in sets]
+    for a in sets:
+        for b in sets:
+            if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                ga, gb = (next(g for g in groups if x in g) for x in (a, b))
+                if ga is not gb:
+                    ga |= gb
+                    groups.remove(gb)
+    return sorted(sorted(x) for x in found.values() if len(x) > 1), sorted(sorted(x) for x in groups if len(x) > 1)
+
+
+def random_lines(letters, groups, seed):
+    import random
+
+    pick = random.Random(seed)
+    heads = ["".join(pick.choices(letters, k=60)) for _ in range(groups)]
+    return [head[:at] + mark + head[at + 1 :] for head in heads for at, mark in ((0, head[0]), (0, "#"), (4, "#"), (59, "#"))]
+
+
+def test_lines_of_mixed_buckets(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "_signature", lambda line: linededup.F.array(linededup.F.lit(1).cast("long")))
+    monkeypatch.setattr(linededup, "CHUNK", 5)
+    found, wanted = line_partition(spark, random_lines("abcdefgh ", 6, 1))
+    assert len(wanted) == 6 and found == wanted
+
+
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", secrets.span_text(secrets.F.col("base")).alias("base")).collect()}
     assert rows[14].base.split(",")[0].startswith("assign:0:")
