@@ -49,6 +49,11 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of tables that nothing refers to any more."""
+    spark._jvm.System.gc()
+
+
 #: Bits of a filter that is sent to every task.
 FILTER_BITS = 1 << 22
 

@@ -205,6 +205,18 @@ def test_lines_of_mixed_buckets(spark, monkeypatch):
     assert len(wanted) == 6 and found == wanted
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "漢字仮名交文章例🙂é", "ab cd ef gh"])
+def test_signature_meets_near_copies_without_words(spark, letters):
+    found, wanted = line_partition(spark, random_lines(letters, 25, 2))
+    assert len(wanted) == 25 and found == wanted
+
+
+def test_short_equal_lines_go(spark):
+    rows = table(spark, ["a short line\n\n}", "a short line \n\n}", "a short lime"])
+    found = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(rows).collect()}
+    assert found == {0: ("a short line\n\n}", 0), 1: ("", 2), 2: ("a short lime", 0)}
+
+
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", secrets.span_text(secrets.F.col("base")).alias("base")).collect()}
     assert rows[14].base.split(",")[0].startswith("assign:0:")
