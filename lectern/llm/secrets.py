@@ -6,7 +6,7 @@ windows of `SCOPE` characters pairs parts of different classes at most that far
 become spans of their own. Spans count code points, end exclusive.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each; extra columns are
-ignored; an empty table gives no rows.
+ignored; rows without an id are told apart by their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,10 +87,15 @@ def link_parts(parts: DataFrame, id_col: str = "doc_id", scope: int = SCOPE) ->
     kinds = F.array(*[F.lit(c) for c in CLASSES])
     both = parts.where(F.size("weak") > 0).select(id_col, "digest", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     both = both.select(id_col, "digest", "s", F.element_at(kinds, F.col("s.kind") + 1).alias("class"))
-    near = both.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("s").alias("o"), F.col("class").alias("_class"), F.explode(F.sequence((F.col("s.start") / scope).cast("int") - 2, (F.col("s.end") / scope).cast("int") + 1)).alias("_window"))
-    weak = both.where(F.col("s.kind") > 2).withColumn("_window", (F.col("s.start") / scope).cast("int"))
+
+    def windows(more: int) -> Column:
+        """Windows that the part touches, and some more on each side."""
+        return F.sequence((F.col("s.start") / scope).cast("int") - more, (F.col("s.end") / scope).cast("int") + more)
+
+    near = both.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("s").alias("o"), F.col("class").alias("_class"), F.explode(windows(1)).alias("_window"))
+    weak = both.where(F.col("s.kind") > 2).withColumn("_window", F.explode(windows(0)))
     gap = F.greatest(F.col("o.start") - F.col("s.end"), F.col("s.start") - F.col("o.end"))
-    on = (F.col(id_col) == F.col("_id")) & (F.col("digest") == F.col("_digest")) & (weak["_window"] == near["_window"]) & (F.col("class") != F.col("_class")) & (gap <= scope) & (gap >= 0)
+    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (weak["_window"] == near["_window"]) & (F.col("class") != F.col("_class")) & (gap <= scope) & (gap >= 0)
     return weak.join(near, on, "left_semi").groupBy(id_col, "digest").agg(F.collect_set("s").alias("linked"))
 
 
@@ -103,8 +108,9 @@ def span_text(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """(id, digest, base, spans) of each row: the base spans and all spans."""
     parts = materialize(find_parts(docs, id_col, text_col), "parts")
-    links = link_parts(parts, id_col, scope)
-    return parts.join(links, [id_col, "digest"], "left").select(id_col, "digest", "base", F.sort_array(F.concat("base", F.coalesce("linked", F.expr("array()")))).alias("spans"))
+    links = link_parts(parts, id_col, scope).select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), "linked")
+    joined = parts.join(links, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select(id_col, "digest", "base", F.sort_array(F.concat("base", F.coalesce("linked", F.expr("array()")))).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -119,5 +125,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.when(new, F.concat(done["out"], between, F.lit(mark))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
 
     marked = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    joined = docs.join(found, (docs[id_col] == F.col("_id")) & (F.xxhash64(text) == F.col("_digest")), "left")
+    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_digest")), "left")
     return joined.select(*[F.when(F.col("_spans").isNull(), docs[c]).otherwise(marked).alias(c) if c == text_col else docs[c] for c in docs.columns])

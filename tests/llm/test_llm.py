@@ -235,6 +235,16 @@ def test_weak_parts_need_a_partner(spark):
     assert kinds == {0: set(), 1: {3, 4}, 2: set()}
 
 
+def test_long_weak_parts_and_null_ids(spark):
+    key = "Zx9Qw3Er7Ty1Ui5Op2As" * 50
+    texts = [f"{key} client_id = my-client-77", f"client_id = my-client-77 {key}", f"{key} {'filler ' * 50} client_id = my-client-77"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, t) for t in texts], "doc_id long, text string")
+    kinds = sorted((r.doc_id is None, len(r.spans)) for r in secrets.scan(rows).collect())
+    assert kinds == [(False, 0), (False, 2), (False, 2), (True, 0), (True, 2), (True, 2)]
+    clean = [r.text for r in secrets.redact(rows).collect()]
+    assert sum(key in t for t in clean) == 2 and len(clean) == 6
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, VOCAB, window=64).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
