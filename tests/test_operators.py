@@ -44,3 +44,15 @@ def test_mmr_starts_with_the_best(spark):
     rows = [(1, 10, 0.9, [1.0, 0.0]), (1, 11, 0.89, [1.0, 0.0]), (1, 12, 0.8, [0.0, 1.0])]
     frame = spark.createDataFrame(rows, "query_id long, vec_id long, score double, embedding array<double>")
     assert [r.vec_id for r in retrieval.mmr(frame, 2).orderBy("place").collect()] == [10, 12]
+
+
+@pytest.mark.parametrize("name", ["knn_lsh", "knn_ivf"])
+def test_registered_approximate_search_recalls_nine_tenths(spark, name):
+    from lectern import registry
+
+    place = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{place}/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.knn(asked, vectors).collect()}
+    near = {(r.query_id, r.vec_id) for r in registry.queries()[name](spark, place).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
