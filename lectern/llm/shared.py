@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,14 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-lectern-", dir="/tmp")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests, local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The folder that driver and executors share: the configured one, else (tests, local mode) the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +60,22 @@ def bit_filter(values: DataFrame, tested: Column) -> Column:
     return F.getbit(F.get(bits, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
+#: A key with one in so many rows is hot: its rows stay where they are, as at most so many keys are sent to every task.
+HOT_KEYS = 2000
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left joined with right by key, without hot keys meeting in one task.
+
+    right has one row a key, and in weight the number of rows of left with that key (total in all). The HOT_KEYS keys at
+    most that hold total / HOT_KEYS rows or more are sent to every task; the others are joined by hash.
+    """
+    hot = right.where(F.col(weight) >= max(16, total / HOT_KEYS)).drop(weight)
+    cold = right.where(F.col(weight) < max(16, total / HOT_KEYS)).drop(weight)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).select(*rest.columns).union(rest)
+
+
 # -- words and shingles over Arrow batches ---------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20_240_607)
@@ -104,6 +113,15 @@ def chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndar
         at = to
 
 
+def text_chunks(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """chunks(), with the keys as they are (of any type, null or not)."""
+    at = 0
+    for _, data, offsets in chunks(pa.array(np.zeros(len(keys), dtype=np.int8)), texts):
+        n = len(offsets) - 1
+        yield keys.slice(at, n), data, offsets
+        at += n
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each document the index of its first word (one more at the end)."""
     inside = ~IS_SPACE[data]

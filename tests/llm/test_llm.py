@@ -174,10 +174,11 @@ def test_lines(docs, empty):
 def line_partition(spark, lines):
     """Sets of lines that stand in one component, found and by brute force."""
     rows = table(spark, lines)
-    seen, repeated = linededup.line_components(rows)
+    seen, repeated, total = linededup.line_components(rows)
+    assert total == sum(bool(WORD.search(x)) for x in lines)
     found = defaultdict(set)
     for r in seen.join(repeated, "h").collect():
-        found[r.component].add(lines[r.doc_id])
+        found[r.component].add(lines[r.id])
     sets = {x: {x[k : k + 8] for k in range(len(x) - 7)} for x in lines}
     groups = [{x} for x in sets]
     for a in sets:
@@ -199,7 +200,9 @@ def random_lines(letters, groups, seed):
 
 
 def test_lines_of_mixed_buckets(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "_signature", lambda line: linededup.F.array(linededup.F.lit(1).cast("long")))
+    import numpy as np
+
+    monkeypatch.setattr(linededup, "band_keys", lambda hashes, counts: (np.ones(len(counts), dtype=np.uint64), np.ones(len(counts), dtype=np.int64)))
     monkeypatch.setattr(linededup, "CHUNK", 5)
     found, wanted = line_partition(spark, random_lines("abcdefgh ", 6, 1))
     assert len(wanted) == 6 and found == wanted
@@ -211,6 +214,21 @@ def test_signature_meets_near_copies_without_words(spark, letters):
     assert len(wanted) == 25 and found == wanted
 
 
+def test_awkward_lines(spark):
+    """Long lines, repeated and null ids, clashing names, one line in most rows."""
+    long = "".join(chr(97 + k * k % 23) + str(k) for k in range(20_000))
+    rows = [(1, f"{long}\nhot line", 1, 2, 3), (2, f"hot line\n#{long}", 4, 5, 6), (2, "hot line\nown line of the second", 7, 8, 9), (None, "hot line", 0, 0, 0), (None, None, 0, 0, 0)]
+    rows += [(k, "hot line", 0, 0, 0) for k in range(3, 90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, _gone int, row int")
+    out = linededup.dedup_lines(frame)
+    assert out.columns == ["doc_id", "text", "n_lines", "_gone", "row", "n_removed"]
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r._gone, r.text, r.n_removed) for r in out.collect())
+    assert found[:2] == [(-1, 0, "", 1)] * 2  # rows that share an id share removals
+    assert found[2] == (1, 2, f"{long}\nhot line", 0)
+    assert [x[2] for x in found[3:5]] == ["", "own line of the second"]
+    assert all(x[2:] == ("", 1) for x in found[5:])
+
+
 def test_short_equal_lines_go(spark):
     rows = table(spark, ["a short line\n\n}", "a short line \n\n}", "a short lime"])
     found = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(rows).collect()}
