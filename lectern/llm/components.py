@@ -15,17 +15,17 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     return attach(both.where(F.col("v") > F.col("u")), least, "u", "n", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is linked to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = attach(edges, least, "a", "n", total).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", "m")).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; edges are (a, b) of longs, a component is its smallest node.
 
-    The edges of a hub are never dealt to one task. Each round ends in a written table, so a lost executor repeats one round at most; the number of rounds grows with
+    The edges of a hub do not meet in one task. Each round ends in a written table, so a lost executor repeats one round at most; the number of rounds grows with
     the logarithm of the longest path.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(row) == before or not row[0]:
             break
         before = tuple(row)
-        after = materialize(_small_star(_large_star(edges, row[0]), row[0]), "edges")
+        after = materialize(_small_star(_large_star(edges, row[0])), "edges")
         forget(edges)
         edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

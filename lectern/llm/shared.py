@@ -60,20 +60,23 @@ def bit_filter(values: DataFrame, tested: Column) -> Column:
     return F.getbit(F.get(bits, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
-#: A key with one in so many rows is hot: its rows stay where they are, as at most so many keys are sent to every task.
-HOT_KEYS = 2000
+#: A key that holds one in so many rows is hot; there are at most so many.
+HOT_KEYS = 500
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """left joined with right by key, without hot keys meeting in one task.
 
-    right has one row a key, and in weight the number of rows of left with that key (total in all). The HOT_KEYS keys at
-    most that hold total / HOT_KEYS rows or more are sent to every task; the others are joined by hash.
+    right has one row a key, and in weight the number of rows of left with that key (total in all). Hot keys, HOT_KEYS
+    at most, are sent to every task, so their rows stay where they are; the others are joined by hash.
     """
-    hot = right.where(F.col(weight) >= max(16, total / HOT_KEYS)).drop(weight)
-    cold = right.where(F.col(weight) < max(16, total / HOT_KEYS)).drop(weight)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return left.join(F.broadcast(hot), key).select(*rest.columns).union(rest)
+    hot = [r[0] for r in right.where(F.col(weight) >= max(16, total / HOT_KEYS)).select(key).collect()]
+    right = right.drop(weight)
+    if not hot:
+        return left.join(right, key)
+    here = F.col(key).isin(hot)
+    rest = left.where(~here).join(right.where(~here), key)
+    return left.where(here).join(F.broadcast(right.where(here)), key).select(*rest.columns).union(rest)
 
 
 # -- words and shingles over Arrow batches ---------------------------------------------------------------------------
