@@ -83,7 +83,6 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
 
 _RNG = np.random.default_rng(20_240_607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 _PLACES = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -127,7 +126,7 @@ def text_chunks(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each document the index of its first word (one more at the end)."""
-    inside = ~IS_SPACE[data]
+    inside = (data != 32) & (data - np.uint8(9) > 4)
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before, after = edge[:-1].copy(), edge[1:].copy()
@@ -138,21 +137,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LETTER = _BYTE[LOWER]
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, n at least; kept for the next call."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2)), base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, A-Z taken as a-z."""
+    """64-bit hashes of words, A-Z taken as a-z: a polynomial over the bytes, from running sums over all data."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    inner = np.arange(total, dtype=np.int64)
-    heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = inner - np.repeat(heads, lengths)
-    at = place + np.repeat(starts, lengths)
-    power = _POWERS[place & 4095]
-    if int(lengths.max()) > 4096:  # in longer words the block of 4096 bytes counts too
-        block = (place >> 12).astype(np.uint64)
-        power = power * np.where(block > 0, mix(block) | np.uint64(1), np.uint64(1))
-    return mix(np.add.reduceat(_BYTE[LOWER[data[at]]] * power, heads) + lengths.astype(np.uint64))
+    power, inverse = _powers_to(len(data) + 1)
+    running = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(np.take(_LETTER, data, mode="clip") * power[: len(data)], out=running[1:])
+    return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:

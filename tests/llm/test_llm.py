@@ -138,15 +138,79 @@ def test_language_model(docs, empty):
     assert lm.score(empty, langid.held_out("doc_id", 7, 2)).count() == 0
 
 
-def test_bit_probabilities_add_up():
-    tables = lm.empty_tables()
-    import numpy as np
-
-    lm.count_bits([b"ab", b"ac", b""], np.array([3, 1, 2]), tables)
-    mixer = lm.learn_mixer(tables, [b"ab", b"ac"])
-    short = 10 ** mixer.log10_words([b"", *[bytes([k]) for k in range(256)]])
-    assert 0 < short.sum() <= 1 + 1e-9  # these tokens exclude each other
-    assert mixer.log10_words([b"ab"])[0] > mixer.log10_words([b"zz"])[0]
+def slow_log10(mixer, counts, tokens):
+    """Score of bits given as (contexts, node, bit), from counts in a dictionary; plain Python."""
+    from math import exp, log, log10
+
+    total = 0.0
+    for contexts, node, bit in tokens:
+        states = []
+        for k, c in enumerate(contexts):
+            zeros, ones = counts[k, c, node]
+            states.append(int(lm.to_states(lm.np.array([zeros]), lm.np.array([ones]))[0]))
+        gate = int(lm.KNOWN[states[-1]]) * 4 + int(lm.KNOWN[states[-2]])
+        mixed = float(mixer.weights[gate, -1]) + sum(float(lm.ODDS[s]) * float(mixer.weights[gate, k]) for k, s in enumerate(states))
+        step = min(lm.FINE - 1, max(0, int((mixed + lm.LIMIT) * lm.FINE / (2 * lm.LIMIT))))
+        at = (step + 0.5) / lm.FINE * (lm.STEPS - 1)
+        low = min(int(at), lm.STEPS - 2)
+        table = float(mixer.refine[gate, low]) * (1 - at + low) + float(mixer.refine[gate, low + 1]) * (at - low)
+        p = 0.5 / (1 + exp(-(at * 2 * lm.LIMIT / (lm.STEPS - 1) - lm.LIMIT))) + 0.5 * table
+        total += log10(min(max(p if bit else 1 - p, 1e-6), 1 - 1e-6))
+    return total
+
+
+def test_spelling_equals_plain_python():
+    np = lm.np
+    words, kinds = [b"ab", b"ac", b"ab", b"b", "é🙂".encode(), b"abcdefgh"], [1, 1, 1, 0, 2, 0]
+    sizes = (22,) * 4
+    rows = []
+    for word, kind in zip(words, kinds, strict=True):
+        data, bits = word + b" ", []
+        for k, byte in enumerate(data):
+            back = [data[k - j] if k >= j else 256 for j in range(1, 5)]
+            contexts = [(kind, *back[:2]), (kind, *back[:3]), (*back,), (kind, data[: k + 1][:-1])]
+            bits += [(contexts, (byte | 256) >> (7 - j + 1), byte >> (7 - j) & 1) for j in range(8)]
+        rows.append(bits)
+    counts = defaultdict(lambda: [0, 0])
+    for bits in rows:
+        for contexts, node, bit in bits:
+            for k, c in enumerate(contexts):
+                counts[k, c, node][bit] += 1
+    made = lm.spell(words, np.array(kinds))
+    table = lm.count_table(iter([made]), sizes)
+    mixer = lm.fresh(sizes, [lm.to_states(t[::2].astype(np.int64), t[1::2].astype(np.int64)) for t in table])
+    learner = lm.Learner(mixer)
+    learner.learn(made)
+    mixer.weights = learner.mixer.weights
+    found = mixer.log10_owners(made, len(words))
+    assert found == pytest.approx([slow_log10(mixer, counts, bits) for bits in rows], abs=1e-3)
+
+
+def test_states_forget_one_bit():
+    np = lm.np
+    for zeros in range(12):
+        for ones in range(7):
+            state = int(lm.to_states(np.array([zeros]), np.array([ones]))[0])
+            for bit, (z, o) in enumerate(((zeros - 1, ones), (zeros, ones - 1))):
+                if min(z, o) >= 0:
+                    assert lm.LESS[state, bit] == lm.to_states(np.array([z]), np.array([o]))[0]
+
+
+def test_symbol_codes_end_each_other():
+    starts, lengths, nodes, bits = lm.prefix_code([5, 1, 1, 9, 3])
+    codes = {tuple(bits[a : a + n].tolist()) for a, n in zip(starts, lengths, strict=True)}
+    assert sum(2.0 ** -len(c) for c in codes) == 1 and len(codes) == 5
+    assert not any(x != y and y[: len(x)] == x for x in codes for y in codes)
+
+
+def test_known_texts_are_likelier(spark):
+    rows = table(spark, ["the house of the king and the garden of the queen stands near the river"] * 30 + ["zqx vkw jjp uuq wxz"] + [None])
+    rows = rows.unionByName(rows.where("doc_id = 0").withColumn("doc_id", lm.F.lit(None).cast("long")))
+    found = {r.doc_id: r for r in lm.score(rows, langid.held_out("doc_id", 7, 2)).collect()}
+    assert len(found) == 33 and found[None].score == found[0].score and found[None].held_out is False
+    assert found[0].score > found[0].base_score and found[0].bits_per_byte < found[30].bits_per_byte
+    assert found[31].n_bytes == 0 and found[31].bits_per_byte is None and found[31].n_tokens == 1
+    assert found[0].total_bits == pytest.approx(-found[0].score * 3.321928)
 
 
 def test_language_ids(spark, empty):
@@ -178,7 +242,7 @@ def line_partition(spark, lines):
     assert total == sum(bool(WORD.search(x)) for x in lines)
     found = defaultdict(set)
     for r in seen.join(repeated, "h").collect():
-        found[r.component].add(lines[r.id])
+        found[r.component].add(lines[r.doc.id])
     sets = {x: {x[k : k + 8] for k in range(len(x) - 7)} for x in lines}
     groups = [{x} for x in sets]
     for a in sets:
@@ -223,7 +287,7 @@ def test_awkward_lines(spark):
     out = linededup.dedup_lines(frame)
     assert out.columns == ["doc_id", "text", "n_lines", "_gone", "row", "n_removed"]
     found = sorted((r.doc_id if r.doc_id is not None else -1, r._gone, r.text, r.n_removed) for r in out.collect())
-    assert found[:2] == [(-1, 0, "", 1)] * 2  # rows that share an id share removals
+    assert found[:2] == [(-1, 0, "", 0), (-1, 0, "", 1)]
     assert found[2] == (1, 2, f"{long}\nhot line", 0)
     assert [x[2] for x in found[3:5]] == ["", "own line of the second"]
     assert all(x[2:] == ("", 1) for x in found[5:])
