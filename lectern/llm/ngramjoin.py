@@ -10,8 +10,8 @@ A document's set is its distinct word shingles. The steps:
    that share a bit. A dual traversal from the root drops node pairs whose greatest possible overlap is too small; leaf
    pairs that remain, and that are not in one component yet, are verified on the whole sets.
 4. Clusters of more than `CHUNK` nodes are split over tasks: trees of chunks first, then of one node from each
-   component found, and finally of the nodes in each band bucket that still holds several components (in pairs of
-   chunks, where a bucket is larger than one).
+   component found. In each band bucket that still holds several components, finally, the nodes outside the largest
+   one meet chunks of all the bucket's nodes: a stranger among a million near copies costs a million comparisons.
 5. Links become components by distributed star contraction.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows that share an id are one node;
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.shared import bit_filter, chunks, materialize, mix, shingle_sets, word_bounds, word_hashes
+from lectern.llm.shared import attach, bit_filter, chunks, materialize, mix, shingle_sets, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 3
@@ -226,12 +226,16 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
 
     rows = grouped()
     keyed = rows.select("node", "group").join(nodes, "node").select("node", "group", F.explode("keys").alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high")
-    keyed = keyed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "key")
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "group", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    return found.union(_linked(keyed.join(rows.select("node", "set").dropDuplicates(["node"]), "node"), ["key", "i", "j"], percent))
+    keyed = materialize(keyed, "keyed")
+    sizes = keyed.groupBy("key", "group").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n")).where("groups > 1")
+    mixed = materialize(mixed.select("key", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), "n"), "mixed")
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keyed = attach(keyed, mixed, "key", "n", total)
+    members = keyed.select("key", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), "node", "group", F.lit(0).alias("side"))
+    strangers = keyed.where(F.col("group") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "group", F.lit(1).alias("side"))
+    both = members.union(strangers).join(rows.select("node", "set").dropDuplicates(["node"]), "node")
+    return found.union(_linked(both, ["key", "part"], percent))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -239,6 +243,6 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = materialize(sketches(docs, id_col, text_col, size), "sketches")
     same = made.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys"))
     nodes = materialize(same, "nodes")
-    merged = components(links(docs, nodes.select("node", "keys"), id_col, text_col, size, percent))
+    merged = materialize(components(links(docs, nodes.select("node", "keys"), id_col, text_col, size, percent)), "merged")
     known = nodes.select("n", "d1", "d2", "node").join(merged, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
     return made.drop("keys").join(known, ["n", "d1", "d2"], "left").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", id_col).alias("component_id"))
