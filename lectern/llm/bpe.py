@@ -2,7 +2,7 @@
 
 The `tokenizers` library does the merges. A text is cut before each space that a non-space follows; the pre-tokenizer
 cuts there as well, so the pieces can be encoded apart. Each worker keeps the ids of recent pieces, and only unseen
-pieces reach the library, many in one call.
+pieces reach the library, many in one call. Special tokens named in a text are ordinary text, unless asked for.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; columns other than the
 named two are ignored (or kept by `encode(..., keep=True)`); a document of any length is encoded whole.
@@ -38,11 +38,13 @@ def byte_table() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for one vocabulary file of the tokenizers library, held once in a Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(names)) if names else None
         chars = byte_table()
         vocab = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocab.values()) + 1)
@@ -61,13 +63,16 @@ class Codec:
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _merged(self, pretokens: set[str]) -> None:
-        """Have the library's BPE model merge pre-tokens that are not known yet, written in byte characters."""
+    def _merged(self, pretokens: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that are not known yet: the library's BPE model merges them, written in byte characters."""
         if len(self.merged) > CACHE_PIECES:
             self.merged.clear()
+        new = {}
         for p in pretokens.difference(self.merged):
             chars = p.encode().decode("latin-1").translate(self.chars)
-            self.merged[p] = self.pack([t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+            new[p] = self.pack([t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+        self.merged.update((p, b) for p, b in new.items() if len(p) <= CACHE_CHARS)
+        return new
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that each follow a space. Latin pieces are cut into pre-tokens here, others by the library."""
@@ -78,12 +83,12 @@ class Codec:
             else:
                 latin.append(p)
         cut = self.pattern.findall("".join([" " + p for p in latin]))
-        self._merged(set(cut))
+        new = self._merged(set(cut))
         merged, at = self.merged, -1
         parts: list[list[bytes]] = [[] for _ in latin]
         for c in cut:
             at += c[0] == " " and len(c) > 1
-            parts[at].append(merged[c])
+            parts[at].append(new[c] if c in new else merged[c])
         return out | {p: b"".join(x) for p, x in zip(latin, parts, strict=True)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -92,7 +97,7 @@ class Codec:
         if len(known) > CACHE_PIECES:
             known.clear()
         for text in texts:
-            if self.odd.search(text):
+            if self.odd.search(text) or (self.special and self.special.search(text)):
                 rows.append((None, text, None, None))
                 continue
             head, *tail = text.split(" ")
@@ -128,13 +133,13 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, special: bool = False) -> Codec:
+    return Codec(path, special)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col: str, docs_at_once: int = 256) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
-    """(ids of documents, texts, token ids) a few documents at a time."""
-    coder = codec(path)
+def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col: str, docs_at_once: int = 256, special: bool = False) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
+    """(ids of documents, texts, token ids) a few documents at a time; special: whether texts may name special tokens."""
+    coder = codec(path, special)
     for batch in batches:
         for at in range(0, batch.num_rows, docs_at_once):
             part = batch.slice(at, docs_at_once)

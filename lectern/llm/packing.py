@@ -3,7 +3,8 @@
 A document's ids (and an end id) are cut into full windows first; what is left over, always shorter than a window, is
 packed best-fit decreasing: longest piece first, each into the open window that it leaves the least room in. Pieces
 are dealt by a hash into shards of about `SHARD_PIECES`, and each shard is packed by itself in one task, so a hot
-source or a huge document never meets in one place; a shard wastes about one window.
+source or a huge document never meets in one place; a shard wastes about one window. Special tokens that a text names
+become their ids, as the library does by default.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed each; extra columns are ignored;
 an empty table gives no rows.
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
     """(id, start, length, ids_crc32, doc_tokens): each document's ids and end id, cut into windows and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, rows in encoded(batches, vocab, id_col, text_col):
+        for keys, _, rows in encoded(batches, vocab, id_col, text_col, special=True):
             out: list[tuple] = []
             for key, ids in zip(keys, rows, strict=True):
                 whole = np.append(ids, end_id).astype("<u4")
