@@ -3,8 +3,10 @@
 Emission features of a word are hashed affixes and byte n-grams, and the word itself as lexicon entry; transitions
 between languages are learned with them, by gradient ascent on the likelihood of a bounded sample of word sequences
 (`SAMPLE_SEQUENCES` of at most `SEQUENCE` words, chosen by hash from all training documents), half of them joined from
-two documents, so that switching inside a text is seen. Prediction labels every word by forward-backward; a text has
-the language with the largest sum of marginals, and the score is its mean marginal. Chains are cut after `CHAIN` words.
+two documents, so that switching inside a text is seen. Prediction labels every word of a text, however long, by
+forward-backward: `spans` gives the runs of words in one language, and `predict` the language with the largest sum of
+marginals, with its mean marginal as the score. All texts of a batch advance together; those of more than `BLOCK` words
+advance in blocks, whose transfer matrices carry the messages over the borders, so the marginals are those of one chain.
 
 Defined results: `und` and score 0 for a null text, a text without a letter, and where nothing could be learned;
 repeated rows are judged each; extra columns are ignored; an empty table gives no rows.
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER, WORD, chunks, mix, word_bounds, word_hashes
+from lectern.llm.shared import LOWER, WORD, hash_sample, materialize, mix, text_chunks, word_bounds, word_hashes
 
-SAMPLE_SEQUENCES, SEQUENCE, CHAIN = 6_000, 24, 256
+SAMPLE_SEQUENCES, SEQUENCE, BLOCK = 6_000, 24, 256
 #: Documents that are cut into sequences for the sample, chosen by hash.
 SAMPLE_DOCS = 4_000
 SLOTS = 1 << 18
@@ -72,29 +74,69 @@ class Model:
         return np.add.reduceat(self.weights[slots], first, axis=0)
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, opening: np.ndarray) -> np.ndarray:
-    """Marginals of chains given by their rows in scores, one chain after the other; all chains advance together."""
-    n, order = len(lengths), np.argsort(-lengths, kind="stable")
-    heads = (np.cumsum(lengths) - lengths)[order]
-    long = lengths[order]
-    p = np.exp(scores - scores.max(axis=1, keepdims=True))
-    moves = np.exp(transitions - transitions.max())
-    ahead, back = np.empty_like(p), np.ones_like(p)
-    start = np.exp(opening - opening.max())
-    for t in range(int(long[0]) if n else 0):
-        k = int(np.searchsorted(-long, -t, "left"))  # chains longer than t
+def _lockstep(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of chains by falling length, their first rows in that order, and how many are longer than t, for each t."""
+    order = np.argsort(-lengths, kind="stable")
+    longer = np.searchsorted(-lengths[order], -np.arange(int(lengths.max()) if len(lengths) else 0), "left")
+    return order, (np.cumsum(lengths) - lengths)[order], longer
+
+
+def _sweep(p: np.ndarray, lengths: np.ndarray, moves: np.ndarray, entry: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """Marginals of chains; entry is what each first row is weighed by, exits the backward message at each last row."""
+    order, heads, longer = _lockstep(lengths)
+    ahead, back = np.empty_like(p), np.empty_like(p)
+    for t, k in enumerate(longer.tolist()):
         at = heads[:k] + t
-        x = p[at] * (start if t == 0 else ahead[at - 1] @ moves)
+        x = p[at] * (entry[order] if t == 0 else ahead[at - 1] @ moves)
         ahead[at] = x / x.sum(axis=1, keepdims=True)
-    for t in range((int(long[0]) if n else 0) - 2, -1, -1):
-        k = int(np.searchsorted(-long, -(t + 1), "left"))
-        at = heads[:k] + t
+    back[heads + lengths[order] - 1] = exits[order]
+    for t in range(len(longer) - 2, -1, -1):
+        at = heads[: int(longer[t + 1])] + t
         x = (back[at + 1] * p[at + 1]) @ moves.T
         back[at] = x / x.sum(axis=1, keepdims=True)
     both = ahead * back
     return both / both.sum(axis=1, keepdims=True)
 
 
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Marginals of chains given by their rows in scores, one chain after the other; every chain has a row or more."""
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    moves = np.exp(transitions - transitions.max())
+    states = p.shape[1]
+    start, ones = np.exp(opening - opening.max()).astype(p.dtype), np.ones(states, dtype=p.dtype)
+    blocks = -(-lengths // BLOCK)
+    chain = np.repeat(np.arange(len(lengths)), blocks)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    sizes = np.minimum(BLOCK, lengths[chain] - number * BLOCK)
+    entry, exits = np.tile(start, (len(chain), 1)), np.tile(ones, (len(chain), 1))
+    inner = np.flatnonzero(blocks[chain] > 1)
+    if len(inner):
+        rows = np.concatenate([np.arange(a, a + n) for a, n in zip((np.cumsum(sizes) - sizes)[inner].tolist(), sizes[inner].tolist(), strict=True)])
+        q, (order, heads, longer) = p[rows], _lockstep(sizes[inner])
+        carry = np.tile(np.eye(states, dtype=p.dtype), (len(inner), 1, 1))  # carry[k] maps the message before a block to the one at its end
+        opens = number[inner][order] == 0  # nothing moves into the first row of a chain
+        for t, k in enumerate(longer.tolist()):
+            moved = carry[:k] @ moves
+            if t == 0:
+                moved[opens] = carry[opens]
+            x = moved * q[heads[:k] + t][:, None, :]
+            carry[:k] = x / x.sum(axis=(1, 2), keepdims=True)
+        transfer = np.empty_like(carry)
+        transfer[order] = carry
+        message = start
+        for k, b in enumerate(inner.tolist()):
+            if number[b]:
+                entry[b] = message @ moves
+            x = (message if number[b] else start) @ transfer[k]
+            message = x / x.sum()
+        for k in range(len(inner) - 1, 0, -1):
+            b = int(inner[k])
+            if number[b]:
+                x = transfer[k] @ exits[b]
+                exits[b - 1] = x / x.sum()
+    return _sweep(p, sizes, moves, entry, exits)
+
+
 def train(sequences: list[tuple[str, str]], seed: int = 5) -> Model | None:
     """A model from (language, words) sequences; None if there are none."""
     languages = sorted({lang for lang, _ in sequences})
@@ -151,39 +193,68 @@ def train(sequences: list[tuple[str, str]], seed: int = 5) -> Model | None:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """A bounded sample of word sequences, chosen by hash."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = rows.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
-    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    parts = rows.join(F.broadcast(chosen.distinct()), id_col).select(F.col(lang_col).alias("lang"), words.alias("w"))  # SAMPLE_DOCS bounds what is sent
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    chosen = hash_sample(rows.select("_id"), F.col("_id"), SAMPLE_DOCS).distinct()
+    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    parts = rows.join(F.broadcast(chosen), "_id").select("lang", words.alias("w"))  # SAMPLE_DOCS bounds what is sent
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(SEQUENCE))
     parts = parts.select("lang", "w", F.explode(starts).alias("at")).select("lang", F.array_join(F.slice("w", F.col("at") + 1, F.lit(SEQUENCE)), " ").alias("words"))
-    return [(r[0], r[1]) for r in parts.orderBy(F.xxhash64("words"), "words", "lang").limit(SAMPLE_SEQUENCES).collect()]
+    parts = materialize(parts, "sequences")
+    return [(r[0], r[1]) for r in hash_sample(parts, F.col("words"), SAMPLE_SEQUENCES).collect()]
 
 
-def _judge(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of word marginals by language, and the number of words with a letter, for each document."""
-    docs = len(offsets) - 1
+@dataclass
+class Judged:
+    """Words with a letter: byte starts and ends, document, and marginals."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+    marginals: np.ndarray
+
+
+def _judge(model: Model, data: np.ndarray, offsets: np.ndarray) -> Judged:
     starts, ends, first = word_bounds(data, offsets)
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    total = np.zeros((docs, len(model.languages)))
-    if not len(starts):
-        return total, np.zeros(docs)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     running = np.concatenate(([0], np.cumsum(IS_LETTER[data])))
-    has = running[ends] > running[starts]
+    has = running[ends] > running[starts] if len(starts) else np.zeros(0, dtype=bool)
     starts, ends, owner = starts[has], ends[has], owner[has]
     if not len(starts):
-        return total, np.zeros(docs)
-    hashes = word_hashes(data, starts, ends)
-    _, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        return Judged(starts, ends, owner, np.zeros((0, len(model.languages))))
+    _, one, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     scores = model.emissions(data, starts[one], ends[one])[inverse]
-    count = np.bincount(owner, minlength=docs)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    heads = np.flatnonzero(place % CHAIN == 0)
-    lengths = np.diff(np.append(heads, len(owner)))
-    marginals = forward_backward(scores, lengths, model.transitions.astype(np.float32), model.opening.astype(np.float32))
-    for c in range(len(model.languages)):
-        total[:, c] = np.bincount(owner, marginals[:, c], docs)
-    return total, count
+    count = np.bincount(owner)
+    return Judged(starts, ends, owner, forward_backward(scores, count[count > 0], model.transitions.astype(np.float32), model.opening.astype(np.float32)))
+
+
+def spans(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, lang, probability): runs of words in one language; code points, end exclusive.
+
+    A word has the language of its largest marginal, words without a letter are passed over, and the probability is the
+    mean marginal of the run. Texts without a letter have no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bounds its size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if sent.value is not None else ():
+            for ids, data, offsets in text_chunks(batch.column(0), batch.column(1)):
+                judged = _judge(sent.value, data, offsets)
+                best = judged.marginals.argmax(axis=1)
+                new = np.ones(len(best), dtype=bool)
+                new[1:] = (best[1:] != best[:-1]) | (judged.owner[1:] != judged.owner[:-1])
+                heads = np.flatnonzero(new)
+                tails = np.append(heads[1:], len(best)) - 1 if len(heads) else heads
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                owner = judged.owner[heads]
+                zero = points[offsets[:-1]][owner]
+                peak = np.add.reduceat(judged.marginals[np.arange(len(best)), best], heads) if len(heads) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner)), pa.array((points[judged.starts[heads]] - zero).astype(np.int64)), pa.array((points[judged.ends[tails]] - zero).astype(np.int64)), pa.array([sent.value.languages[k] for k in best[heads].tolist()], pa.string()), pa.array((peak / np.maximum(1, tails - heads + 1)).astype(np.float64))],
+                    names=[id_col, "start", "end", "lang", "probability"],
+                )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, end long, lang string, probability double")
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", unknown: str = "und") -> DataFrame:
@@ -193,19 +264,22 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for ids, data, offsets in chunks(batch.column(0), batch.column(1)):
-                names, scores = [unknown] * len(ids), np.zeros(len(ids))
+            for ids, data, offsets in text_chunks(batch.column(0), batch.column(1)):
+                n = len(ids)
+                names, scores = [unknown] * n, np.zeros(n)
                 if model is not None:
-                    total, count = _judge(model, data, offsets)
+                    judged = _judge(model, data, offsets)
+                    count = np.bincount(judged.owner, minlength=n)
+                    total = np.stack([np.bincount(judged.owner, judged.marginals[:, c], n) for c in range(len(model.languages))], axis=1)
                     best = total.argmax(axis=1)
                     plain = np.concatenate(([0], np.cumsum(IS_LETTER[data] & (data < 128))))
                     for k in np.flatnonzero(count > 0).tolist():
                         a, b = int(offsets[k]), int(offsets[k + 1])
                         if plain[b] > plain[a] or any(c.isalpha() for c in data[a:b].tobytes().decode("utf-8", "replace")):
                             names[k], scores[k] = model.languages[best[k]], min(1.0, total[k, best[k]] / count[k])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), from_pandas=True), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(id_col: str, parts: int, part: int):
