@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import WORD, materialize
+from lectern.llm.shared import WORD, hash_sample, materialize
 
 WINDOW = 5
 SAMPLE_ROWS = 12_000
@@ -141,7 +141,7 @@ class Cell:
 def labelled_cells(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[list[Cell], list[list[float]]]:
     """The sample as counts per combination of bins, and each feature's thresholds."""
     names = list(features())
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)
+    chosen = hash_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")), F.col("_id"), sample_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # sample_rows bounds what is sent
     stats = text_stats(sample.withColumn("_key", F.struct("_id", "_label")), "_key", "_text")
     stats = materialize(stats.where(~base_failed()).select(F.col("_key._label").alias("_label"), F.pmod(F.xxhash64("_key._id"), F.lit(3)).alias("_fold"), *[v.alias(k) for k, v in features().items()]), "labelled")

@@ -42,6 +42,13 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hash_sample(rows: DataFrame, key: Column, size: int) -> DataFrame:
+    """size rows at most, those with the least hash of key; few more than that leave the tasks."""
+    share = min(1.0, (1.2 * size + 1000) / max(1, rows.count()))
+    low = F.col("_hash") < int(share * (1 << 62))
+    return rows.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(1 << 62))).where(low).orderBy("_hash", *rows.columns).limit(size).drop("_hash")
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's cleaner remove the shuffle files of tables that nothing refers to any more."""
     spark._jvm.System.gc()

@@ -224,6 +224,32 @@ def test_language_ids(spark, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_marginals_of_long_chains():
+    np = lm.np
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 700, 3, 256, 257, 512])
+    scores, moves, opening = rng.normal(size=(int(lengths.sum()), 3)) * 2, rng.normal(size=(3, 3)), rng.normal(size=3)
+    found, at = langid.forward_backward(scores, lengths, moves, opening), 0
+    for n in lengths.tolist():
+        x = scores[at : at + n]
+        ahead, back = np.zeros((n, 3)), np.zeros((n, 3))
+        ahead[0] = opening + x[0]
+        for t in range(1, n):
+            ahead[t] = x[t] + np.logaddexp.reduce(ahead[t - 1][:, None] + moves, axis=0)
+        for t in range(n - 2, -1, -1):
+            back[t] = np.logaddexp.reduce(moves + (x[t + 1] + back[t + 1])[None], axis=1)
+        both = ahead + back
+        assert np.abs(np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None]) - found[at : at + n]).max() < 1e-9
+        at += n
+
+
+def test_language_spans(spark):
+    model = langid.train([("en", "the house and the garden of the king"), ("fr", "la maison et le jardin du roi des")] * 30)
+    rows = table(spark, ["the garden of the king 12 la maison et le jardin du roi", None, "1 2"])
+    found = [(r.doc_id, r.start, r.end, r.lang) for r in langid.spans(rows, model).orderBy("doc_id", "start").collect()]
+    assert found == [(0, 0, 22, "en"), (0, 26, 55, "fr")]
+
+
 def test_lines(docs, empty):
     found = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     assert found[1].text == "" and found[1].n_removed == 1
@@ -317,6 +343,19 @@ def test_weak_parts_need_a_partner(spark):
     assert kinds == {0: set(), 1: {3, 4}, 2: set()}
 
 
+def test_scopes_and_endpoints(spark):
+    weak, gap = "Zx9Qw3Er7Ty1Ui5Op2As", "filler " * 100
+    texts = [
+        f"value={weak} and client_id = my-client-77", f"{{ client_id: my-client-77, {gap} key: {weak} }}", f"[one]\nclient_id = my-client-77\n{gap}\n{weak}\n[two]\nx",
+        f"[one]\nclient_id = my-client-77\n{gap}\n[two]\n{weak}", f"see https://example.org/page and {weak}", f"postgres://u:p@db.example.org/x {weak}", f"endpoint: api.example.org\n{weak}",
+    ]
+    rows = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in enumerate(texts)], "doc_id long, text string, _id int, _digest int, _spans int")
+    kinds = {r.doc_id: {s.kind for s in r.spans} for r in secrets.scan(rows).collect()}
+    assert kinds == {0: {3, 4}, 1: {3, 4}, 2: {3, 4}, 3: set(), 4: set(), 5: {4, 5}, 6: {4, 5}}
+    clean = {r.doc_id: r for r in secrets.redact(rows).collect()}
+    assert clean[0].text == "value=[secret] and [secret]" and clean[4].text == texts[4] and (clean[0]._id, clean[0]._digest, clean[0]._spans) == (1, 2, 3)
+
+
 def test_long_weak_parts_and_null_ids(spark):
     key = "Zx9Qw3Er7Ty1Ui5Op2As" * 50
     texts = [f"{key} client_id = my-client-77", f"client_id = my-client-77 {key}", f"{key} {'filler ' * 50} client_id = my-client-77"]
@@ -343,6 +382,26 @@ def test_packing(docs, empty):
     assert packing.pack(empty, VOCAB).count() == 0
 
 
+def test_packed_ids(docs):
+    import struct
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCAB)
+    texts = [*TEXTS, "hello <|endoftext|> there <|endoftext|>", "a  b\n<|endoftext|>"]
+    ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    rows = packing.pack(table(docs.sparkSession, texts), VOCAB, window=32).collect()
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.length, r.doc_tokens, r.ids_crc32) == (len(part), len(ids[r.doc_id]), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for x in by_sequence.values():
+        x.sort()
+        assert [a for a, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))]
+
+
 def test_best_fit_is_as_tight_as_brute_force():
     import numpy as np
 
@@ -358,6 +417,34 @@ def test_best_fit_is_as_tight_as_brute_force():
     assert into.max() + 1 == len(windows)
 
 
+def test_likeness_of_sets(spark):
+    """Fingerprints and likeness of term sets, against sets kept by the same draw."""
+    F = lm.F
+    rows = [([f"w{k}" for k in range(40)], [f"w{k}" for k in range(6, 40)]), (["a", "b"], ["b", "a"]), (["a"], []), ([], [])]
+    frame = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    hashed = frame.select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")])
+    made = hashed.select("a", "b", *[fingerprint.fingerprint(F.sort_array(c)).alias(n) for c, n in (("a", "x"), ("b", "y"))])
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(fingerprint.SUBSETS)), lambda k: F.transform("a", lambda t: F.xxhash64(t, k)))
+    other = F.transform(F.sequence(F.lit(1), F.lit(fingerprint.SUBSETS)), lambda k: F.transform("b", lambda t: F.xxhash64(t, k)))
+    for r in made.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("got"), drawn.alias("u"), other.alias("v")).collect():
+        same = held = 0
+        for k in range(fingerprint.SUBSETS):
+            parts = 2 ** (1 + k % fingerprint.SIZES)
+            x, y = ({t for t, h in zip(terms, hashes[k], strict=True) if h % parts == 0} for terms, hashes in ((r.a, r.u), (r.b, r.v)))
+            held += bool(x or y)
+            same += bool(x) and x == y
+        assert r.got == pytest.approx(same / held if held else 0.0)
+
+
+def test_ranges_hold_outlying_ids(spark):
+    rows = spark.createDataFrame([(k, "x") for k in range(1000)] + [(-(2**63), "low"), (2**63 - 1, "high"), (None, "none")], "doc_id long, text string")
+    dealt, _ = fingerprint.in_order(rows, "doc_id", "text")
+    sizes = [r[1] for r in dealt.where("_ghost = 0").groupBy("_range").count().collect()]
+    assert sum(sizes) == 1003 and max(sizes) < 150
+    order = [r.doc_id for r in dealt.where("_ghost = 0").orderBy("_range", lm.F.col("doc_id").desc_nulls_last()).collect()]
+    assert order == [2**63 - 1, *range(999, -1, -1), -(2**63), None]
+
+
 def test_fingerprints(docs, empty):
     rows = {r.doc_id: r for r in fingerprint.compare_with_edits(docs).collect()}
     ids = sorted(rows, reverse=True)
@@ -371,6 +458,20 @@ def test_fingerprints(docs, empty):
     assert fingerprint.compare_with_edits(empty).count() == 0
 
 
+def test_long_hosts_and_long_lists(spark, monkeypatch):
+    deep = ".".join(["a"] * 500_000)
+    assert urlfilter.host_suffixes("a.b.c", 3) == ["c", "b.c"] and urlfilter.host_suffixes("a.b.c", 5) == ["c", "b.c", "a.b.c"]
+    assert len(urlfilter.host_suffixes(deep, 40)) == 20
+    urls = [f"http://{deep}.bad.example/x", "http://bad.example", "http://good.example/", "http://x.net/1", None, "http://bad.example"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    names = spark.createDataFrame([("bad.example",), ("worse.example",), ("net",)], "host string")
+    small = sorted(tuple(r) for r in urlfilter.judge(frame, blocked=names).collect())
+    monkeypatch.setattr(urlfilter, "MAX_INDEX_BYTES", 0)
+    monkeypatch.setattr(urlfilter, "SHARD_BYTES", 20)
+    assert sorted(tuple(r) for r in urlfilter.judge(frame, blocked=names).collect()) == small
+    assert [r[4] for r in small] == ["block", "block", "allow", "block", "allow", "block"]
+
+
 def test_urls(spark):
     urls = [None, "", "no-scheme/x", "http://A.Example.NET/en/1?q#f", "https://example.net/de/2", "http://x.org/fr/1", "http://x.org", "http://www.spam-farm.example.org/en/1", "ftp://a.example.com/de/z#y"]
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
