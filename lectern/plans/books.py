@@ -17,8 +17,9 @@ register_sql(
 )
 register_sql(
     "paged_list", ["books"],
-    f"""with numbered as (select book_id, title, rating, count(*) over () as total, row_number() over (order by rating desc, book_id) as place from books where {LIVE} and read_status = 'read')
-        select book_id, title, rating, total, total > 40 as has_more, place from numbered where place between 21 and 40""",
+    f"""with found as (select book_id, title, rating from books where {LIVE} and read_status = 'read'), head as (select * from found order by rating desc, book_id limit 40),
+             numbered as (select *, row_number() over (order by rating desc, book_id) as place from head)
+        select book_id, title, rating, total, total > 40 as has_more, place from numbered cross join (select count(*) as total from found) t where place between 21 and 40""",
 )
 register_sql(
     "validate_books", ["isbn_books"],
@@ -26,7 +27,7 @@ register_sql(
          select book_id,
            length(coalesce(title, '')) between 1 and 500 as ok_title, length(coalesce(author, '')) between 1 and 200 as ok_author,
            coalesce(isbn_13 rlike '^[0-9]{13}$', true) as ok_isbn_13, coalesce(isbn_10 rlike '^[0-9]{9}[0-9X]$', true) as ok_isbn_10,
-           coalesce(publication_year between 1000 and 1990, true) as ok_year, coalesce(page_count >= 1, true) as ok_pages,
+           coalesce(publication_year between 1000 and 2100, true) as ok_year, coalesce(page_count >= 1, true) as ok_pages,
            coalesce(rating between 1 and 5, true) as ok_rating, coalesce(read_status in ('unread', 'reading', 'read', 'dnf'), true) as ok_status
          from isbn_books)
        select book_id, concat_ws(',', case when not ok_title then 'title' end, case when not ok_author then 'author' end, case when not ok_isbn_13 then 'isbn_13' end,
@@ -37,7 +38,7 @@ register_sql(
          select book_id,
            length(coalesce(title, '')) between 1 and 500 as ok_title, length(coalesce(author, '')) between 1 and 200 as ok_author,
            coalesce(regexp_matches(isbn_13, '^[0-9]{13}$'), true) as ok_isbn_13, coalesce(regexp_matches(isbn_10, '^[0-9]{9}[0-9X]$'), true) as ok_isbn_10,
-           coalesce(publication_year between 1000 and 1990, true) as ok_year, coalesce(page_count >= 1, true) as ok_pages,
+           coalesce(publication_year between 1000 and 2100, true) as ok_year, coalesce(page_count >= 1, true) as ok_pages,
            coalesce(rating between 1 and 5, true) as ok_rating, coalesce(read_status in ('unread', 'reading', 'read', 'dnf'), true) as ok_status
          from isbn_books)
        select book_id, concat_ws(',', case when not ok_title then 'title' end, case when not ok_author then 'author' end, case when not ok_isbn_13 then 'isbn_13' end,

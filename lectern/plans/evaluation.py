@@ -2,7 +2,7 @@
 
 from lectern.registry import register_dialects, register_sql
 
-_ERRORS = "e as (select sample_id, category, confidence, truth, prediction, levenshtein(truth, prediction) as distance, cast(levenshtein(truth, prediction) as double) / greatest(1, length(truth)) as cer from ocr_pairs)"
+_ERRORS = "e0 as (select sample_id, category, confidence, truth, prediction, levenshtein(truth, prediction) as distance from ocr_pairs), e as (select *, cast(distance as double) / greatest(1, length(truth)) as cer from e0)"
 _MEDIAN = {"MEDIAN(": ("percentile(", "quantile_cont(")}
 register_dialects("ocr_metrics", ["ocr_pairs"], f"with {_ERRORS} select count(*) as samples, round(avg(cer), 6) as mean_cer, round($MEDIAN(cer, 0.5), 6) as median_cer, round(stddev_pop(cer), 6) as sd_cer, round(avg(distance), 6) as mean_distance, cast(sum(length(truth)) as bigint) as chars from e", **_MEDIAN)
 register_dialects("ocr_by_category", ["ocr_pairs"], f"with {_ERRORS} select sample_id % 5 as category, count(*) as samples, round(avg(cer), 4) as mean_cer, round($MEDIAN(cer, 0.5), 4) as median_cer from e group by rollup(sample_id % 5)", **_MEDIAN)

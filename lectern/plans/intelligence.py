@@ -32,40 +32,41 @@ register_dialects(
     "suggest_genres", ["books", "libraries"],
     f"with {_PRIMARY}, likes as (select k.library_id, x.parent, min(k.r) as r from ranked k join taxonomy x on x.genre = k.genre where k.r <= 3 group by k.library_id, x.parent), options as (select l.library_id, x.genre, l.r, x.ord from likes l join taxonomy x on x.parent = l.parent left join mine m on m.library_id = l.library_id and m.genre = x.genre where m.genre is null), placed as (select library_id, genre, row_number() over (partition by library_id order by r, ord) as place from options) select * from placed where place <= 5", **_JOIN,
 )
+# the best of each source, author or genre are ranked once: five more than any library owns are enough for all of them
 _UNOWNED = "not exists (select 1 from libraries z where z.library_id = {l} and z.book_id = {b})"
-_SOURCE = "source as (select library_id, min(book_id) as source_id from owned where library_id < 120 group by library_id)"
+_MOST = "most as (select max(c) as m from (select count(*) as c from libraries group by library_id) q)"
+_SOURCE = "source as (select library_id, min(book_id) as source_id from owned group by library_id)"
 register_dialects(
     "recommend_similar", ["owned"],
-    f"""with {_SOURCE}, gs as (select s.library_id, s.source_id, $EXPLODE($DISTINCT(b.genres)) as genre from source s join books b on b.book_id = s.source_id), gb as (select book_id, $EXPLODE($DISTINCT(genres)) as genre from books where not is_deleted),
-        found as (select gs.library_id, gb.book_id, count(*) as overlap from gs join gb on gb.genre = gs.genre group by gs.library_id, gb.book_id),
-        placed as (select f.*, row_number() over (partition by library_id order by overlap desc, book_id) as place from found f where {_UNOWNED.format(l='f.library_id', b='f.book_id')})
+    f"""with {_SOURCE}, {_MOST}, gs as (select s.source_id, $EXPLODE($DISTINCT(b.genres)) as genre from (select distinct source_id from source) s join books b on b.book_id = s.source_id), gb as (select book_id, $EXPLODE($DISTINCT(genres)) as genre from books where not is_deleted),
+        found as (select gs.source_id, gb.book_id, count(*) as overlap from gs join gb on gb.genre = gs.genre group by gs.source_id, gb.book_id),
+        ranked as (select *, row_number() over (partition by source_id order by overlap desc, book_id) as r from found), best as (select source_id, book_id, overlap from ranked cross join most where r <= m + 5),
+        placed as (select s.library_id, f.book_id, f.overlap, row_number() over (partition by s.library_id order by f.overlap desc, f.book_id) as place from source s join best f on f.source_id = s.source_id where {_UNOWNED.format(l='s.library_id', b='f.book_id')})
         select library_id, book_id, overlap, round(least(0.5e0 + 0.15e0 * overlap, 0.95e0), 6) as confidence, place from placed where place <= 5""",
 )
-_FAVOURITES = "liked as (select library_id, author, count(*) as n from owned where library_id < 300 group by library_id, author having count(*) >= 2)"
-register_dialects(
-    "recommend_author", ["owned"],
-    f"""with {_FAVOURITES}, placed as (select k.library_id, b.book_id, b.author, k.n, row_number() over (partition by k.library_id order by k.n desc, b.book_id) as place from liked k join books b on lower(b.author) = lower(k.author) and not b.is_deleted where {_UNOWNED.format(l='k.library_id', b='b.book_id')})
-        select library_id, book_id, author, round(least(0.6e0 + 0.1e0 * n, 0.9e0), 6) as confidence, place from placed where place <= 2""",
-)
-_TOPGENRE = "gg as (select library_id, $EXPLODE(genres) as genre from owned where library_id < 120), gc as (select library_id, genre, count(*) as n from gg group by library_id, genre), best as (select * from (select *, row_number() over (partition by library_id order by n desc, genre) as r from gc) q where r = 1)"
-register_dialects(
-    "recommend_genre", ["owned"],
-    f"""with {_TOPGENRE}, placed as (select t.library_id, b.book_id, t.genre, row_number() over (partition by t.library_id order by b.rating desc, b.book_id) as place from best t join books b on $HAS(b.genres, t.genre) and not b.is_deleted where {_UNOWNED.format(l='t.library_id', b='b.book_id')})
-        select library_id, book_id, genre, 0.7e0 as confidence, place from placed where place <= 5""",
-)
-register_dialects(
-    "recommend_explore", ["owned"],
-    f"""with {_TOPGENRE.split(', best')[0]}, rare as (select * from (select *, row_number() over (partition by library_id order by n, genre) as r from gc) q where r <= 3), placed as (select t.library_id, t.genre, b.book_id, row_number() over (partition by t.library_id, t.genre order by (b.book_id * 7919 + t.library_id) % 10007, b.book_id) as place from rare t join books b on $HAS(b.genres, t.genre) and not b.is_deleted where {_UNOWNED.format(l='t.library_id', b='b.book_id')})
-        select library_id, genre, book_id, 0.5e0 as confidence from placed where place = 1""",
-)
+_AUTHORS = f"liked as (select library_id, author, count(*) as n from owned group by library_id, author having count(*) >= 2), {_MOST}, by_name as (select lower(author) as name, author, book_id, row_number() over (partition by lower(author) order by book_id) as r from books where not is_deleted), first_books as (select name, author, book_id from by_name cross join most where r <= m + 2)"
+_BY_AUTHOR = f"by_author as (select k.library_id, b.book_id, b.author, k.n, row_number() over (partition by k.library_id order by k.n desc, b.book_id) as place from liked k join first_books b on b.name = lower(k.author) where {_UNOWNED.format(l='k.library_id', b='b.book_id')})"
+register_dialects("recommend_author", ["owned"], f"with {_AUTHORS}, {_BY_AUTHOR} select library_id, book_id, author, round(least(0.6e0 + 0.1e0 * n, 0.9e0), 6) as confidence, place from by_author where place <= 2")
+_GENRES_OF = "gg as (select library_id, $EXPLODE(genres) as genre from owned), gc as (select library_id, genre, count(*) as n from gg group by library_id, genre)"
+_TOPGENRE = f"{_GENRES_OF}, best as (select * from (select *, row_number() over (partition by library_id order by n desc, genre) as r from gc) q where r = 1)"
+_CATALOG = "catalog as (select book_id, rating, $EXPLODE($DISTINCT(genres)) as genre from books where not is_deleted), by_genre_all as (select genre, book_id, rating, row_number() over (partition by genre order by rating desc, book_id) as r from catalog), top_books as (select genre, book_id, rating from by_genre_all cross join most where r <= m + 5)"
+_BY_GENRE = f"by_genre as (select t.library_id, b.book_id, t.genre, row_number() over (partition by t.library_id order by b.rating desc, b.book_id) as place from best t join top_books b on b.genre = t.genre where {_UNOWNED.format(l='t.library_id', b='b.book_id')})"
+register_dialects("recommend_genre", ["owned"], f"with {_TOPGENRE}, {_MOST}, {_CATALOG}, {_BY_GENRE} select library_id, book_id, genre, 0.7e0 as confidence, place from by_genre where place <= 5")
+_EXPLORE = f"rare as (select * from (select *, row_number() over (partition by library_id order by n, genre) as r from gc) q where r <= 3), odd as (select genre, book_id, row_number() over (partition by genre order by (book_id * 7919) % 10007, book_id) as r from catalog), odd_books as (select genre, book_id, r from odd cross join most where r <= m + 1), by_rare as (select t.library_id, t.genre, b.book_id, row_number() over (partition by t.library_id, t.genre order by b.r) as place from rare t join odd_books b on b.genre = t.genre where {_UNOWNED.format(l='t.library_id', b='b.book_id')})"
+register_dialects("recommend_explore", ["owned"], f"with {_GENRES_OF}, {_MOST}, {_CATALOG}, {_EXPLORE} select library_id, genre, book_id, 0.5e0 as confidence from by_rare where place = 1")
+_SIMILAR = f"{_SOURCE}, gs as (select s.source_id, $EXPLODE($DISTINCT(b.genres)) as genre from (select distinct source_id from source) s join books b on b.book_id = s.source_id), shared as (select gs.source_id, c.book_id, count(*) as overlap from gs join catalog c on c.genre = gs.genre group by gs.source_id, c.book_id), alike as (select *, row_number() over (partition by source_id order by overlap desc, book_id) as r from shared), alike_books as (select source_id, book_id, overlap from alike cross join most where r <= m + 3), by_similar as (select s.library_id, f.book_id, f.overlap, row_number() over (partition by s.library_id order by f.overlap desc, f.book_id) as place from source s join alike_books f on f.source_id = s.source_id where {_UNOWNED.format(l='s.library_id', b='f.book_id')})"
 register_dialects(
     "recommend_mix", ["owned"],
-    f"""with {_FAVOURITES}, {_TOPGENRE}, by_author as (select k.library_id, b.book_id, 1 as strategy, least(0.6e0 + 0.1e0 * k.n, 0.9e0) as confidence, row_number() over (partition by k.library_id order by k.n desc, b.book_id) as place from liked k join books b on b.author = k.author and not b.is_deleted where k.library_id < 120 and {_UNOWNED.format(l='k.library_id', b='b.book_id')}),
-        by_genre as (select t.library_id, b.book_id, 2 as strategy, 0.7e0 as confidence, row_number() over (partition by t.library_id order by b.rating desc, b.book_id) as place from best t join books b on $HAS(b.genres, t.genre) and not b.is_deleted where {_UNOWNED.format(l='t.library_id', b='b.book_id')}),
-        pool as (select * from by_author where place <= 2 union all select * from by_genre where place <= 3), firsts as (select *, row_number() over (partition by library_id, book_id order by strategy, place) as copy from pool)
-        select library_id, book_id, strategy, round(confidence, 6) as confidence from firsts where copy = 1""",
+    f"""with {_AUTHORS}, {_TOPGENRE}, {_CATALOG}, {_BY_AUTHOR}, {_BY_GENRE}, {_EXPLORE}, {_SIMILAR},
+        pool as (select library_id, book_id, 1 as strategy, 0.5e0 as confidence, cast(row_number() over (partition by library_id order by genre) as int) as place from by_rare where place = 1
+                 union all select library_id, book_id, 2, least(0.5e0 + 0.15e0 * overlap, 0.95e0), cast(place as int) from by_similar where place <= 3
+                 union all select library_id, book_id, 3, least(0.6e0 + 0.1e0 * n, 0.9e0), cast(place as int) from by_author where place <= 2
+                 union all select library_id, book_id, 4, 0.7e0, cast(place as int) from by_genre where place <= 5),
+        quota as (select * from pool where strategy > 1 or place <= 1), firsts as (select *, row_number() over (partition by library_id, book_id order by strategy, place) as copy from quota),
+        sorted as (select library_id, book_id, strategy, round(confidence, 6) as confidence, row_number() over (partition by library_id order by round(confidence, 6) desc, strategy, book_id) as place from firsts where copy = 1)
+        select * from sorted where place <= 5""",
 )
-register_dialects("quick_recommend", ["books"], "with asked(pos, genre) as (select * from (values (1, 'anvil'), (2, 'gear')) v(pos, genre)), placed as (select a.pos, a.genre, b.book_id, b.title, row_number() over (order by a.pos, b.rating desc, b.book_id) as place from asked a join books b on $HAS(b.genres, a.genre) and not b.is_deleted) select * from placed where place <= 8")
+register_dialects("quick_recommend", ["books"], "with asked(pos, genre) as (select * from (values (1, 'anvil'), (2, 'gear')) v(pos, genre)), g as (select book_id, title, rating, $EXPLODE($DISTINCT(genres)) as genre from books where not is_deleted), head as (select a.pos, a.genre, g.book_id, g.title, g.rating from asked a join g on g.genre = a.genre order by a.pos, g.rating desc, g.book_id limit 8) select pos, genre, book_id, title, row_number() over (order by pos, rating desc, book_id) as place from head")
 register_dialects("genre_drilldown", ["books"], "with g as (select book_id, author, publication_year, $EXPLODE($DISTINCT(genres)) as genre from books where not is_deleted) select genre, count(*) as books, count(distinct author) as authors, count(case when publication_year < 1950 then 1 end) as early, count(case when publication_year >= 1950 then 1 end) as late from g group by genre")
 register_sql("author_drilldown", ["books"], "select author, count(*) as books, round(avg(rating), 6) as mean_rating, min(publication_year) as first_year, max(publication_year) as last_year from books where not is_deleted group by author")
 register_sql("era_pace", ["owned"], "select library_id, cast(floor(publication_year / 10) * 10 as int) as decade, count(*) as books, round(avg(page_count), 6) as pages from owned group by library_id, cast(floor(publication_year / 10) * 10 as int)")

@@ -2,7 +2,7 @@
 
 from lectern.registry import register_dialects, register_sql
 
-register_sql("enrich_join", ["books", "libraries"], "select l.library_id, l.book_id, b.title, b.author, b.publication_year from libraries l join books b on b.book_id = l.book_id where not b.is_deleted and l.library_id < 200")
+register_sql("enrich_join", ["books", "libraries"], "select l.library_id, l.book_id, b.title, b.author, b.publication_year from libraries l join books b on b.book_id = l.book_id where not b.is_deleted")
 
 
 
@@ -14,7 +14,7 @@ def _check13(x: str) -> str:
 
 register_sql(
     "isbn_match", ["isbn_books"],
-    f"""with tens as (select book_id as query_id, concat('978', substring(lpad(cast(book_id as varchar(12)), 10, '0'), 1, 9)) as head from books where book_id % 7 = 0),
+    f"""with tens as (select book_id as query_id, concat('978', substring(lpad(cast(book_id as varchar(12)), 10, '0'), 1, 9)) as head from books),
              wanted as (select query_id, concat(head, {_check13('head')}) as isbn from tens),
              heads as (select book_id, concat('978', substring(lpad(cast(book_id as varchar(12)), 10, '0'), 1, 9)) as head from isbn_books where not is_deleted),
              known as (select book_id, concat(head, {_check13('head')}) as isbn from heads)
@@ -22,11 +22,12 @@ register_sql(
 )
 register_sql(
     "duplicate_isbn_guard", ["isbn_books"],
-    """with incoming as (select book_id + 100000 as new_id, case when book_id % 2 = 0 then isbn_13 else concat('979', lpad(cast(book_id % 500 as varchar(12)), 10, '0')) end as isbn_13 from isbn_books where book_id < 1500),
-            firsts as (select *, row_number() over (partition by isbn_13 order by new_id) as place from incoming)
-       select new_id, isbn_13 from firsts f where (isbn_13 is null or place = 1) and not exists (select 1 from isbn_books b where b.isbn_13 = f.isbn_13)""",
+    """with incoming as (select book_id + 1000000000 as new_id, case when book_id % 2 = 0 then isbn_13 else concat('979', lpad(cast(book_id % 500 as varchar(12)), 10, '0')) end as isbn_13 from isbn_books),
+            firsts as (select isbn_13, min(new_id) as new_id from incoming where isbn_13 is not null group by isbn_13)
+       select new_id, isbn_13 from firsts f where not exists (select 1 from isbn_books b where b.isbn_13 = f.isbn_13)
+       union all select new_id, isbn_13 from incoming where isbn_13 is null""",
 )
-register_sql("exclude_owned", ["libraries", "books"], "select u.library_id, count(*) as unowned from (select distinct library_id from libraries where library_id < 150) u cross join (select book_id from books where not is_deleted and author = 'Brand#2') b where not exists (select 1 from libraries l where l.library_id = u.library_id and l.book_id = b.book_id) group by u.library_id")
+register_sql("exclude_owned", ["libraries", "books"], "with wanted as (select book_id from books where not is_deleted and author = 'Brand#2'), has as (select l.library_id, count(w.book_id) as n from libraries l left join wanted w on w.book_id = l.book_id group by l.library_id) select h.library_id, t.n - h.n as unowned from has h cross join (select count(*) as n from wanted) t where t.n > h.n")
 register_sql(
     "metadata_merge", ["books"],
     """with a as (select book_id, title, case when book_id % 3 = 0 then '' else author end as author, case when book_id % 4 = 0 then 0 else publication_year end as year from books where book_id % 5 <> 0),
@@ -37,7 +38,7 @@ register_sql(
 )
 register_sql(
     "citation_to_book", ["owned"],
-    """with context as (select library_id, book_id, title, author, row_number() over (partition by library_id order by book_id) as place from owned where library_id < 300),
+    """with context as (select library_id, book_id, title, author, row_number() over (partition by library_id order by book_id) as place from owned),
             cited as (select library_id as response_id, case when place % 3 = 0 then upper(title) when place % 3 = 1 then substring(title, 1, length(title) - 2) else title end as title, author from context where place <= 3),
             pairs as (select c.response_id, c.title as cited_title, k.book_id, k.place, case when lower(c.title) = lower(k.title) then 1
                         when (position(lower(c.title) in lower(k.title)) > 0 or position(lower(k.title) in lower(c.title)) > 0) and (position(lower(c.author) in lower(k.author)) > 0) then 2 else 9 end as tier
@@ -47,7 +48,7 @@ register_sql(
 )
 register_dialects(
     "feature_similarity_join", ["owned"],
-    """with few as (select library_id, book_id, author, genres, publication_year, row_number() over (partition by library_id order by book_id) as place from owned where library_id < 200)
+    """with few as (select library_id, book_id, author, genres, publication_year, row_number() over (partition by library_id order by book_id) as place from owned)
        select a.library_id, a.book_id as book_a, b.book_id as book_b,
               round((case when a.author = b.author then 0.5 else 0 end) + 0.3 * $SIZE($MEET(a.genres, b.genres)) / greatest($SIZE(a.genres), $SIZE(b.genres)) + (case when abs(a.publication_year - b.publication_year) <= 5 then 0.2 else 0 end), 6) as similarity
        from few a join few b on a.library_id = b.library_id and a.book_id < b.book_id where a.place <= 10 and b.place <= 10""",
@@ -62,12 +63,12 @@ register_sql("needs_verification", ["libraries"], f"with {_SCORED}, next as (sel
 register_sql("rerank_order_changed", ["libraries"], f"with {_SCORED}, ranks as (select query_id, book_id, row_number() over (partition by query_id order by score desc, book_id) as r1, row_number() over (partition by query_id order by score + cast(book_id % 7 as double) / 50 desc, book_id) as r2 from scored) select query_id, bool_or(r1 <> r2) as changed, count(*) as considered from ranks group by query_id")
 register_dialects("recent_turns", ["turns"], "with placed as (select *, row_number() over (partition by conv_id order by turn desc) as place from turns) select conv_id, $ROLES as roles, count(*) as kept from placed where place <= 4 group by conv_id", ROLES=("array_join(transform(sort_array(collect_list(struct(turn, role))), x -> x.role), ',')", "string_agg(role, ',' order by turn)"))
 register_sql("list_conversations", ["turns"], "select conv_id, count(*) as messages, max(turn) as last_turn, concat('Chat ', cast(conv_id as varchar(20))) as title from turns group by conv_id order by last_turn desc, conv_id limit 20")
-register_sql("lru_trim", ["latency"], "with used as (select user_id as entry, max(ts) as accessed_at from latency group by user_id), placed as (select *, row_number() over (order by accessed_at desc, entry) as place from used where accessed_at >= timestamp '2024-01-05 00:00:00') select entry, place from placed where place <= 50")
+register_sql("lru_trim", ["latency"], "with used as (select user_id as entry, max(ts) as accessed_at from latency group by user_id), newest as (select * from used where accessed_at >= timestamp '2024-01-05 00:00:00' order by accessed_at desc, entry limit 50) select entry, row_number() over (order by accessed_at desc, entry) as place from newest")
 register_sql("cache_lookup", ["latency"], "with cached as (select distinct user_id from latency where event_id % 3 = 0), asked as (select event_id, user_id * 2 as k, ts from latency) select a.k, count(*) as lookups, count(c.user_id) as hits, round(avg(case when c.user_id is not null then 1e0 else 0e0 end), 6) as hit_rate, max(a.ts) as accessed_at from asked a left join cached c on c.user_id = a.k group by a.k")
 register_sql("context_window", ["turns"], "with last as (select conv_id, book_id, max(turn) as turn from turns group by conv_id, book_id), placed as (select *, row_number() over (partition by conv_id order by turn desc, book_id) as place from last) select conv_id, book_id, turn, place from placed where place <= 10")
 
 # -- sets and merges
-register_sql("union_dedup_isbn", ["isbn_books"], "with both_sources as (select book_id, coalesce(isbn_13, isbn_10) as isbn, 1 as source from isbn_books union all select book_id + 50000, coalesce(isbn_13, isbn_10), 2 from isbn_books where book_id % 2 = 0), placed as (select *, row_number() over (partition by isbn order by source, book_id) as place from both_sources) select book_id, isbn, source from placed where isbn is null or place = 1")
+register_sql("union_dedup_isbn", ["isbn_books"], "with both_sources as (select book_id, coalesce(isbn_13, isbn_10) as isbn, 1 as source from isbn_books union all select book_id + 1000000000, coalesce(isbn_13, isbn_10), 2 from isbn_books where book_id % 2 = 0), placed as (select *, row_number() over (partition by isbn order by source, book_id) as place from both_sources where isbn is not null) select book_id, isbn, source from placed where place = 1 union all select book_id, isbn, source from both_sources where isbn is null")
 register_sql("dedup_recommendations", ["owned"], "with all_found as (select library_id, lower(title) as title, lower(author) as author, book_id, book_id % 3 as strategy, 0.5 + 0.1 * (book_id % 4) as confidence from owned), placed as (select *, row_number() over (partition by library_id, title, author order by strategy, book_id) as place from all_found) select library_id, title, author, book_id, round(confidence, 6) as confidence from placed where place = 1")
 register_sql("latest_wins_upsert", ["books"], "with rows_in as (select book_id, title, rating, 1 as version from books union all select book_id, concat(title, ' v2'), rating, 2 from books where book_id % 3 = 0 union all select book_id, concat(title, ' v3'), rating, 3 from books where book_id % 9 = 0), placed as (select *, row_number() over (partition by book_id order by version desc) as place from rows_in) select book_id, title, rating, version from placed where place = 1")
 register_sql("soft_delete_apply", ["books"], "with gone as (select book_id from books where book_id % 11 = 0) select b.book_id, b.title, b.is_deleted or g.book_id is not null as is_deleted from books b left join gone g on g.book_id = b.book_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import adapters
-from lectern.plans.retrieval import bm25, knn, postings, top
+from lectern.plans.retrieval import _KNN_ORACLE, _RANKED, _VISUAL, bm25, knn, postings, top
 from lectern.plans.text import sequence_ratio, token_sort
 from lectern.registry import register
 
@@ -60,7 +60,7 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
 
 
 def _noisy(s: SparkSession, d: str) -> DataFrame:
-    return adapters.query(s, d, ["books"], "select book_id as query_id, translate(title, 'lo', '10') as query_title, author as query_author, concat(title, ' ', translate(author, 'B', '8')) as query from books where book_id % 10 = 0")
+    return adapters.query(s, d, ["books"], "select book_id as query_id, translate(title, 'lo', '10') as query_title, author as query_author, concat(title, ' ', translate(author, 'B', '8')) as query from books")
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _explained(s: SparkSession, d: str) -> DataFrame:
 
 def _fused(s: SparkSession, d: str) -> DataFrame:
     vectors = adapters.view(s, d, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     text, visual = (knn(asked, v, 9).select("query_id", "vec_id", F.col("score").alias(n)) for v, n in ((vectors, "text"), (adapters.view(s, d, "visual_vectors"), "visual")))
     both = text.join(visual, ["query_id", "vec_id"], "full_outer")
     agree = F.when(F.col("text").isNotNull() & F.col("visual").isNotNull(), 1 - F.abs(F.col("text") - F.col("visual")))
@@ -108,7 +108,14 @@ def _indexed(s: SparkSession, d: str) -> DataFrame:
 register("candidate_scoring", _scored)
 register("identify_batch", _identified)
 register("explain_ranking", _explained)
-register("fused_match", _fused)
+register(
+    "fused_match", _fused, [],
+    f"""with {_KNN_ORACLE}, {_VISUAL}, v9 as (select query_id, vec_id, score from (select *, {_RANKED} from vis_all) where place <= 9), t9 as (select query_id, vec_id, score from dense where place <= 9),
+        both_sides as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.vec_id, b.vec_id) as vec_id, a.score as t, b.score as v from t9 a full outer join v9 b on a.query_id = b.query_id and a.vec_id = b.vec_id),
+        scored as (select query_id, vec_id, round(case when t is null or v is null then least(coalesce(t, v), 0.7::double) else (0.6::double * t + 0.4::double * v) * (0.8::double + 0.2::double * (1 - abs(t - v))) end, 6) as score,
+                          case when t is not null and v is not null then 'fused' when t is not null then 'text' else 'visual' end as method from both_sides)
+        select * from (select *, {_RANKED} from scored) where place <= 5""",
+)
 register("embed_with_cache", _embedded)
 register("udf_embedder", lambda s, d: adapters.view(s, d, "documents").select("doc_id", F.size(F.filter(hashed_embedding("text"), lambda x: x != 0)).alias("used")))
 register("index_documents", _indexed)
@@ -128,8 +135,8 @@ def _udtf(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.functions import udtf
 
     s.udtf.register("citation_rows", udtf(CitationRows, returnType="title string, author string, position int"))
-    adapters.query(s, d, ["owned"], "select library_id, concat('As in [', title, ' by ', author, '] and more.') as answer from owned where library_id < 100").createOrReplaceTempView("lectern_answers")
+    adapters.query(s, d, ["owned"], "select library_id, concat('As in [', title, ' by ', author, '] and more.') as answer from owned").createOrReplaceTempView("lectern_answers")
     return s.sql("select a.library_id, c.title, c.author, c.position from lectern_answers a, lateral citation_rows(a.answer) c")
 
 
-register("udtf_citations", _udtf, ["owned"], "select library_id, title, author, cast(1 as int) as position from owned where library_id < 100")
+register("udtf_citations", _udtf, ["owned"], "select library_id, title, author, cast(1 as int) as position from owned")

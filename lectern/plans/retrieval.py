@@ -26,12 +26,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, place) of the best k documents. Only postings of query terms are weighed and shuffled."""
-    lengths = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    cut = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    totals = cut.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    rows = cut.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(df, "term").join(found, "term").join(lengths, "doc_id").crossJoin(F.broadcast(totals))  # totals is one row
+    hits = asked.join(df, "term").join(found, "term").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 8).alias("score")).where("score > 0")
@@ -75,53 +76,36 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Most bytes of query vectors that knn() sends to each task at once; more queries are searched in blocks.
-QUERY_BYTES = 64 << 20
+#: Vectors and queries of a block at most.
+VECTORS, QUERIES = 16_384, 4_096
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, place): exact best k by cosine. Both tables have (id, embedding).
 
-    A block of queries, its size checked, meets each batch of vectors in one matrix product, and every task keeps its
-    own best k for each query, so k rows a query and task reach the shuffle.
+    Both are dealt into blocks by hash, and each block of queries meets each block of vectors in one matrix product; k
+    rows a query and block of vectors are left for the final ranking. Null vectors match nothing.
     """
-    rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).orderBy("query_id")
-    out = None
-    block: list = []
-    size = 0
-
-    def search(block: list) -> DataFrame:
-        ids, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8)
-
-        def run(parts):
-            best = []
-            for part in parts:
-                if not len(part):
-                    continue
-                m = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
-                scores = np.round(m @ matrix.T, 8)
-                names = part["vec_id"].to_numpy()
-                for j, q in enumerate(ids):
-                    order = np.lexsort((names, -scores[:, j]))[:k]
-                    best.append(pd.DataFrame({"query_id": q, "vec_id": names[order], "score": scores[order, j]}))
-            if best:
-                yield pd.concat(best).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-        return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-
-    for row in rows.toLocalIterator():
-        block.append(row)
-        size += 8 * len(row[1])
-        if size >= QUERY_BYTES:
-            out = search(block) if out is None else out.union(search(block))
-            block, size = [], 0
-    if block or out is None:
-        if not block:
-            return top(vectors.select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").cast("long"), F.lit(0.0).alias("score")).limit(0), "query_id", "vec_id", k)
-        out = search(block) if out is None else out.union(search(block))
-    return top(out, "query_id", "vec_id", k)
+    v = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    q = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("e"))
+    parts, blocks = v.count() // VECTORS + 1, q.count() // QUERIES + 1
+    left = v.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    right = q.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+
+    def unit_rows(rows: pd.Series) -> np.ndarray:
+        m = np.stack(rows.to_numpy())
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+
+    def run(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(asked):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        found = found.sort_values("vec_id")
+        scores = np.round(unit_rows(asked["e"]) @ unit_rows(found["e"]).T, 8)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # of equal scores the least id
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "vec_id": found["vec_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    return top(met, "query_id", "vec_id", k)
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
@@ -129,15 +113,15 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _vector_queries(s: SparkSession, d: str) -> DataFrame:
-    return _vectors(s, d).where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    return _vectors(s, d).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 _KNN_ORACLE = """n as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), m as (select vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-8) as norm from n),
-    dense_all as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 8) as score from m a cross join m b where a.vec_id < 20),
+    dense_all as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 8) as score from m a cross join m b where a.vec_id % 20 = 0),
     dense as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from dense_all)"""
-register("vector_normalize", lambda s, d: _vectors(s, d).select("vec_id", F.round(dot(unit(F.col("embedding").cast("array<double>")), unit(F.col("embedding").cast("array<double>"))), 6).alias("norm")), [], "select vec_id, case when list_dot_product(embedding, embedding) > 0 then 1.0::double else 0.0::double end as norm from embeddings")
+register("vector_normalize", lambda s, d: _vectors(s, d).select("vec_id", F.round(dot(unit(F.col("embedding").cast("array<double>")), F.transform(F.col("embedding"), lambda x, i: (i + 1).cast("double"))), 6).alias("projection")), [], "with n as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select vec_id, round(list_dot_product(e, list_transform(e, lambda x, i: cast(i as double))) / greatest(sqrt(list_dot_product(e, e)), 1e-8), 6) as projection from n")
 register("knn_exact", lambda s, d: knn(_vector_queries(s, d), _vectors(s, d)), [], f"with {_KNN_ORACLE} select query_id, vec_id, score, place from dense where place <= 10")
-register("cross_modal_match", lambda s, d: knn(_vector_queries(s, d), adapters.view(s, d, "visual_vectors"), 5), ["visual_vectors"], f"with {_KNN_ORACLE.replace('cross join m b', 'cross join (select v.vec_id, m.e, m.norm from m join (select (vec_id + 250) % 500 as vec_id, vec_id as old from embeddings) v on v.old = m.vec_id) b')} select query_id, vec_id, score, place from dense where place <= 5")
+register("cross_modal_match", lambda s, d: knn(_vector_queries(s, d), adapters.view(s, d, "visual_vectors"), 5), ["visual_vectors"], f"with {_KNN_ORACLE.replace('cross join m b', 'cross join (select (m.vec_id + cast(floor(n / 2) as bigint)) % n as vec_id, m.e, m.norm from m cross join (select count(*) as n from embeddings) c) b')} select query_id, vec_id, score, place from dense where place <= 5")
 register("pairwise_similarity", lambda s, d: _vectors(s, d).alias("a").join(_vectors(s, d).alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id").alias("vec_id"), F.round(dot(unit(F.col("a.embedding").cast("array<double>")), unit(F.col("b.embedding").cast("array<double>"))), 6).alias("similarity")), [], "with n as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as similarity from n a join n b on b.vec_id = a.vec_id + 1")
 
 
@@ -168,19 +152,15 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, bands: int = 24
     return top(pairs.select("query_id", "vec_id", F.round(dot(unit(F.col("q")), unit(F.col("e"))), 8).alias("score")), "query_id", "vec_id", k)
 
 
-def _spread_queries(s: SparkSession, d: str) -> DataFrame:
-    return _vectors(s, d).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-
-
 def _ivf(s: SparkSession, d: str) -> DataFrame:
     """The clusters grow with the square root of the table; seven tenths of them are probed for a recall of 0.9."""
     vectors = _vectors(s, d)
     clusters = max(20, round(vectors.count() ** 0.5))
-    return knn_ivf(_spread_queries(s, d), vectors, clusters=clusters, probe=-(-7 * clusters // 10))
+    return knn_ivf(_vector_queries(s, d), vectors, clusters=clusters, probe=-(-7 * clusters // 10))
 
 
 register("knn_ivf", _ivf)
-register("knn_lsh", lambda s, d: knn_lsh(_spread_queries(s, d), _vectors(s, d), bands=32, bits=4))
+register("knn_lsh", lambda s, d: knn_lsh(_vector_queries(s, d), _vectors(s, d), bands=32, bits=4))
 
 # -- fusion
 
@@ -227,12 +207,32 @@ register(
         fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(a.v, 0) + 0.4 * coalesce(b.v, 0), 6) as score from dn a full outer join sn b on a.query_id = b.query_id and a.doc_id = b.doc_id),
         placed as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from fused) select * from placed where place <= 10""",
 )
+_VISUAL = "vis_all as (select query_id, (vec_id + cast(floor(n / 2) as bigint)) % n as vec_id, score from dense_all cross join (select count(*) as n from embeddings) c)"
+_RANKED = "row_number() over (partition by query_id order by score desc, vec_id) as place"
 register(
     "multimodal_search",
     lambda s, d: top(
         knn(_vector_queries(s, d), _vectors(s, d), 30).select("query_id", "vec_id", F.col("score").alias("t")).join(knn(_vector_queries(s, d), adapters.view(s, d, "visual_vectors"), 30).select("query_id", "vec_id", F.col("score").alias("v")), ["query_id", "vec_id"], "full_outer").select("query_id", "vec_id", F.round(0.6 * F.coalesce("t", F.lit(0.0)) + 0.4 * F.coalesce("v", F.lit(0.0)), 6).alias("score")), "query_id", "vec_id", 10),
+    [],
+    f"""with {_KNN_ORACLE}, {_VISUAL}, v3 as (select * from (select *, {_RANKED} from vis_all) where place <= 30), t3 as (select * from dense where place <= 30),
+        fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.vec_id, b.vec_id) as vec_id, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) as score from t3 a full outer join v3 b on a.query_id = b.query_id and a.vec_id = b.vec_id)
+        select * from (select *, {_RANKED} from fused) where place <= 10""",
+)
+
+
+def boosted(s: SparkSession, d: str) -> DataFrame:
+    """Each query belongs to a conversation of the same number; books named there gain a tenth."""
+    named = adapters.view(s, d, "turns").select(F.col("conv_id").alias("query_id"), F.col("book_id").alias("doc_id")).distinct().withColumn("seen", F.lit(True))
+    found = bm25(_queries(s, d), _docs(s, d), 30).join(named, ["query_id", "doc_id"], "left")
+    return top(found.select("query_id", "doc_id", F.round(F.col("score") + F.when(F.col("seen"), 0.1).otherwise(0.0), 6).alias("score")), "query_id", "doc_id", 10)
+
+
+register(
+    "rerank_boost", boosted, ["search_queries", "turns"],
+    f"""with {_BM25_ORACLE}, named as (select distinct conv_id as query_id, book_id as doc_id from turns),
+        lifted as (select s.query_id, s.doc_id, round(score + case when n.doc_id is not null then 0.1 else 0 end, 6) as score from sparse s left join named n on n.query_id = s.query_id and n.doc_id = s.doc_id where s.place <= 30)
+        select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from lifted) where place <= 10""",
 )
-register("rerank_boost", lambda s, d: top(bm25(_queries(s, d), _docs(s, d), 30).join(adapters.view(s, d, "turns").select("book_id").distinct().withColumnRenamed("book_id", "doc_id").withColumn("seen", F.lit(True)), "doc_id", "left").select("query_id", "doc_id", F.round(F.col("score") + F.when(F.col("seen"), 0.1).otherwise(0.0), 6).alias("score")), "query_id", "doc_id", 10))
 
 
 def mmr(candidates: DataFrame, k: int = 5, relevance: float = 0.8) -> DataFrame:
@@ -256,6 +256,25 @@ def mmr(candidates: DataFrame, k: int = 5, relevance: float = 0.8) -> DataFrame:
 register("mmr_rerank", lambda s, d: mmr(knn(_vector_queries(s, d), _vectors(s, d), 15).drop("place").join(_vectors(s, d), "vec_id")))
 register("grouped_map_greedy", lambda s, d: mmr(knn(_vector_queries(s, d), _vectors(s, d), 9).drop("place").join(_vectors(s, d), "vec_id"), 3))
 register("retrieve_pipeline", lambda s, d: rrf(*_lists(s, d)).join(_docs(s, d).select("doc_id", F.substring("text", 1, 200).alias("excerpt")), "doc_id").where(F.length("excerpt") >= 40).select("query_id", "doc_id", "score", "place", "excerpt"))
-register("similar_books", lambda s, d: bm25(adapters.query(s, d, ["books"], "select book_id as query_id, concat(title, ' ', author) as query from books where book_id < 20"), adapters.query(s, d, ["books"], "select book_id as doc_id, concat(title, ' ', author, ' ', array_join(genres, ' ')) as text from books where not is_deleted"), 11).where("query_id <> doc_id"))
+register("similar_books", lambda s, d: bm25(adapters.query(s, d, ["books"], "select book_id as query_id, concat(title, ' ', author) as query from books"), adapters.query(s, d, ["books"], "select book_id as doc_id, concat(title, ' ', author, ' ', array_join(genres, ' ')) as text from books where not is_deleted"), 11).where("query_id <> doc_id"))
 register_sql("retrieve_by_genre", ["books"], "select book_id, title from books where array_contains(genres, 'anvil') and not is_deleted order by rating desc, book_id limit 10", "select book_id, title from books where list_contains(genres, 'anvil') and not is_deleted order by rating desc, book_id limit 10")
-register("search_modes", lambda s, d: bm25(_queries(s, d), adapters.view(s, d, "documents").where("lang = 'en'").select("doc_id", "text"), 20).where("place between 6 and 15"))
+
+
+def search(s: SparkSession, d: str, mode: str, offset: int, limit: int) -> DataFrame:
+    """(query_id, doc_id, score, place, mode): a page of hits in one mode, among documents in English (the filter)."""
+    k = offset + limit
+    kept = adapters.view(s, d, "documents").where("lang = 'en'")
+    dense = knn(_vector_queries(s, d), _vectors(s, d).join(kept.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), 3 * k if mode == "hybrid" else k) if mode != "sparse" else None
+    sparse = bm25(_queries(s, d), kept.select("doc_id", "text"), 3 * k if mode == "hybrid" else k) if mode != "dense" else None
+    found = rrf(dense, sparse, k).drop("source") if mode == "hybrid" else sparse if mode == "sparse" else dense.withColumnRenamed("vec_id", "doc_id")
+    return found.where(F.col("place").between(offset + 1, k)).select("query_id", "doc_id", "score", "place", F.lit(mode).alias("mode"))
+
+
+_ENGLISH = _BM25_ORACLE.replace("from documents", "from (select * from documents where lang = 'en')") + ", " + _KNN_ORACLE.replace("from m a cross join m b", "from m a cross join (select * from m where vec_id in (select doc_id from documents where lang = 'en')) b")
+register(
+    "search_modes", lambda s, d: search(s, d, "dense", 5, 10).union(search(s, d, "sparse", 5, 10)).union(search(s, d, "hybrid", 5, 10)), ["search_queries"],
+    f"""with {_ENGLISH}, d3 as (select query_id, vec_id as doc_id, score, place from dense where place <= 45), s3 as (select query_id, doc_id, score, place from sparse where place <= 45),
+        fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc_id, b.doc_id) as doc_id, round(coalesce(1.0::double / (60 + a.place), 0) + coalesce(1.0::double / (60 + b.place), 0), 8) as score from d3 a full outer join s3 b on a.query_id = b.query_id and a.doc_id = b.doc_id),
+        hybrid as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from fused)
+        select *, 'dense' as mode from d3 where place between 6 and 15 union all select *, 'sparse' from s3 where place between 6 and 15 union all select *, 'hybrid' from hybrid where place between 6 and 15""",
+)

@@ -45,7 +45,7 @@ register_sql(
                   when position(' - ' in q) > 0 then case when position(' - ' in q) - 1 >= length(q) - position(' - ' in q) - 2 then substring(q, position(' - ' in q) + 3) else substring(q, 1, position(' - ' in q) - 1) end end as author from raw""",
 )
 register_sql("ocr_quality_tier", ["ocr_pairs"], "select sample_id, confidence, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' when confidence >= 0.3 then 'low' else 'unusable' end as tier, confidence >= 0.4 and confidence < 0.6 as retry, confidence >= 0.5 as usable from ocr_pairs")
-register_sql("calibration_stats", ["latency"], "with placed as (select event_id, least(1.0, ms / 100) as confidence, stage = 'view' or stage = 'click' as correct, row_number() over (order by event_id desc) as place from latency) select cast(floor(confidence * 10 + 0.5) as int) as bucket, count(*) as samples, round(avg(case when correct then 1e0 else 0e0 end), 6) as accuracy, round(avg(confidence), 6) as mean_confidence from placed where place <= 500 group by 1")
+register_dialects("calibration_stats", ["latency"], "with newest as (select event_id, least(1.0, ms / 100) as confidence, stage = 'view' or stage = 'click' as correct from latency order by event_id desc limit 500), b as (select $EVEN(confidence * 10, 0) as tenth, confidence, case when correct then 1e0 else 0e0 end as hit from newest) select cast(tenth as int) as bucket, count(*) as samples, round(avg(hit), 6) as accuracy, round(avg(confidence), 6) as mean_confidence, round(abs(avg(hit) - avg(confidence)), 6) as gap from b group by cast(tenth as int)", EVEN=("bround", "round_even"))
 register_dialects(
     "expand_query", ["search_queries"],
     "with synonyms as (select * from (values (1, 'the', 'def'), (2, 'th', 'abc'), (3, 'on', 'above'), (4, 'in', 'inside'), (5, 'er', 'error')) s(ord, k, term)), hits as (select q.query_id, s.ord, s.term, row_number() over (partition by q.query_id order by s.ord) as place from search_queries q join synonyms s on position(s.k in lower(q.query)) > 0) select q.query_id, concat_ws(' ', q.query, h.terms) as expanded from search_queries q left join (select query_id, $TERMS as terms from hits where place <= 3 group by query_id) h on h.query_id = q.query_id",
@@ -59,7 +59,7 @@ register_dialects(
 )
 register_dialects(
     "extract_citations", ["owned"],
-    "with answers as (select library_id, book_id, concat('As in [', title, ' by ', author, '] and [', upper(title), ' by ', author, '].') as answer from owned where library_id < 400), found as (select library_id, book_id, $EXPLODE($ALL) as cite from answers) select library_id, book_id, substring(cite, 1, position(' by ' in cite) - 1) as title, substring(cite, position(' by ' in cite) + 4) as author from found",
+    "with answers as (select library_id, book_id, concat('As in [', title, ' by ', author, '] and [', upper(title), ' by ', author, '].') as answer from owned), found as (select library_id, book_id, $EXPLODE($ALL) as cite from answers) select library_id, book_id, substring(cite, 1, position(' by ' in cite) - 1) as title, substring(cite, position(' by ' in cite) + 4) as author from found",
     ALL=("regexp_extract_all(answer, '\\\\[([^\\\\[\\\\]]+ by [^\\\\[\\\\]]+)\\\\]', 1)", "regexp_extract_all(answer, '\\[([^\\[\\]]+ by [^\\[\\]]+)\\]', 1)"),
 )
 register_dialects(
@@ -69,7 +69,7 @@ register_dialects(
 )
 register_dialects("text_hash_key", [], "select doc_id, substring($SHA(concat('text:model-a:', text)$BITS), 1, 32) as cache_key, substring($SHA(text$BITS), 1, 16) as source_hash from documents", SHA=("sha2", "sha256"), BITS=(", 256", ""))
 register_sql("redact_fields", ["latency"], "select event_id, regexp_replace(props, '(\"k\": *)[0-9]+', '$1\"***\"') as props from events", "select event_id, regexp_replace(props, '(\"k\": *)[0-9]+', '\\1\"***\"', 'g') as props from events")
-register_sql("edit_distance_cols", ["ocr_pairs"], "select sample_id, levenshtein(truth, prediction) as distance, round(cast(levenshtein(truth, prediction) as double) / greatest(1, length(truth)), 6) as cer, lower(trim(truth)) = lower(trim(prediction)) as exact from ocr_pairs")
+register_sql("edit_distance_cols", ["ocr_pairs"], "with e as (select *, levenshtein(truth, prediction) as distance from ocr_pairs) select sample_id, distance, round(cast(distance as double) / greatest(1, length(truth)), 6) as cer, lower(trim(truth)) = lower(trim(prediction)) as exact from e")
 register_sql("wer_char_approx", ["ocr_pairs"], "select sample_id, round(least(1.0, cast(levenshtein(truth, prediction) as double) / greatest(1, size(split(trim(truth), ' +')))), 6) as wer from ocr_pairs", "select sample_id, round(least(1.0, cast(levenshtein(truth, prediction) as double) / greatest(1, len(string_split_regex(trim(truth), ' +')))), 6) as wer from ocr_pairs")
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import adapters
@@ -56,77 +54,102 @@ register_sql(
 )
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlap over union of boxes (x1, y1, x2, y2) in rows."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    shared = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = [np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b)]
-    union = area[0][:, None] + area[1][None] - shared
-    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+# -- greedy steps: boxes of an image in one sorted array, folded by aggregate(); nothing leaves the JVM
 
 
-def per_image(boxes: DataFrame, run, schema) -> DataFrame:
-    """run() on the rows of each image. Many images share a group, as a call for each costs more than its work."""
-    groups = 16 * int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _shared(a: Column, b: Column) -> Column:
+    def side(low: str, high: str) -> Column:
+        return F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
 
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop(columns="_group")
-        return pd.concat([run(rows) for _, rows in part.groupby("image_id", sort=False)])
+    return side("x1", "x2") * side("y1", "y2")
 
-    return boxes.withColumn("_group", F.pmod(F.xxhash64("image_id"), F.lit(groups))).groupBy("_group").applyInPandas(each, schema)
 
+def _area(a: Column) -> Column:
+    return (a["x2"] - a["x1"]) * (a["y2"] - a["y1"])
+
+
+def iou(a: Column, b: Column) -> Column:
+    """Overlap over union of two boxes (x1, y1, x2, y2); 0 where the union is empty."""
+    shared = _shared(a, b)
+    union = _area(a) + _area(b) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
 
-def nms(boxes: DataFrame, iou: float = 0.5, inside: float = 0.8) -> DataFrame:
-    """Greedy suppression per image: by confidence, a box goes if it overlaps a kept one by iou, or by inside of the smaller."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["confidence", "box_no", "x1", "y1"], ascending=[False, True, True, True], kind="stable")
-        box = part[["x1", "y1", "x2", "y2"]].to_numpy()
-        area = np.prod(box[:, 2:] - box[:, :2], axis=1)
-        kept: list[int] = []
-        for k in range(len(box)):
-            if kept:
-                over = iou_matrix(box[k : k + 1], box[kept])[0]
-                shared = over * (area[k] + area[kept]) / (1 + over)
-                if (over > iou).any() or (shared > inside * np.minimum(area[k], area[kept])).any():
-                    continue
-            kept.append(k)
-        return part.iloc[kept]
-
-    return per_image(boxes, run, boxes.schema)
-
-
-def match_detections(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Greedy matching per image: predictions by confidence take the best free truth box of their class."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["confidence", "box_no", "px1", "py1"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        over = iou_matrix(part[["px1", "py1", "px2", "py2"]].to_numpy(), part[["gx1", "gy1", "gx2", "gy2"]].to_numpy())
-        over[part["class_name"].to_numpy()[:, None] != part["class_name"].to_numpy()[None]] = 0
-        taken, hit = np.zeros(len(part), dtype=bool), np.zeros(len(part), dtype=bool)
-        best = np.zeros(len(part))
-        for k in range(len(part)):
-            free = np.where(taken, -1.0, over[k])
-            j = int(free.argmax())
-            best[k] = max(0.0, free[j])
-            if free[j] >= threshold:
-                hit[k] = taken[j] = True
-        return pd.DataFrame({"image_id": part["image_id"], "box_no": part["box_no"], "class_name": part["class_name"], "confidence": part["confidence"], "matched": hit, "iou": best})
-
-    return per_image(boxes, run, "image_id long, box_no long, class_name string, confidence double, matched boolean, iou double")
-
-
-def average_precision(matches: DataFrame, by: str = "class_name", points: int = 101) -> DataFrame:
-    """Interpolated average precision per group: best precision at each recall level, averaged. One truth box per row."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(by).orderBy(F.col("confidence").desc(), "image_id", "box_no").rowsBetween(Window.unboundedPreceding, 0)
-    curve = matches.withColumn("tp", F.sum(F.col("matched").cast("int")).over(order)).withColumn("n", F.count("*").over(order)).withColumn("truths", F.count("*").over(Window.partitionBy(by)))
-    curve = curve.select(by, (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("truths")).alias("recall"))
-    ceiling = curve.groupBy(by, F.floor(F.col("recall") * (points - 1) + 1e-9).alias("step")).agg(F.max("precision").alias("best"))
-    above = Window.partitionBy(by).orderBy(F.col("step").desc())
-    steps = ceiling.withColumn("best", F.max("best").over(above)).withColumn("below", F.coalesce(F.lead("step").over(above), F.lit(-1)))
-    return steps.groupBy(by).agg((F.sum(F.col("best") * (F.col("step") - F.col("below"))) / points).alias("ap"))
+def nms(boxes: DataFrame, most: float = 0.5, inside: float = 0.8) -> DataFrame:
+    """Greedy suppression per image: by confidence, a box goes if it overlaps a kept one by iou, or by inside of the smaller."""
+    order = [(-F.col("confidence")).alias("_down"), F.col("box_no").alias("_no"), F.col("x1").alias("_x"), F.col("y1").alias("_y")]
+    box = F.struct(*order, *[F.col(c) for c in boxes.columns])
+    rows = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("all"))
+    kind = rows.schema["all"].dataType.simpleString()
+
+    def step(kept: Column, b: Column) -> Column:
+        beaten = F.exists(kept, lambda k: (iou(b, k) > most) | (_shared(b, k) > inside * F.least(_area(b), _area(k))))
+        return F.when(beaten, kept).otherwise(F.concat(kept, F.array(b)))
+
+    kept = F.aggregate("all", F.expr(f"cast(array() as {kind})"), step)
+    return rows.select(F.explode(kept).alias("b")).select(*[F.col(f"b.{c}").alias(c) for c in boxes.columns])
+
+
+def candidate_pairs(boxes: DataFrame, same_class: bool = True) -> DataFrame:
+    """(image_id, no, class_name, confidence, box_no, p, truths): all predictions, each with its overlapping truth boxes."""
+    every = Window.partitionBy("image_id").orderBy("box_no", "class_name", "confidence", *[F.col(f"{k}{c}") for k in "pg" for c in ("x1", "y1", "x2", "y2")])
+    boxes = boxes.withColumn("no", F.row_number().over(every).cast("long"))  # repeated rows are boxes of their own
+    p = boxes.select("image_id", F.col("no").alias("row"), "class_name", "confidence", "box_no", F.struct(*[F.col(f"p{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("p"))
+    g = boxes.select(F.col("image_id").alias("g_image"), F.col("class_name").alias("g_class"), F.struct("no", *[F.col(f"g{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("g"))
+    on = (F.col("image_id") == F.col("g_image")) & ((F.col("class_name") == F.col("g_class")) if same_class else F.lit(True))
+    pairs = p.join(g, on & (F.col("p.x1") < F.col("g.x2")) & (F.col("g.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("g.y2")) & (F.col("g.y1") < F.col("p.y2")), "left")
+    pairs = pairs.select("image_id", "row", "class_name", "confidence", "box_no", "p", F.col("g.no").alias("no"), F.when(F.col("g").isNotNull(), iou(F.col("p"), F.col("g"))).alias("iou"))
+    return pairs.groupBy("image_id", "row", "class_name", "confidence", "box_no", "p").agg(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("iou", "no"))).alias("truths"))
+
+
+def match_detections(boxes: DataFrame, thresholds: list[float] | None = None, first_fit: bool = False, strict: bool = False) -> DataFrame:
+    """Greedy matching per image and threshold: predictions by confidence take the best free truth box of their class.
+
+    first_fit takes the first free box (by number) that reaches the threshold instead, whatever its class; strict asks
+    for more than the threshold. All thresholds are worked out in one pass.
+    """
+    steps = thresholds or [0.5]
+    prediction = F.struct((-F.col("confidence")).alias("down"), "box_no", F.col("p.x1").alias("x"), F.col("p.y1").alias("y"), "class_name", "confidence", "truths")
+    images = candidate_pairs(boxes, not first_fit).groupBy("image_id").agg(F.sort_array(F.collect_list(prediction)).alias("all"))
+    images = images.withColumn("threshold", F.explode(F.lit(steps)))
+    start = F.expr("named_struct('taken', cast(array() as array<bigint>), 'out', cast(array() as array<struct<box_no: bigint, class_name: string, confidence: double, matched: boolean, iou: double>>))")
+
+    def step(done: Column, d: Column) -> Column:
+        enough = (lambda t: t["iou"] > F.col("threshold")) if strict else (lambda t: t["iou"] >= F.col("threshold"))
+        free = F.filter(d["truths"], lambda t: ~F.array_contains(done["taken"], t["no"]))
+        # the largest overlap, then the least number; or the least number of those that fit
+        if first_fit:
+            choice = F.get(F.array_sort(F.transform(F.filter(free, enough), lambda t: F.struct(t["no"].alias("no"), t["iou"].alias("iou")))), F.lit(0))
+        else:
+            choice = F.transform(F.array(F.array_min(F.transform(free, lambda t: F.struct((-t["iou"]).alias("down"), t["no"].alias("no"), t["iou"].alias("iou"))))), lambda t: F.struct(t["no"].alias("no"), t["iou"].alias("iou")))[0]
+
+        def with_choice(c: Column) -> Column:
+            hit = F.coalesce(enough(c), F.lit(False))
+            row = F.struct(d["box_no"].alias("box_no"), d["class_name"].alias("class_name"), d["confidence"].alias("confidence"), hit.alias("matched"), F.coalesce(c["iou"], F.lit(0.0)).alias("iou"))
+            return F.struct(F.when(hit, F.concat(done["taken"], F.array(c["no"]))).otherwise(done["taken"]).alias("taken"), F.concat(done["out"], F.array(row)).alias("out"))
+
+        return F.transform(F.array(choice), with_choice)[0]
+
+    folded = images.select("image_id", "threshold", F.aggregate("all", start, step, lambda done: done["out"]).alias("out"))
+    found = folded.select("image_id", "threshold", F.inline("out"))
+    columns = ["image_id", "box_no", "class_name", "confidence", "matched", "iou"]
+    return found.select(*columns, "threshold") if thresholds else found.select(*columns)
+
+
+def average_precision(matches: DataFrame, by: list[str], points: int = 101) -> DataFrame:
+    """(by, ap): best precision at each recall level, averaged. One truth box stands behind each row.
+
+    Rows are first counted by confidence, so that only distinct confidences are put in order; rows of one confidence
+    enter the curve together.
+    """
+    order = Window.partitionBy(*by).orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = matches.groupBy(*by, "confidence").agg(F.count_if("matched").alias("hits"), F.count("*").alias("rows"))
+    curve = counted.withColumns({"tp": F.sum("hits").over(order), "n": F.sum("rows").over(order), "truths": F.sum("rows").over(Window.partitionBy(*by))})
+    curve = curve.select(*by, (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("truths")).alias("recall"))
+    levels = curve.select(*by, "precision", F.floor(F.col("recall") * (points - 1) + 1e-9).cast("int").alias("step")).groupBy(*by, "step").agg(F.max("precision").alias("best"))
+    above = Window.partitionBy(*by).orderBy(F.col("step").desc())
+    steps = levels.withColumn("best", F.max("best").over(above)).withColumn("below", F.coalesce(F.lead("step").over(above), F.lit(-1)))
+    return steps.groupBy(*by).agg(F.round(F.sum(F.col("best") * (F.col("step") - F.col("below"))) / points, 8).alias("ap"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +162,24 @@ def _two_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-register("nms_dedup", lambda s, d: nms(_two_detectors(s, d)))
-register("detection_match", lambda s, d: match_detections(_boxes(s, d)))
-register("pr_curve_ap", lambda s, d: average_precision(match_detections(_boxes(s, d))))
+def map_thresholds(boxes: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, map) for each threshold, and one row without threshold: their mean."""
+    each = average_precision(match_detections(boxes, thresholds), ["threshold", "class_name"]).groupBy("threshold").agg(F.avg("ap").alias("map"))
+    return each.groupingSets([["threshold"], []], "threshold").agg(F.round(F.avg("map"), 8).alias("map"))
 
 
-def map_thresholds(boxes: DataFrame, thresholds: list[float]) -> DataFrame:
-    parts = [average_precision(match_detections(boxes, t)).agg(F.avg("ap").alias("map")).withColumn("threshold", F.lit(t)) for t in thresholds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def detection_prf(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Counts, precision, recall and F1 per class and over all (class null); first fit, whatever the class."""
+    found = match_detections(boxes, first_fit=True)
+    counts = found.groupingSets([["class_name"], []], "class_name").agg(F.count_if("matched").alias("tp"), F.count_if(~F.col("matched")).alias("fp"), F.count("*").alias("truths"))
+    counts = counts.withColumn("fn", F.col("truths") - F.col("tp"))
+    precision, recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("truths"))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    return counts.select("class_name", "tp", "fp", "fn", F.round(precision, 8).alias("precision"), F.round(recall, 8).alias("recall"), F.round(f1, 8).alias("f1"))
 
 
-register("map_thresholds", lambda s, d: map_thresholds(_boxes(s, d), [0.5, 0.75, 0.9]))
-register(
-    "detection_prf",
-    lambda s, d: match_detections(_boxes(s, d)).groupBy("class_name").agg(F.count_if("matched").alias("tp"), F.count_if(~F.col("matched")).alias("fp"), F.count("*").alias("truths")).withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("truths")}),
-)
+register("nms_dedup", lambda s, d: nms(_two_detectors(s, d)))
+register("detection_match", lambda s, d: match_detections(_boxes(s, d)))
+register("pr_curve_ap", lambda s, d: average_precision(match_detections(_boxes(s, d)), ["class_name"]).withColumn("variant", F.lit("101 points")).union(average_precision(match_detections(_boxes(s, d), strict=True), ["class_name"], 11).withColumn("variant", F.lit("11 points"))))
+register("map_thresholds", lambda s, d: map_thresholds(_boxes(s, d), [(50 + 5 * k) / 100 for k in range(10)]))
+register("detection_prf", lambda s, d: detection_prf(_boxes(s, d)))

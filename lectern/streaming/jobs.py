@@ -107,7 +107,8 @@ def fold_context(limit: int = 50) -> Callable:
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 200).alias("book_id"))
+    books = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % books).alias("book_id"))
     folded = turns.groupBy("conv_id").applyInPandasWithState(fold_context(), "conv_id long, mentioned long, first_book long, last_book long", "books array<long>", "update", GroupStateTimeout.NoTimeout)
     return keep_latest(folded, ["conv_id"])
 
