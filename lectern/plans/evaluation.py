@@ -18,10 +18,19 @@ register_dialects("score_distribution", ["rag_cases"], f"with {_RANKS} select re
 register_sql("rag_retrieval_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, round(cast(relevant as double) / docs, 6) as precision_all, round(graded, 6) as dcg10, round(coalesce(1e0 / first_hit, 0e0), 6) as rr from per_query")
 register_sql("relevance_join", ["rag_cases"], "with judged as (select query_id, doc_id, relevance from rag_cases where doc_id % 3 <> 0) select r.query_id, r.doc_id, coalesce(j.relevance, 0) as relevance from rag_cases r left join judged j on j.query_id = r.query_id and j.doc_id = r.doc_id")
 register_sql("rag_citation_metrics", ["rag_cases"], "with cited as (select query_id, doc_id from rag_cases where doc_id % 2 = 0), expected as (select query_id, doc_id from rag_cases where relevance >= 2), both_sides as (select coalesce(c.query_id, e.query_id) as query_id, c.doc_id as c, e.doc_id as e from cited c full outer join expected e on e.query_id = c.query_id and e.doc_id = c.doc_id) select query_id, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(c) as double), 0), 0e0), 6) as citation_precision, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(e) as double), 0), 0e0), 6) as citation_recall from both_sides group by query_id")
+# Words that say nothing about a sentence.
+COMMON_WORDS = ["this", "that", "which", "where", "when", "what", "have", "been", "were", "will", "would", "could", "should", "there", "their", "about"]
 register_dialects(
     "hallucination_rate", ["rag_cases"],
-    "with one as (select query_id, lower(replace(answer, '.', ' ')) as answer, lower(replace(content, '.', ' ')) as content, row_number() over (partition by query_id order by doc_id) as r from rag_cases), a as (select query_id, $EXPLODE($CUT(answer, ' ')) as w from one where r = 1), k as (select query_id, $EXPLODE($CUT(content, ' ')) as w from one), aw as (select distinct query_id, w from a where length(w) >= 4), kw as (select distinct query_id, w from k) select aw.query_id, count(*) as words, round(1 - count(kw.w) / cast(count(*) as double), 6) as unsupported from aw left join kw on kw.query_id = aw.query_id and kw.w = aw.w group by aw.query_id",
-    CUT=("split", "string_split"),
+    f"""with one as (select query_id, max(answer) as answer from rag_cases group by query_id), cut as (select query_id, $EXPLODE($SENTENCES) as sentence from one),
+        claims as (select distinct query_id, trim(sentence) as sentence from cut where length(trim(sentence)) >= 20),
+        cw as (select distinct query_id, sentence, w from (select query_id, sentence, $EXPLODE(regexp_extract_all(lower(sentence)$TAIL)) as w from claims) q where w not in ({', '.join(f"'{w}'" for w in COMMON_WORDS)})),
+        kw as (select distinct query_id, w from (select query_id, $EXPLODE(regexp_extract_all(lower(content)$TAIL)) as w from rag_cases) q),
+        judged as (select cw.query_id, cw.sentence, count(*) as words, count(kw.w) as found from cw left join kw on kw.query_id = cw.query_id and kw.w = cw.w group by cw.query_id, cw.sentence)
+        select o.query_id, count(j.sentence) as claims, round(coalesce(avg(case when j.found < 0.3e0 * j.words then 1e0 when j.words is not null then 0e0 end), 0e0), 6) as hallucination_rate
+        from one o left join judged j on j.query_id = o.query_id group by o.query_id""",
+    SENTENCES=("split(answer, '[.!?]')", "string_split_regex(answer, '[.!?]')"),
+    TAIL=(", '[\\\\p{L}\\\\p{N}_]{4,}', 0", ", '[\\p{L}\\p{N}_]{4,}'"),
 )
 register_sql("rag_by_category", ["rag_cases"], "select category, count(*) as rows_seen, round(avg(case when relevance >= 2 then 1e0 else 0e0 end), 6) as precision_all, round(avg(cast(length(answer) as double)), 4) as answer_length from rag_cases group by category")
 register_sql("grounding_check", ["rag_cases"], "select query_id, bool_and(relevance >= 1) as grounded, count(case when relevance < 1 then 1 end) as ungrounded from rag_cases group by query_id")
@@ -36,7 +45,4 @@ register_sql("endpoint_limits", ["latency"], f"with {_PATH}, rules(ord, prefix,
 register_sql("client_identity", ["latency"], "with r as (select event_id, case when event_id % 3 = 0 then concat('key-', cast(user_id as varchar(12))) end as api_key, case when event_id % 2 = 0 then concat(' 10.0.0.', cast(user_id as varchar(12)), ', 10.1.1.1') end as xff, concat('192.168.0.', cast(user_id as varchar(12))) as ip from latency) select event_id, coalesce(api_key, trim(substring(xff, 1, position(',' in xff) - 1)), ip) as client from r")
 register_dialects("conversation_summarize", ["turns"], "with placed as (select *, row_number() over (partition by conv_id order by turn desc) as back, count(*) over (partition by conv_id) as n from turns), old as (select distinct conv_id, book_id from placed where n >= 6 and back > 3), ranked as (select *, row_number() over (partition by conv_id order by book_id) as r from old) select conv_id, $LIST as summary from ranked where r <= 10 group by conv_id", LIST=("array_join(transform(sort_array(collect_list(book_id)), x -> cast(x as string)), ' | ')", "string_agg(cast(book_id as varchar), ' | ' order by book_id)"))
 register_dialects("conversation_store", ["turns"], "select conv_id, $LIST as document from turns group by conv_id", LIST=("array_join(transform(sort_array(collect_list(struct(turn, role, token_count))), x -> concat(x.turn, ':', x.role, ':', x.token_count)), ',')", "string_agg(concat(turn, ':', role, ':', token_count), ',' order by turn)"))
-register_sql("stream_fixed_window", ["latency"], "select user_id, date_trunc('hour', ts) as window_start, count(*) as requests, count(*) > 2 as over_limit from latency group by user_id, date_trunc('hour', ts)")
-register_sql("stream_conversation_stats", ["turns"], "select conv_id, count(*) as messages, cast(sum(token_count) as bigint) as tokens, max(turn) as last_turn from turns group by conv_id")
-register_dialects("stream_session", ["latency"], "with gaps as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval '24' hour then 0 else 1 end as opens, event_id from latency), numbered as (select *, sum(opens) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session_no from gaps) select user_id, cast(session_no as bigint) as session_no, count(*) as events, min(ts) as started_at, max(ts) as ended_at from numbered group by user_id, session_no")
 register_sql("export_books_json", ["books"], "select book_id, concat('{\"title\":\"', title, '\",\"author\":\"', author, '\"}') as json from books where not is_deleted")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,12 +45,43 @@ register_sql(
 )
 register_sql("ocr_quality_tier", ["ocr_pairs"], "select sample_id, confidence, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' when confidence >= 0.3 then 'low' else 'unusable' end as tier, confidence >= 0.4 and confidence < 0.6 as retry, confidence >= 0.5 as usable from ocr_pairs")
 register_dialects("calibration_stats", ["latency"], "with newest as (select event_id, least(1.0, ms / 100) as confidence, stage = 'view' or stage = 'click' as correct from latency order by event_id desc limit 500), b as (select $EVEN(confidence * 10, 0) as tenth, confidence, case when correct then 1e0 else 0e0 end as hit from newest) select cast(tenth as int) as bucket, count(*) as samples, round(avg(hit), 6) as accuracy, round(avg(confidence), 6) as mean_confidence, round(abs(avg(hit) - avg(confidence)), 6) as gap from b group by cast(tenth as int)", EVEN=("bround", "round_even"))
-register_dialects(
-    "expand_query", ["search_queries"],
-    "with synonyms as (select * from (values (1, 'the', 'def'), (2, 'th', 'abc'), (3, 'on', 'above'), (4, 'in', 'inside'), (5, 'er', 'error')) s(ord, k, term)), hits as (select q.query_id, s.ord, s.term, row_number() over (partition by q.query_id order by s.ord) as place from search_queries q join synonyms s on position(s.k in lower(q.query)) > 0) select q.query_id, concat_ws(' ', q.query, h.terms) as expanded from search_queries q left join (select query_id, $TERMS as terms from hits where place <= 3 group by query_id) h on h.query_id = q.query_id",
-    TERMS=("array_join(transform(sort_array(collect_list(struct(ord, term))), x -> x.term), ' ')", "string_agg(term, ' ' order by ord)"),
-)
-register_sql("classify_intent", ["turns"], "select conv_id, turn, case when lower(text) like '%ent %' then 'recommendation' when lower(text) like '%ion %' then 'analysis' when lower(text) like '%qu%' then 'summary' else 'default' end as intent from turns")
+# Genres and the words that widen a query for them, in order; phrases and what they add; intents by phrase.
+SYNONYMS = {
+    "sci-fi": ["science fiction", "sf", "speculative fiction"], "science fiction": ["sci-fi", "sf", "speculative fiction"], "fantasy": ["magical", "mythical", "epic fantasy"],
+    "mystery": ["detective", "crime", "thriller", "whodunit"], "thriller": ["suspense", "mystery", "crime"], "romance": ["love story", "romantic", "love"],
+    "horror": ["scary", "supernatural", "gothic"], "non-fiction": ["nonfiction", "non fiction", "factual"], "biography": ["memoir", "life story", "autobiography"],
+    "history": ["historical", "past", "ancient"], "self-help": ["self help", "personal development", "self improvement"],
+}
+PHRASES = {"books like": "similar to", "something like": "similar to", "similar to": "related to", "written by": "author", "about": "on the topic of"}
+INTENTS = {
+    "recommendation": ["recommend", "suggest", "similar to", "like this", "what should i read", "what to read", "next book"],
+    "analysis": ["analyze", "pattern", "trend", "statistics", "how many", "most common", "breakdown"],
+    "summary": ["summarize", "overview", "summary of", "tell me about my library", "my collection"],
+}
+MOST_TERMS = 3
+
+
+def _has(text: str, phrase: str) -> str:
+    return f"position('{phrase}' in lower({text})) > 0"
+
+
+def expanded_query(query: str) -> str:
+    """SQL: the query and at most MOST_TERMS added terms, those of the first genre it names before those of its phrases."""
+    genre = "case " + " ".join(f"when {_has(query, g)} then '{'|'.join(terms[:MOST_TERMS])}'" for g, terms in SYNONYMS.items()) + " end"
+    phrases = [f"case when {_has(query, p)} then '{term}' end" for p, term in PHRASES.items()]
+    # a genre fills all places; else the phrases do, in order
+    added = f"coalesce({genre}, nullif(concat_ws('|', {', '.join(phrases)}), ''))"
+    return f"case when {added} is null then {query} else concat({query}, ' ', replace(regexp_extract({added}, '^[^|]*([|][^|]*)?([|][^|]*)?', 0), '|', ' ')) end"
+
+
+def intent(text: str) -> str:
+    """SQL: the first intent with a phrase in the text."""
+    return "case " + " ".join(f"when {' or '.join(_has(text, p) for p in phrases)} then '{name}'" for name, phrases in INTENTS.items()) + " else 'default' end"
+
+
+_ASKED = "asked as (select conv_id, turn, case (conv_id + turn) % 9 when 0 then concat('Recommend a mystery like this: ', text) when 1 then concat('How many books about history? ', text) when 2 then concat('Give an overview. ', text) when 3 then concat('Books like these, written by friends, about ', text) when 4 then concat('Something sci-fi: ', text) else text end as question from turns)"
+register_sql("expand_query", ["turns"], f"with {_ASKED} select conv_id, turn, {expanded_query('question')} as expanded from asked")
+register_sql("classify_intent", ["turns"], f"with {_ASKED} select conv_id, turn, {intent('question')} as intent from asked")
 register_dialects(
     "extract_entities", ["books"],
     "with q as (select book_id, concat('books on ', title, ' from ', cast(publication_year as varchar(8)), ' or 1999') as query from books) select book_id, $JOIN($ALL, ',') as years from q",
@@ -105,12 +135,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def compatible_form(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
-
-
 @F.pandas_udf(T.DoubleType())
 def word_error_rate(truth: pd.Series, prediction: pd.Series) -> pd.Series:
     """Word edits over truth words; 0 or 1 where the truth has none."""
@@ -133,19 +157,6 @@ def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.lower(F.trim(text)), r"\s+")), " ")
 
 
-#: (pattern, replacement) of the strict corrections of scanned text, in order.
-CORRECTIONS = [(r"(?<=[A-Z])0(?=[A-Z])", "O"), (r"(?<=[a-z])1(?=[a-z])", "l"), (r"\bvv", "w"), (r"\s+", " ")]
-
-
-def normalize_scanned(text: Column) -> tuple[Column, Column]:
-    """Corrected text and the number of corrections that changed it."""
-    text, changes = compatible_form(text), F.lit(0)
-    for pattern, new in CORRECTIONS:
-        after = F.regexp_replace(text, pattern, new)
-        changes, text = changes + (after != text).cast("int"), after
-    return F.trim(text), changes
-
-
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     return adapters.view(s, d, "ocr_pairs")
 
@@ -155,27 +166,8 @@ def _fuzzy(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d).select("sample_id", F.round(sequence_ratio(a, b), 6).alias("ratio"), F.round(sequence_ratio(token_sort(a), token_sort(b)), 6).alias("token_sort_ratio"), F.when(F.contains(a, b) | F.contains(b, a), F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(0.0).alias("partial_ratio"))
 
 
-def _normalized(s: SparkSession, d: str) -> DataFrame:
-    text, changes = normalize_scanned(F.col("prediction"))
-    return _pairs(s, d).select("sample_id", text.alias("text"), changes.alias("corrections"), F.greatest(F.lit(-0.3), changes * -0.02).alias("adjustment"))
-
-
-def _confidence(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("prediction")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    pattern = F.when(t.rlike("[0-9]"), 0.5).otherwise(1.0)
-    language = F.least(F.lit(1.0), F.length(F.regexp_replace(F.lower(t), "[^etaoinshr]", "")) / F.greatest(letters, F.lit(1)))
-    book = F.when(F.length(t) >= 10, 1.0).otherwise(0.4)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.35 * F.col("confidence") + 0.25 * pattern + 0.25 * language + 0.15 * book))
-    flags = F.array_compact(F.array(F.when(F.length(t) < 3, "very_short"), F.when(t.rlike("[0-9]"), "digits"), F.when(language < 0.5, "odd_letters")))
-    return _pairs(s, d).select("sample_id", F.round(score, 6).alias("confidence"), F.array_join(flags, ",").alias("flags"))
-
-
 register("fuzzy_ratio_cols", _fuzzy)
 register("udf_similarity", lambda s, d: _pairs(s, d).select("sample_id", sequence_ratio("truth", "prediction").alias("similarity")))
-register("normalize_ocr_text", _normalized)
-register("batch_normalize", lambda s, d: _pairs(s, d).select("sample_id", normalize_scanned(F.col("truth"))[0].alias("plain"), F.initcap(normalize_scanned(F.col("truth"))[0]).alias("title")))
-register("ocr_confidence", _confidence)
 register("word_error_rate", lambda s, d: _pairs(s, d).select("sample_id", word_error_rate("truth", "prediction").alias("wer")))
 
 

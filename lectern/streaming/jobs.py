@@ -114,3 +114,54 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("stream_context_fold", _context, ["turns"], "select conv_id, count(distinct book_id) as mentioned, arg_min(book_id, turn) as first_book, arg_max(book_id, turn) as last_book from turns group by conv_id")
+
+
+def log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def fixed_windows(stream: DataFrame, limit: int = 1) -> DataFrame:
+    """Requests per client and minute, and whether they exceed the limit; rows later than an hour are left out."""
+    counted = stream.withWatermark("at", "1 hour").groupBy(F.window("at", "1 minute").alias("w"), "user_id").agg(F.count("*").alias("requests"))
+    return counted.select("user_id", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > limit).alias("over_limit"))
+
+
+def conversation_counters(stream: DataFrame) -> DataFrame:
+    return stream.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("tokens"), F.max("turn").alias("last_turn"))
+
+
+def sessions(stream: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Runs of events of a user without a longer pause than the gap."""
+    runs = stream.withWatermark("at", "1 hour").groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("events"), F.min("at").alias("started_at"), F.max("at").alias("ended_at"))
+    return runs.select("user_id", "events", "started_at", "ended_at")
+
+
+def final_state(stream: DataFrame) -> DataFrame:
+    """Run an aggregate over all there is; each micro-batch writes it whole, and the last one counts."""
+    spark = stream.sparkSession
+    path, state = scratch(spark, "out"), scratch(spark, "state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _plain_time(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")) for c in columns})
+
+
+register(
+    "stream_fixed_window", lambda s, d: _plain_time(keep_latest(fixed_windows(events(s, d)), ["user_id", "window_start"]), "window_start"), ["latency"],
+    "select user_id, date_trunc('minute', ts) as window_start, count(*) as requests, count(*) > 1 as over_limit from latency group by user_id, date_trunc('minute', ts)",
+)
+register("stream_conversation_stats", lambda s, d: keep_latest(conversation_counters(log(s, d, "conversations")), ["conv_id"]), ["turns"], "select conv_id, count(*) as messages, cast(sum(coalesce(token_count, 0)) as bigint) as tokens, max(turn) as last_turn from turns group by conv_id")
+register(
+    "stream_session", lambda s, d: _plain_time(final_state(sessions(events(s, d))), "started_at", "ended_at"), ["latency"],
+    """with gaps as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '24' hour then 0 else 1 end as opens from latency),
+            numbered as (select *, sum(opens) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session_no from gaps)
+       select user_id, count(*) as events, min(ts) as started_at, max(ts) as ended_at from numbered group by user_id, session_no""",
+)
