@@ -43,8 +43,7 @@ class Codec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.special = re.compile("|".join(names)) if names else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         chars = byte_table()
         vocab = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocab.values()) + 1)
@@ -63,16 +62,20 @@ class Codec:
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _merged(self, pretokens: set[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens that are not known yet: the library's BPE model merges them, written in byte characters."""
+    def _merged(self, pretokens: set[str]) -> list[str]:
+        """Have the library's BPE model merge pre-tokens that are not known yet, written in byte characters.
+
+        Gives those that are too long to be remembered after this call.
+        """
         if len(self.merged) > CACHE_PIECES:
             self.merged.clear()
-        new = {}
+        long = []
         for p in pretokens.difference(self.merged):
             chars = p.encode().decode("latin-1").translate(self.chars)
-            new[p] = self.pack([t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
-        self.merged.update((p, b) for p, b in new.items() if len(p) <= CACHE_CHARS)
-        return new
+            self.merged[p] = self.pack([t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+            if len(p) > CACHE_CHARS:
+                long.append(p)
+        return long
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that each follow a space. Latin pieces are cut into pre-tokens here, others by the library."""
@@ -83,12 +86,14 @@ class Codec:
             else:
                 latin.append(p)
         cut = self.pattern.findall("".join([" " + p for p in latin]))
-        new = self._merged(set(cut))
+        long = self._merged(set(cut))
         merged, at = self.merged, -1
         parts: list[list[bytes]] = [[] for _ in latin]
         for c in cut:
             at += c[0] == " " and len(c) > 1
-            parts[at].append(new[c] if c in new else merged[c])
+            parts[at].append(merged[c])
+        for p in long:
+            del merged[p]
         return out | {p: b"".join(x) for p, x in zip(latin, parts, strict=True)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -97,7 +102,7 @@ class Codec:
         if len(known) > CACHE_PIECES:
             known.clear()
         for text in texts:
-            if self.odd.search(text) or (self.special and self.special.search(text)):
+            if self.odd.search(text) or any(name in text for name in self.special):
                 rows.append((None, text, None, None))
                 continue
             head, *tail = text.split(" ")
