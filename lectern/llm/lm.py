@@ -42,7 +42,9 @@ SYMBOL_SHARE, HOT_SHARE = 2e-4, 2e-6
 CLASSES, FUNCTION_WORDS = 64, 128
 #: Most bits of a slot number, by predictor, and least.
 TOKEN_BITS, SPELL_BITS, LEAST_BITS = (16, 20, 20, 22, 22), (20, 21, 22, 22), 14
-BLOCK, BATCH, WORDS_AT_ONCE = 1 << 18, 1 << 14, 16_384
+BLOCK, BATCH = 1 << 18, 1 << 14
+#: Bytes of text, and words, whose bits a kernel holds at once (some 10 bits a byte).
+BITS_BYTES, WORDS_AT_ONCE = 1 << 19, 8_192
 GATES, STEPS, LIMIT, RATE = 16, 33, 8.0, 0.03
 
 _C3 = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +64,7 @@ def to_states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _state_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By state: log-odds of one, how well it is known (0 to 3), and the state with a zero or a one less."""
-    odds, known, less = np.zeros(256, dtype=np.float32), np.zeros(256, dtype=np.int32), np.tile(np.arange(256, dtype=np.uint8)[:, None], (1, 2))
+    odds, known, less = np.zeros(256, dtype=np.float32), np.zeros(256, dtype=np.intp), np.tile(np.arange(256, dtype=np.uint8)[:, None], (1, 2))
     for total in range(EXACT):
         for ones in range(total + 1):
             k = total * (total + 1) // 2 + ones
@@ -76,6 +78,8 @@ def _state_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 ODDS, KNOWN, LESS = _state_tables()
+#: The same once a bit is taken out of the counts: for a zero, then for a one.
+ODDS_LESS, KNOWN_LESS = ODDS[LESS.T].ravel(), KNOWN[LESS.T].ravel()
 
 
 # -- bits and their mixer --------------------------------------------------------------------------------------------
@@ -96,8 +100,18 @@ class Bits:
     node: np.ndarray  # hashed place in the code, of each bit
     bit: np.ndarray
 
-    def slots(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
-        return [((np.repeat(c, self.lengths) + self.node) * np.uint32(0x9E3779B1)) >> np.uint32(32 - b) for c, b in zip(self.contexts, sizes, strict=True)]
+    def cuts(self) -> list[slice]:
+        return [slice(a, a + BATCH) for a in range(0, len(self.bit), BATCH)]
+
+    def slots(self, sizes: tuple[int, ...]) -> Iterator[Iterator[np.ndarray]]:
+        """For each predictor the slots, BATCH bits at a time: one table is used at once, and what leads to it stays in cache."""
+        for c, b in zip(self.contexts, sizes, strict=True):
+            context = np.repeat(c, self.lengths)
+            yield (((context[cut] + self.node[cut]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - b) for cut in self.cuts())
+
+    def states(self, sizes: tuple[int, ...], tables: list[np.ndarray]) -> list[np.ndarray]:
+        """Each predictor's state at each bit."""
+        return [np.concatenate([np.take(table, slot) for slot in slots]) for table, slots in zip(tables, self.slots(sizes), strict=True)]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -115,11 +129,11 @@ class Mixer:
     weights: np.ndarray  # GATES x (predictors + 1)
     refine: np.ndarray  # GATES x STEPS
 
-    def inputs(self) -> list[np.ndarray]:
-        """Weighted log-odds of each predictor by gate and state."""
-        tables = [np.outer(w, ODDS) for w in self.weights[:, :-1].T]
+    def inputs(self, odds: np.ndarray) -> list[np.ndarray]:
+        """Weighted log-odds of each predictor by gate and state, given those of each state."""
+        tables = [np.outer(w, odds) for w in self.weights[:, :-1].T]
         tables[0] += self.weights[:, -1:]
-        return [t.astype(np.float32).ravel() for t in tables]
+        return [t.astype(np.float32, copy=False).ravel() for t in tables]
 
     def final(self) -> np.ndarray:
         """Base-10 logarithm of the probability of a bit, by gate, step of the mixed log-odds, and bit."""
@@ -127,27 +141,35 @@ class Mixer:
         low = np.minimum(at.astype(np.int64), STEPS - 2)
         table = self.refine[:, low] * (1 - (at - low)) + self.refine[:, low + 1] * (at - low)
         p = np.clip(0.5 * _squash(at * (2 * LIMIT / (STEPS - 1)) - LIMIT)[None] + 0.5 * table, 1e-6, 1 - 1e-6)
-        return np.log10(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()
+        return np.log10(np.stack([1 - p, p], axis=2)).ravel()
 
     def log10_owners(self, bits: Bits, owners: int) -> np.ndarray:
         """Base-10 logarithm of the probability of each owner's bits."""
         if not len(bits.bit):
             return np.zeros(owners)
-        slots, logs = bits.slots(self.sizes), np.empty(len(bits.bit), dtype=np.float32)
-        inputs, final = self.inputs(), self.final()
-        for a in range(0, len(logs), BATCH):
-            cut = slice(a, a + BATCH)
-            gate, mixed, _ = mixed_odds([np.take(t, s[cut]) for t, s in zip(self.states, slots, strict=True)], inputs)
-            step = np.clip((mixed + np.float32(LIMIT)) * np.float32(FINE / (2 * LIMIT)), 0, FINE - 1).astype(np.int32)
-            logs[cut] = np.take(final, ((gate * FINE + step) << 1) + bits.bit[cut])
-        units = np.add.reduceat(logs, np.cumsum(bits.lengths) - bits.lengths, dtype=np.float64)
+        logs, inputs, final = np.empty(len(bits.bit)), self.inputs(ODDS), self.final()
+        states = bits.states(self.sizes, self.states)
+        for cut in bits.cuts():
+            gate, mixed, _ = mixed_odds([s[cut] for s in states], inputs, KNOWN)
+            logs[cut] = np.take(final, ((gate * FINE + steps(mixed, FINE / (2 * LIMIT), 0, FINE - 1)) << 1) + bits.bit[cut])
+        units = np.add.reduceat(logs, np.cumsum(bits.lengths) - bits.lengths)
         return np.bincount(bits.owner, units, owners)
 
 
-def mixed_odds(states: list[np.ndarray], inputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Gate, mixed log-odds, and gate and state together for each predictor."""
-    gate = np.take(KNOWN, states[-1]) * np.int32(4) + np.take(KNOWN, states[-2])
-    row = gate << 8
+def steps(mixed: np.ndarray, width: float, shift: float, most: int) -> np.ndarray:
+    """The step, 0 to most, that mixed log-odds from -LIMIT on fall into; mixed is used up."""
+    mixed += np.float32(LIMIT)
+    mixed *= np.float32(width)
+    mixed += np.float32(shift)
+    np.maximum(mixed, np.float32(0), out=mixed)
+    np.minimum(mixed, np.float32(most), out=mixed)
+    return mixed.astype(np.intp)
+
+
+def mixed_odds(states: list[np.ndarray], inputs: list[np.ndarray], known: np.ndarray, first: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Gate, mixed log-odds, and gate and state together for each predictor; known tells of states, counted from first."""
+    gate = np.take(known, first + states[-1]) * 4 + np.take(known, first + states[-2])
+    row = gate * len(known) + first
     places = [row + s for s in states]
     mixed = np.take(inputs[0], places[0])
     for table, place in zip(inputs[1:], places[1:], strict=True):
@@ -171,20 +193,18 @@ class Learner:
         self.places = np.zeros(2 * GATES * STEPS)  # zeros and ones met at each place of the table
 
     def learn(self, bits: Bits) -> None:
-        slots, less = bits.slots(self.mixer.sizes), LESS.ravel()
-        for a in range(0, len(bits.bit), BATCH):
-            cut = slice(a, a + BATCH)
-            bit = bits.bit[cut]
-            states = [np.take(less, (np.take(t, s[cut]).astype(np.int32) << 1) + bit) for t, s in zip(self.mixer.states, slots, strict=True)]
-            gate, mixed, places = mixed_odds(states, self.mixer.inputs())
-            error = bit - 1 / (1 + np.exp(-mixed))
+        states = bits.states(self.mixer.sizes, self.mixer.states)
+        for cut in bits.cuts():
+            bit = bits.bit[cut].astype(np.intp)
+            gate, mixed, places = mixed_odds([s[cut] for s in states], self.mixer.inputs(ODDS_LESS), KNOWN_LESS, bit << 8)
+            error = (bits.bit[cut] - 1 / (1 + np.exp(-mixed))).astype(np.float64)
             count = np.bincount(gate, minlength=GATES)
-            sums = [np.bincount(place, error, 256 * GATES).reshape(GATES, 256) for place in places]
-            grad = np.stack([*[v @ ODDS for v in sums], sums[0].sum(axis=1)], axis=1) / np.maximum(1, count)[:, None]
+            sums = [np.bincount(place, error, 512 * GATES).reshape(GATES, 512) for place in places]
+            grad = np.stack([*[v @ ODDS_LESS for v in sums], sums[0].sum(axis=1)], axis=1) / np.maximum(1, count)[:, None]
             self.squares += grad * grad
             self.mixer.weights += (RATE * grad / np.sqrt(self.squares)).astype(np.float32)
             self.bits += count
-            near = np.clip((mixed + np.float32(LIMIT)) * np.float32((STEPS - 1) / (2 * LIMIT)) + np.float32(0.5), 0, STEPS - 1).astype(np.int32)
+            near = steps(mixed, (STEPS - 1) / (2 * LIMIT), 0.5, STEPS - 1)
             self.places += np.bincount(((gate * STEPS + near) << 1) + bit, minlength=2 * GATES * STEPS)
 
     def seen(self) -> pd.DataFrame:
@@ -201,7 +221,8 @@ def count_table(bits: Iterator[Bits], sizes: tuple[int, ...]) -> list[np.ndarray
     tables = [np.zeros(2 << b, dtype=np.int32) for b in sizes]
     for part in bits:
         for table, slots in zip(tables, part.slots(sizes), strict=True):
-            np.add.at(table, (slots * np.uint32(2) + part.bit).astype(np.int64), np.int32(1))
+            for cut, slot in zip(part.cuts(), slots, strict=True):
+                np.add.at(table, (slot * np.uint32(2) + part.bit[cut]).astype(np.intp), np.int32(1))
     return tables
 
 
@@ -471,7 +492,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     frequent = F.col("h").isin(code.hashes.view(np.int64).tolist())
 
     def symbols(batch: pa.RecordBatch) -> Iterator[Bits]:
-        for _, data, offsets in text_chunks(batch.column(0), batch.column(0)):
+        for _, data, offsets in text_chunks(batch.column(0), batch.column(0), BITS_BYTES):
             yield token_bits(code, data, offsets)[0]
 
     tail = F.conv(F.lpad(F.hex(F.substring("word", -2, 2)), 4, "0"), 16, 10).cast("int")
@@ -489,7 +510,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, base, model = known.value
         for batch in batches:
-            for ids, data, offsets in text_chunks(batch.column(0), batch.column(1)):
+            for ids, data, offsets in text_chunks(batch.column(0), batch.column(1), BITS_BYTES):
                 bits, h, owner, _, per = token_bits(code, data, offsets)
                 h, n = h.view(np.int64), len(ids)
                 written = sent.value.log10_owners(bits, n)

@@ -106,7 +106,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(ids: pa.Array, texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of some documents at a time; a null text counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if texts.offset or not len(texts):
@@ -117,15 +117,15 @@ def chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndar
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     ids, at = ids.to_numpy(zero_copy_only=False), 0
     while at < len(ids):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield ids[at:to], data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
-def text_chunks(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def text_chunks(keys: pa.Array, texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """chunks(), with the keys as they are (of any type, null or not)."""
     at = 0
-    for _, data, offsets in chunks(pa.array(np.zeros(len(keys), dtype=np.int8)), texts):
+    for _, data, offsets in chunks(pa.array(np.zeros(len(keys), dtype=np.int8)), texts, size):
         n = len(offsets) - 1
         yield keys.slice(at, n), data, offsets
         at += n
