@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fingerprint, langid, linededup, lm, ngramjoin, packing, quality, secrets, urlfilter
+from lectern.llm import bpe, collocations, fingerprint, langid, linededup, lm, ngramjoin, packing, quality, secrets, tokencount, urlfilter, whitening
 from lectern.llm.shared import table
 
 
@@ -67,6 +67,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_imatch": op9_imatch,
     "op10_url_filter": op10_url_filter,
+    "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 _BLOCKED = ", ".join(f"'{h}'" for h in urlfilter.BLOCKED_HOSTS)
@@ -100,4 +115,19 @@ ORACLES: dict[str, str] = {
                case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
                     when exists (select 1 from listed where host = name or ends_with(host, '.' || name)) then 'block' else 'allow' end as verdict
         from ruled""",
+    "op12_collocations": """
+        with cut as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+        spoken as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as ws from cut),
+        grams as (select lang, k, ws[i:i + k - 1] as ph from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from spoken cross join (select unnest([1, 2, 3, 4, 5]) as k) where len(ws) >= k)),
+        f as (select lang, k, array_to_string(ph, ' ') as phrase, ph, count(*) as a from grams group by lang, k, ph),
+        totals as (select lang, sum(a) as n from f where k = 1 group by lang),
+        often as (select * from f where a >= 100),
+        cuts as (select c.lang, c.k, c.phrase, c.a, j, array_to_string(c.ph[1:j], ' ') as p1, array_to_string(c.ph[j + 1:], ' ') as p2 from (select *, unnest(range(1, k)) as j from often where k > 1) c),
+        priced as (select c.lang, c.k, c.phrase, c.a, c.j, x.a as l, y.a as r, t.n, (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+                   from cuts c join often x on x.lang = c.lang and x.phrase = c.p1 join often y on y.lang = c.lang and y.phrase = c.p2 join totals t on t.lang = c.lang),
+        best as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from priced) where o = 1),
+        longer as (select lang, phrase, max(a) as a from (select lang, unnest([array_to_string(ph[1:k - 1], ' '), array_to_string(ph[2:], ' ')]) as phrase, a from often where k > 2) group by lang, phrase),
+        kept as (select b.* from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase where g.a is null or 100 * g.a < 100 * b.a)
+        select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+        from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000""",
 }
