@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import CHUNK_BYTES, LOWER, attach, forget, materialize, mix, text_chunks, word_hashes
+from lectern.llm.shared import LOWER, attach, forget, materialize, mix, text_chunks, word_hashes
 
 LONGEST, LEAST, PERCENT, KEPT = 5, 100, 100, 2000
 UNKNOWN = "und"
 
 #: Bits of the filter that every task gets (8 MB), and the bits of a word id that choose a child.
 FILTER_BITS, FAN_BITS = 1 << 26, 4
-#: Phrases after which a container bursts, phrases of a whole trie, and bytes of text that are cut into words at once.
-BURST, LIMIT, WORDS_BYTES = 1 << 16, 1 << 20, 4 * CHUNK_BYTES
+#: Phrases after which a container bursts, and phrases of a whole trie.
+BURST, LIMIT = 1 << 16, 1 << 20
 
 _PLACES = np.random.default_rng(31_415).integers(1, 2**63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPLITS = np.zeros(256, dtype=bool)
@@ -152,7 +152,7 @@ class HatTrie:
 
 def _words(langs: pa.Array, texts: pa.Array, seed: int) -> Iterator[tuple]:
     """(bytes, starts, ends, word ids, piece numbers, document numbers, langs) of some documents at a time."""
-    for keys, data, offsets in text_chunks(langs.fill_null(UNKNOWN), texts, WORDS_BYTES):
+    for keys, data, offsets in text_chunks(langs.fill_null(UNKNOWN), texts):
         inside = ~_BLANK[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
@@ -236,7 +236,7 @@ def counted(docs: DataFrame, width: int, bits: np.ndarray, lang_col: str, text_c
             yield rows(run_ids, run_counts)
 
     made = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, "ids array<long>, f long")
-    return made.groupBy("ids").agg(F.sum("f").alias("f"))
+    return made.repartition("ids").groupBy("ids").agg(F.sum("f").alias("f"))  # the trie has combined what a task can combine
 
 
 def sliding(ids: np.ndarray, width: int) -> np.ndarray:
