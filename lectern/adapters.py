@@ -74,9 +74,9 @@ def with_views(names: list[str], body: str, duckdb: bool = True) -> str:
     """body as one statement, with the views it reads in front."""
     parts = [f"{n} as ({v if isinstance(v := VIEWS[n], str) else v[duckdb]})" for n in closure(names)]
     text = body.strip()
-    if text[:5].lower() == "with ":
-        parts.append(text[5:])
-        return "with " + ", ".join(parts)
+    for start in ("with recursive ", "with "):
+        if text.lower().startswith(start):
+            return start + ", ".join([*parts, text[len(start) :]])
     return ("with " + ", ".join(parts) + " " if parts else "") + text
 
 

@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from lectern.plans import books, evaluation, intelligence, joins, resolution, retrieval, scanned, text, vision  # noqa: F401
+from lectern.plans import books, evaluation, intelligence, joins, rag, resolution, retrieval, scanned, text, vision  # noqa: F401
 from lectern.sources import records  # noqa: F401
 from lectern.streaming import jobs  # noqa: F401

@@ -10,43 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import adapters
-from lectern.plans.text import tokenize
+from lectern.plans.sparse import bm25, postings, top
 from lectern.registry import register, register_sql
 
-K1, B, RRF = 1.5, 0.75, 60
-
+RRF = 60
 
 # -- sparse
 
-
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_col), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, place) of the best k documents. Only postings of query terms are weighed and shuffled."""
-    cut = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    totals = cut.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    rows = cut.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(df, "term").join(found, "term").crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 8).alias("score")).where("score > 0")
-    return top(scored, "query_id", "doc_id", k)
-
-
-def top(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    order = Window.partitionBy(query).orderBy(F.col("score").desc(), item)
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
 _TOKENS = r"list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)"
 _BM25_ORACLE = f"""tok as (select doc_id, unnest({_TOKENS.format('text')}) as term from documents), tfs as (select doc_id, term, count(*) as tf from tok group by doc_id, term),
-    lens as (select doc_id, len({_TOKENS.format('text')}) as dl from documents), tot as (select count(*) as n, avg(dl) as avgdl from lens), dfs as (select term, count(*) as df from tfs group by term),
+    lens as (select doc_id, coalesce(len({_TOKENS.format('text')}), 0) as dl from documents), tot as (select count(*) as n, avg(dl) as avgdl from lens), dfs as (select term, count(*) as df from tfs group by term),
     asked as (select query_id, term, count(*) as times from (select query_id, unnest({_TOKENS.format('query')}) as term from search_queries) group by query_id, term),
     sparse_all as (select query_id, t.doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 8) as score
       from asked a join dfs d on d.term = a.term join tfs t on t.term = a.term join lens l on l.doc_id = t.doc_id cross join tot group by query_id, t.doc_id),
@@ -255,8 +228,6 @@ def mmr(candidates: DataFrame, k: int = 5, relevance: float = 0.8) -> DataFrame:
 
 register("mmr_rerank", lambda s, d: mmr(knn(_vector_queries(s, d), _vectors(s, d), 15).drop("place").join(_vectors(s, d), "vec_id")))
 register("grouped_map_greedy", lambda s, d: mmr(knn(_vector_queries(s, d), _vectors(s, d), 9).drop("place").join(_vectors(s, d), "vec_id"), 3))
-register("retrieve_pipeline", lambda s, d: rrf(*_lists(s, d)).join(_docs(s, d).select("doc_id", F.substring("text", 1, 200).alias("excerpt")), "doc_id").where(F.length("excerpt") >= 40).select("query_id", "doc_id", "score", "place", "excerpt"))
-register("similar_books", lambda s, d: bm25(adapters.query(s, d, ["books"], "select book_id as query_id, concat(title, ' ', author) as query from books"), adapters.query(s, d, ["books"], "select book_id as doc_id, concat(title, ' ', author, ' ', array_join(genres, ' ')) as text from books where not is_deleted"), 11).where("query_id <> doc_id"))
 register_sql("retrieve_by_genre", ["books"], "select book_id, title from books where array_contains(genres, 'anvil') and not is_deleted order by rating desc, book_id limit 10", "select book_id, title from books where list_contains(genres, 'anvil') and not is_deleted order by rating desc, book_id limit 10")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import adapters
 from lectern.registry import register
+from lectern.storage import scratch
 
 BOOK = T.StructType([T.StructField("book_id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("publication_year", T.LongType()), T.StructField("rating", T.IntegerType())])
 COCO = "images array<struct<id: long, file_name: string>>, annotations array<struct<image_id: long, category_id: long, bbox: array<double>>>, categories array<struct<id: long, name: string>>"
@@ -18,11 +17,6 @@ VOLUME = "id string, volumeInfo struct<title: string, authors: array<string>, pu
 LIBRARY_DOC = "key string, title string, isbn array<string>, publish_year array<int>, subject array<string>, cover_i long"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: beside the warehouse."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lectern-{uuid.uuid4().hex}/{name}"
-
-
 def write_books_json(books: DataFrame, path: str) -> None:
     books.write.json(path)
 

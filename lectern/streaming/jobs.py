@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.registry import register
-from lectern.sources.records import scratch
+from lectern.storage import scratch
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
