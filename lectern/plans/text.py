@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import adapters
+from lectern.plans.alignment import distance, replaced
 from lectern.registry import register, register_dialects, register_sql
 
 
@@ -129,10 +133,17 @@ def _check(i: int) -> str:
 register("extract_isbn", _isbn_rows, ["books"], f"select book_id, concat(h, cast((10 - ({' + '.join(_check(i) for i in range(1, 13))}) % 10) % 10 as varchar)) as isbn from (select book_id, concat('978', lpad(cast(book_id as varchar), 9, '0')) as h from books)")
 
 
+def _once(one: Callable[[str, str], float], left: pd.Series, right: pd.Series) -> pd.Series:
+    """one() of each pair of strings, distinct pairs of a batch once; null counts as empty."""
+    pairs = list(zip(left.fillna(""), right.fillna(""), strict=True))
+    known = {p: one(*p) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters in the longest-block alignment of two strings; null counts as empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return _once(lambda x, y: 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio(), a, b)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -140,17 +151,10 @@ def word_error_rate(truth: pd.Series, prediction: pd.Series) -> pd.Series:
     """Word edits over truth words; 0 or 1 where the truth has none."""
 
     def one(t: str, p: str) -> float:
-        a, b = (t or "").split(), (p or "").split()
-        if not a:
-            return float(bool(b))
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1] / len(a)
+        a, b = t.split(), p.split()
+        return distance(a, b) / len(a) if a else float(bool(b))
 
-    return pd.Series([one(t, p) for t, p in zip(truth, prediction, strict=True)])
+    return _once(one, truth, prediction)
 
 
 def token_sort(text: Column) -> Column:
@@ -171,13 +175,23 @@ register("udf_similarity", lambda s, d: _pairs(s, d).select("sample_id", sequenc
 register("word_error_rate", lambda s, d: _pairs(s, d).select("sample_id", word_error_rate("truth", "prediction").alias("wer")))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())])))
-def _confusions(truth: pd.Series, prediction: pd.Series) -> pd.Series:
-    out = []
-    for t, p in zip(truth, prediction, strict=True):
-        blocks = difflib.SequenceMatcher(None, t or "", p or "", autojunk=False).get_opcodes()
-        out.append([{"g": g, "p": q} for tag, a, b, c, d in blocks if tag == "replace" for g, q in zip(t[a:b], p[c:d], strict=False)])
-    return pd.Series(out)
+def confusions(pairs: DataFrame) -> DataFrame:
+    """(g, p, times): characters of truth read as others in prediction, over alignments of least edit distance.
+
+    Equal pairs are aligned once, and a task adds up what it found: it sends at most a row for each two characters. Lines are
+    aligned whole. Null counts as empty; pairs that are equal, or of which one is empty, confuse nothing.
+    """
+    same = pairs.where("truth <> prediction").groupBy("truth", "prediction").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for t, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for pair, times in replaced(t, p).items():
+                    found[pair] += n * times
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array(found.values(), pa.int64())], names=["g", "p", "times"])
+
+    return same.mapInArrow(run, "g string, p string, times long").groupBy("g", "p").agg(F.sum("times").alias("times"))
 
 
-register("char_confusion", lambda s, d: _pairs(s, d).select(F.explode(_confusions("truth", "prediction")).alias("x")).groupBy("x.g", "x.p").agg(F.count("*").alias("times")))
+register("char_confusion", lambda s, d: confusions(_pairs(s, d)))
