@@ -6,8 +6,9 @@ are dealt by a hash into shards of about `SHARD_PIECES`, and each shard is packe
 source or a huge document never meets in one place; a shard wastes about one window. Special tokens that a text names
 become their ids, as the library does by default.
 
-Defined results: a null or empty text has the end id alone; repeated rows are packed each; extra columns are ignored;
-an empty table gives no rows.
+Defined results: a null or empty text has the end id alone; repeated rows, and rows without an id, are packed each; very
+long texts are encoded whole; pieces of one length go by id (nulls last), then start, and of windows with the same
+room the one opened or filled last is taken; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +100,10 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
     shards = cut.count() // SHARD_PIECES + 1
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(shards)))
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["length", id_col, "start"], ascending=[False, True, True], kind="stable")
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.take(pc.sort_indices(shard, sort_keys=[("length", "descending"), (id_col, "ascending"), ("start", "ascending")]))
         into, offset = best_fit(shard["length"].to_numpy(), window)
-        return shard.assign(sequence_id=shard["shard"] * (1 << 32) + into, offset=offset).drop(columns="shard")
+        sequence = shard["shard"].to_numpy() * (1 << 32) + into
+        return shard.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return dealt.groupBy("shard").applyInPandas(run, ", ".join(f"{c} long" for c in [*cut.columns, "sequence_id", "offset"]))
+    return dealt.groupBy("shard").applyInArrow(run, ", ".join(f"{c} long" for c in [*cut.columns, "sequence_id", "offset"]))
