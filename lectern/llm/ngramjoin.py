@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.shared import attach, bit_filter, chunks, materialize, mix, shingle_sets, word_bounds, word_hashes
+from lectern.llm.shared import attach, bit_filter, forget, materialize, mix, shingle_sets, text_chunks, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 3
@@ -51,9 +51,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix(rows + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
-        for ids, data, offsets in chunks(batch.column(0), batch.column(1)):
+        for ids, data, offsets in text_chunks(batch.column(0), batch.column(1)):
             starts, ends, first = word_bounds(data, offsets)
             yield ids, list(shingle_sets(word_hashes(data, starts, ends), first, size))
 
@@ -67,7 +67,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -
             keys = np.concatenate([band_keys(s) for s in sets if len(s)] or [np.zeros(0, dtype=np.uint64)]).view(np.int64)
             ends = np.cumsum([0, *[BANDS * (len(s) > 0) for s in sets]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), from_pandas=True), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array([d[k] for d in digests], dtype=np.uint64).view(np.int64)) for k in (0, 1)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))],
+                [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array([d[k] for d in digests], dtype=np.uint64).view(np.int64)) for k in (0, 1)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))],
                 names=[id_col, "n", "d1", "d2", "keys"],
             )
 
@@ -190,12 +190,16 @@ def _sides(rows: DataFrame, side: int, *columns: str) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of nodes (node, keys)."""
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    dealt = components(banded.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")))
+    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    ends = materialize(ends, "ends")
+    met = attach(banded, ends, "key", "n", BANDS * nodes.count())
+    dealt = components(met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")))
     dealt = materialize(dealt.withColumnRenamed("component", "cluster"), "clusters")
+    forget(ends)
     sizes = dealt.groupBy("cluster").agg(F.count("*").alias("members"))
+    dealt = attach(dealt, sizes.withColumn("n", F.col("members")), "cluster", "n", dealt.count())
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunk")
-    placed = materialize(dealt.join(sizes, "cluster").select("node", "cluster", chunk, "members"), "placed")
+    placed = materialize(dealt.select("node", "cluster", chunk, "members"), "placed")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,9 +244,11 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the least id reachable by links."""
-    made = materialize(sketches(docs, id_col, text_col, size), "sketches")
-    same = made.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys"))
-    nodes = materialize(same, "nodes")
+    made = materialize(sketches(docs, id_col, text_col, size).withColumn("same", F.concat_ws(":", "n", "d1", "d2")), "sketches")
+    filled = made.where("n > 0")
+    nodes = materialize(filled.groupBy("same").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "nodes")
     merged = materialize(components(links(docs, nodes.select("node", "keys"), id_col, text_col, size, percent)), "merged")
-    known = nodes.select("n", "d1", "d2", "node").join(merged, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
-    return made.drop("keys").join(known, ["n", "d1", "d2"], "left").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", id_col).alias("component_id"))
+    known = materialize(nodes.join(merged, "node", "left").select("same", F.coalesce("component", "node").alias("component"), "copies"), "known")
+    placed = attach(filled.select(id_col, "n", "same"), known, "same", "copies", filled.count())
+    found = placed.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", id_col).alias("component_id"))
+    return found.union(made.where("n = 0").select(id_col, "n", id_col))  # nothing to look up: empty texts never meet

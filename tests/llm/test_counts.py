@@ -179,3 +179,27 @@ def test_refined_eigenvectors(values):
 def test_exact_deviations():
     x, sums = np.array([[3_000_000, -5], [1, 2]]), np.array([7, 1 << 40])
     assert whitening.deviations(x, 1000, sums) == [(3_000_000_000 - 7) ** 2 + (5000 + (1 << 40)) ** 2 if (3_000_000_000 - 7) ** 2 + (5000 + (1 << 40)) ** 2 < 1 << 63 else None, (1000 - 7) ** 2 + (2000 - (1 << 40)) ** 2 if (1000 - 7) ** 2 + (2000 - (1 << 40)) ** 2 < 1 << 63 else None]
+
+
+# -- ids beside nulls
+
+
+def test_great_ids_beside_null_ids(spark):
+    """Longs beyond 2 ** 53 keep their last digits where another row has no id."""
+    from lectern.llm import ngramjoin, packing
+
+    far = 2**53
+    text = "one two three four five six seven"
+    rows = [(far + 1, text), (far, "quite another text than the first one here"), (far + 3, text), (None, text), (None, None), (far + 3, text), (far + 5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    joined = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngramjoin.join_components(table).collect())
+    assert joined == [(0, 0, 0), (0, 3, far + 1), (far, 4, far), (far + 1, 3, far + 1), (far + 3, 3, far + 1), (far + 3, 3, far + 1), (far + 5, 0, far + 5)]
+    packed = packing.pack(table, vocabulary("byte_bpe_50k.json")).collect()
+    assert sorted(r.doc_id or 0 for r in packed) == sorted(r[0] or 0 for r in rows)
+
+
+def test_many_empty_texts(spark):
+    from lectern.llm import ngramjoin
+
+    table = spark.range(100_000).selectExpr("id as doc_id", "if(id % 2 = 0, '', null) as text")
+    assert ngramjoin.join_components(table).where("n_shingles = 0 and component_id = doc_id").count() == 100_000
