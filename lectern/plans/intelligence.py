@@ -21,17 +21,6 @@ register_dialects(
 register_dialects("diversity_stats_simple", ["owned"], f"with {_SCORES.replace('a.books from', 'a.books, a.authors, g.entropy, y.sd from')} select library_id, round(0.3e0 * least(1e0, authors / (0.8e0 * books)) + 0.4e0 * least(1e0, entropy / 3e0) + 0.3e0 * least(1e0, sd / 30e0), 6) as overall from scores")
 register_dialects("quick_diversity", ["owned"], f"with {_SCORES.replace('a.books from', 'a.books, g.evenness, a.gini from')} select library_id, round((evenness + gini) / 2e0, 6) as score from scores")
 register_dialects("udaf_entropy", ["owned"], f"with {_COUNTS} select library_id, round(-sum(p * log2(p)), 6) as entropy, round(1 - sum(p * p), 6) as gini_simpson from t group by library_id")
-_TAXONOMY = "taxonomy(keyword, genre, parent, ord) as (select * from (values ('ring', 'Romance', 'Fiction', 1), ('old', 'History', 'Nonfiction', 2), ('gear', 'Technology', 'Nonfiction', 3), ('gizmo', 'Science Fiction', 'Fiction', 4), ('red', 'Thriller', 'Fiction', 5), ('cold', 'Mystery', 'Fiction', 6), ('rod', 'Crafts', 'Nonfiction', 7)) v(keyword, genre, parent, ord))"
-_CLASSIFY = f"{_TAXONOMY}, texts as (select book_id, lower(title) as text, 0.5e0 as weight from books union all select book_id, lower($JOIN(genres, ' ')), 2e0 from books), hits as (select b.book_id, x.genre, x.ord, sum(b.weight) as score from texts b join taxonomy x on position(x.keyword in b.text) > 0 group by b.book_id, x.genre, x.ord), shares as (select *, score / max(score) over (partition by book_id) as share, row_number() over (partition by book_id order by score desc, ord) as place from hits)"
-_JOIN = {"JOIN": ("array_join", "array_to_string")}
-register_dialects("genre_classify", ["books"], f"with {_CLASSIFY} select b.book_id, coalesce(s.genre, 'Fiction') as genre, coalesce(round(s.share, 6), 0.5e0) as share, coalesce(s.place, 1) as place from books b left join shares s on s.book_id = b.book_id and (s.place = 1 or (s.place <= 5 and s.share > 0.3))", **_JOIN)
-register_dialects("genre_normalize", ["books"], f"with {_TAXONOMY}, names as (select book_id, $EXPLODE(genres) as raw from books) select n.book_id, n.raw, t.genre, t.parent from names n left join taxonomy t on t.keyword = lower(n.raw)")
-_PRIMARY = f"{_CLASSIFY}, mine as (select l.library_id, s.genre, count(*) as n from libraries l join shares s on s.book_id = l.book_id and s.place = 1 group by l.library_id, s.genre), ranked as (select *, round(100e0 * n / sum(n) over (partition by library_id), 6) as share_pct, row_number() over (partition by library_id order by n desc, genre) as r from mine)"
-register_dialects("genre_collection_report", ["books", "libraries"], f"with {_PRIMARY} select library_id, genre, n, share_pct, r, r <= 3 and share_pct >= 15 as dominant from ranked", **_JOIN)
-register_dialects(
-    "suggest_genres", ["books", "libraries"],
-    f"with {_PRIMARY}, likes as (select k.library_id, x.parent, min(k.r) as r from ranked k join taxonomy x on x.genre = k.genre where k.r <= 3 group by k.library_id, x.parent), options as (select l.library_id, x.genre, l.r, x.ord from likes l join taxonomy x on x.parent = l.parent left join mine m on m.library_id = l.library_id and m.genre = x.genre where m.genre is null), placed as (select library_id, genre, row_number() over (partition by library_id order by r, ord) as place from options) select * from placed where place <= 5", **_JOIN,
-)
 # the best of each source, author or genre are ranked once: five more than any library owns are enough for all of them
 _UNOWNED = "not exists (select 1 from libraries z where z.library_id = {l} and z.book_id = {b})"
 _MOST = "most as (select max(c) as m from (select count(*) as c from libraries group by library_id) q)"
