@@ -2,4 +2,4 @@
 
 from lectern.plans import books, evaluation, genres, intelligence, joins, rag, resolution, retrieval, scanned, text, vision  # noqa: F401
 from lectern.sources import records  # noqa: F401
-from lectern.streaming import jobs  # noqa: F401
+from lectern.streaming import jobs, stateful  # noqa: F401

@@ -44,12 +44,6 @@ def keep_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
 
 
-def sliding_counts(stream: DataFrame) -> DataFrame:
-    """Requests per client in sliding windows; late rows beyond the watermark are left out."""
-    counted = stream.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("requests"))
-    return counted.select("user_id", F.col("w.start").alias("window_start"), "requests")
-
-
 def token_bucket(per_minute: float, capacity: float) -> Callable:
     """Decisions of a refilling bucket per client; idle clients are forgotten after an hour of event time."""
 
@@ -79,15 +73,7 @@ def limited(stream: DataFrame, per_minute: float = 0.02, capacity: float = 3) ->
     return rows.groupBy("user_id").applyInPandasWithState(token_bucket(per_minute, capacity), kind, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latency_sketches(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", [0.5, 0.95], 10_000).alias("p"))
-
-
-register("stream_sliding_limit", lambda s, d: drain(sliding_counts(events(s, d))))
 register("stream_token_bucket", lambda s, d: drain(limited(events(s, d))))
-register("stream_state_ttl", lambda s, d: drain(limited(events(s, d), 0.001, 1)).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked")))
-register("stream_latency", lambda s, d: keep_latest(latency_sketches(events(s, d)), ["event_type"]))
-register("stream_calibration", lambda s, d: keep_latest(events(s, d).groupBy(F.floor(F.least(F.col("value") / 10, F.lit(9))).alias("bucket")).agg(F.count("*").alias("samples"), F.avg((F.col("event_type") == "click").cast("double")).alias("accuracy")), ["bucket"]))
 
 
 def fold_context(limit: int = 50) -> Callable:
@@ -150,17 +136,17 @@ def final_state(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _plain_time(df: DataFrame, *columns: str) -> DataFrame:
+def plain_time(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")) for c in columns})
 
 
 register(
-    "stream_fixed_window", lambda s, d: _plain_time(keep_latest(fixed_windows(events(s, d)), ["user_id", "window_start"]), "window_start"), ["latency"],
+    "stream_fixed_window", lambda s, d: plain_time(keep_latest(fixed_windows(events(s, d)), ["user_id", "window_start"]), "window_start"), ["latency"],
     "select user_id, date_trunc('minute', ts) as window_start, count(*) as requests, count(*) > 1 as over_limit from latency group by user_id, date_trunc('minute', ts)",
 )
 register("stream_conversation_stats", lambda s, d: keep_latest(conversation_counters(log(s, d, "conversations")), ["conv_id"]), ["turns"], "select conv_id, count(*) as messages, cast(sum(coalesce(token_count, 0)) as bigint) as tokens, max(turn) as last_turn from turns group by conv_id")
 register(
-    "stream_session", lambda s, d: _plain_time(final_state(sessions(events(s, d))), "started_at", "ended_at"), ["latency"],
+    "stream_session", lambda s, d: plain_time(final_state(sessions(events(s, d))), "started_at", "ended_at"), ["latency"],
     """with gaps as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '24' hour then 0 else 1 end as opens from latency),
             numbered as (select *, sum(opens) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session_no from gaps)
        select user_id, count(*) as events, min(ts) as started_at, max(ts) as ended_at from numbered group by user_id, session_no""",
