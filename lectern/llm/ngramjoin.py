@@ -4,8 +4,9 @@ A document's set is its distinct word shingles. The steps:
 
 1. Documents with equal sets become one node (the least id), so exact copies never multiply.
 2. Nodes are dealt into clusters: minhash bands (`BANDS` of `ROWS`; a pair at the threshold misses all of them with a
-   probability of 2e-8) link each node with the least and the greatest node of its bucket, and the components of those
-   links are the clusters. No pair is formed inside a bucket.
+   probability of 3e-8; those that share a third of their shingles meet in one band of 240) link each node with the
+   least and the greatest node of its bucket, and the components of those links are the clusters. No pair is formed inside
+   a bucket.
 3. Inside a cluster a signature tree holds OR-combined bitmaps of shingles, ranges of set sizes and the most shingles
    that share a bit. A dual traversal from the root drops node pairs whose greatest possible overlap is too small; leaf
    pairs that remain, and that are not in one component yet, are verified on the whole sets.
@@ -32,7 +33,7 @@ from lectern.llm.components import components
 from lectern.llm.shared import attach, bit_filter, forget, materialize, mix, shingle_sets, text_chunks, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 64, 5
 CHUNK, FANOUT = 128, 8
 
 _RNG = np.random.default_rng(7_071_067)
