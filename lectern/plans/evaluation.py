@@ -1,10 +1,53 @@
 """Evaluation metrics over prediction tables, and service-log reports."""
 
-from lectern.registry import register_dialects, register_sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern import adapters
+from lectern.plans.quantiles import percentiles
+from lectern.registry import register, register_dialects, register_sql
+from lectern.storage import written
 
 _ERRORS = "e0 as (select sample_id, category, confidence, truth, prediction, levenshtein(truth, prediction) as distance from ocr_pairs), e as (select *, cast(distance as double) / greatest(1, length(truth)) as cer from e0)"
 _MEDIAN = {"MEDIAN(": ("percentile(", "quantile_cont(")}
-register_dialects("ocr_metrics", ["ocr_pairs"], f"with {_ERRORS} select count(*) as samples, round(avg(cer), 6) as mean_cer, round($MEDIAN(cer, 0.5), 6) as median_cer, round(stddev_pop(cer), 6) as sd_cer, round(avg(distance), 6) as mean_distance, cast(sum(length(truth)) as bigint) as chars from e", **_MEDIAN)
+
+
+def _oracle(views: list[str], body: str) -> dict:
+    return {"views": views, "oracle": body.replace("$MEDIAN(", "quantile_cont(")}
+
+
+def _beside(means: DataFrame, found: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    """means with the percentiles of the same groups, a column each; groups without values have none."""
+    p = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.round(F.get("p", F.lit(i)), 6).alias(name) for i, name in enumerate(names)])
+    both = F.lit(True)
+    for k in keys:
+        both = both & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return means.join(p, both, "left").select(*means.columns, *names)
+
+
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    return adapters.query(s, d, ["ocr_pairs"], f"with {_ERRORS} select * from e")
+
+
+def _ocr_metrics(s: SparkSession, d: str) -> DataFrame:
+    e = written(_errors(s, d).select("cer", "distance", F.length("truth").alias("size")), "errors")
+    means = e.agg(F.count("*").alias("samples"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.stddev_pop("cer"), 6).alias("sd_cer"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.sum("size").alias("chars"))
+    return _beside(means, percentiles(e, [], "cer", [0.5]), [], "median_cer")
+
+
+def _latency(s: SparkSession, d: str) -> DataFrame:
+    rows = adapters.view(s, d, "latency")
+    means = rows.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.round(F.stddev_pop("ms"), 6).alias("sd"), F.min("ms").alias("low"), F.max("ms").alias("high"))
+    return _beside(means, percentiles(rows, ["stage"], "ms", [0.5, 0.9, 0.95, 0.99]), ["stage"], "p50", "p90", "p95", "p99")
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    rows = written(adapters.query(s, d, ["rag_cases"], f"with {_RANKS} select relevance >= 2 as correct, 1e0 / place as score from ranked"), "scores")
+    means = rows.groupBy("correct").agg(F.count("*").alias("candidates"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return _beside(means, percentiles(rows, ["correct"], "score", [0.5]), ["correct"], "median_score")
+
+
+register("ocr_metrics", _ocr_metrics, **_oracle(["ocr_pairs"], f"with {_ERRORS} select count(*) as samples, round(avg(cer), 6) as mean_cer, round($MEDIAN(cer, 0.5), 6) as median_cer, round(stddev_pop(cer), 6) as sd_cer, round(avg(distance), 6) as mean_distance, cast(sum(length(truth)) as bigint) as chars from e"))
 register_dialects("ocr_by_category", ["ocr_pairs"], f"with {_ERRORS} select sample_id % 5 as category, count(*) as samples, round(avg(cer), 4) as mean_cer, round($MEDIAN(cer, 0.5), 4) as median_cer from e group by rollup(sample_id % 5)", **_MEDIAN)
 register_sql("ocr_error_bins", ["ocr_pairs"], f"with {_ERRORS}, bins(bin, low) as (select * from (values (0, '0'), (1, '<.05'), (2, '<.1'), (3, '<.2'), (4, '<.5'), (5, '>=.5')) v(bin, low)), b as (select case when cer = 0 then 0 when cer < 0.05 then 1 when cer < 0.1 then 2 when cer < 0.2 then 3 when cer < 0.5 then 4 else 5 end as bin from e) select n.bin, n.low as label, count(b.bin) as samples from bins n left join b on b.bin = n.bin group by n.bin, n.low")
 register_sql("confidence_correlation", ["ocr_pairs"], f"with {_ERRORS} select round(coalesce(corr(confidence, 1 - cer), 0e0), 6) as correlation from e")
@@ -14,7 +57,7 @@ _Q = "per_query as (select query_id, max(category) as category, min(case when re
 register_sql("ir_topk_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, case when first_hit <= 1 then 1 else 0 end as hit1, case when first_hit <= 5 then 1 else 0 end as hit5, round(hits3 / 3e0, 6) as precision3, round(coalesce(hits3 / nullif(cast(relevant as double), 0), 0e0), 6) as recall3, round(coalesce(1e0 / first_hit, 0e0), 6) as rr, round(dcg, 6) as dcg10 from per_query")
 register_sql("ident_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(stddev_pop(coalesce(1e0 / first_hit, 0e0)), 6) as sd_rr, round(avg(case when first_hit <= 5 then 1e0 else 0e0 end), 6) as hit_rate from per_query")
 register_sql("ir_by_category", ["rag_cases"], f"with {_RANKS}, {_Q} select category, count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(avg(case when first_hit = 1 then 1e0 else 0e0 end), 6) as p1, round(avg(cast(docs as double)), 6) as candidates from per_query group by category")
-register_dialects("score_distribution", ["rag_cases"], f"with {_RANKS} select relevance >= 2 as correct, count(*) as candidates, round(avg(1e0 / place), 6) as mean_score, round($MEDIAN(1e0 / place, 0.5), 6) as median_score from ranked group by relevance >= 2", **_MEDIAN)
+register("score_distribution", _scores, **_oracle(["rag_cases"], f"with {_RANKS} select relevance >= 2 as correct, count(*) as candidates, round(avg(1e0 / place), 6) as mean_score, round($MEDIAN(1e0 / place, 0.5), 6) as median_score from ranked group by relevance >= 2"))
 register_sql("rag_retrieval_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, round(cast(relevant as double) / docs, 6) as precision_all, round(graded, 6) as dcg10, round(coalesce(1e0 / first_hit, 0e0), 6) as rr from per_query")
 register_sql("relevance_join", ["rag_cases"], "with judged as (select query_id, doc_id, relevance from rag_cases where doc_id % 3 <> 0) select r.query_id, r.doc_id, coalesce(j.relevance, 0) as relevance from rag_cases r left join judged j on j.query_id = r.query_id and j.doc_id = r.doc_id")
 register_sql("rag_citation_metrics", ["rag_cases"], "with cited as (select query_id, doc_id from rag_cases where doc_id % 2 = 0), expected as (select query_id, doc_id from rag_cases where relevance >= 2), both_sides as (select coalesce(c.query_id, e.query_id) as query_id, c.doc_id as c, e.doc_id as e from cited c full outer join expected e on e.query_id = c.query_id and e.doc_id = c.doc_id) select query_id, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(c) as double), 0), 0e0), 6) as citation_precision, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(e) as double), 0), 0e0), 6) as citation_recall from both_sides group by query_id")
@@ -34,7 +77,7 @@ register_dialects(
 )
 register_sql("rag_by_category", ["rag_cases"], "select category, count(*) as rows_seen, round(avg(case when relevance >= 2 then 1e0 else 0e0 end), 6) as precision_all, round(avg(cast(length(answer) as double)), 4) as answer_length from rag_cases group by category")
 register_sql("grounding_check", ["rag_cases"], "select query_id, bool_and(relevance >= 1) as grounded, count(case when relevance < 1 then 1 end) as ungrounded from rag_cases group by query_id")
-register_dialects("latency_percentiles", ["latency"], "select stage, count(*) as n, round(avg(ms), 6) as mean, round(stddev_pop(ms), 6) as sd, min(ms) as low, max(ms) as high, round($MEDIAN(ms, 0.5), 6) as p50, round($MEDIAN(ms, 0.9), 6) as p90, round($MEDIAN(ms, 0.95), 6) as p95, round($MEDIAN(ms, 0.99), 6) as p99 from latency group by stage", **_MEDIAN)
+register("latency_percentiles", _latency, **_oracle(["latency"], "select stage, count(*) as n, round(avg(ms), 6) as mean, round(stddev_pop(ms), 6) as sd, min(ms) as low, max(ms) as high, round($MEDIAN(ms, 0.5), 6) as p50, round($MEDIAN(ms, 0.9), 6) as p90, round($MEDIAN(ms, 0.95), 6) as p95, round($MEDIAN(ms, 0.99), 6) as p99 from latency group by stage"))
 register_dialects("e2e_latency", ["latency"], "with placed as (select stage, ms, row_number() over (partition by stage order by event_id) as n from latency), short as (select min(c) as m from (select count(*) as c from placed group by stage) q), sums as (select n, sum(ms) as total from placed cross join short where n <= m group by n) select count(*) as samples, round(avg(total), 6) as mean, round($MEDIAN(total, 0.95), 6) as p95 from sums", **_MEDIAN)
 register_sql("e2e_accuracy", ["boxes"], "with expected as (select distinct image_id, box_no from boxes), found as (select distinct image_id, box_no from boxes where confidence >= 0.95) select count(*) as expected, count(f.box_no) as correct, round(count(f.box_no) / cast(count(*) as double), 6) as accuracy from expected e left join found f on f.image_id = e.image_id and f.box_no = e.box_no")
 register_dialects("eval_summary", ["ocr_pairs", "latency"], f"with {_ERRORS}, a as (select count(*) as samples, avg(cer) as cer from e), b as (select $MEDIAN(ms, 0.95) as p95 from latency) select coalesce(samples, 0) as ocr_samples, round(coalesce(cer, 0e0), 6) as ocr_cer, round(coalesce(p95, 0e0), 6) as latency_p95 from a cross join b", **_MEDIAN)
