@@ -1,19 +1,23 @@
 """Evaluation metrics over prediction tables, and service-log reports."""
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import adapters
 from lectern.plans.quantiles import percentiles
-from lectern.registry import register, register_dialects, register_sql
+from lectern.plans.retrieval import _KNN_ORACLE, knn
+from lectern.registry import dialect, register, register_dialects, register_sql
 from lectern.storage import written
 
 _ERRORS = "e0 as (select sample_id, category, confidence, truth, prediction, levenshtein(truth, prediction) as distance from ocr_pairs), e as (select *, cast(distance as double) / greatest(1, length(truth)) as cer from e0)"
 _MEDIAN = {"MEDIAN(": ("percentile(", "quantile_cont(")}
+_WORDS = {"BOTH(": ("array_intersect(", "list_intersect("), "WORDS(": ("split(", "string_split(")}
 
 
 def _oracle(views: list[str], body: str) -> dict:
-    return {"views": views, "oracle": body.replace("$MEDIAN(", "quantile_cont(")}
+    return {"views": views, "oracle": dialect(body, 1, **_MEDIAN, **_WORDS)}
 
 
 def _beside(means: DataFrame, found: DataFrame, keys: list[str], *names: str) -> DataFrame:
@@ -42,7 +46,7 @@ def _latency(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    rows = written(adapters.query(s, d, ["rag_cases"], f"with {_RANKS} select relevance >= 2 as correct, 1e0 / place as score from ranked"), "scores")
+    rows = written(adapters.query(s, d, ["rag_cases"], dialect(f"with {_RANKS} select relevance >= 2 as correct, 1e0 / place as score from ranked", 0, **_WORDS)), "scores")
     means = rows.groupBy("correct").agg(F.count("*").alias("candidates"), F.round(F.avg("score"), 6).alias("mean_score"))
     return _beside(means, percentiles(rows, ["correct"], "score", [0.5]), ["correct"], "median_score")
 
@@ -52,13 +56,65 @@ register_dialects("ocr_by_category", ["ocr_pairs"], f"with {_ERRORS} select samp
 register_sql("ocr_error_bins", ["ocr_pairs"], f"with {_ERRORS}, bins(bin, low) as (select * from (values (0, '0'), (1, '<.05'), (2, '<.1'), (3, '<.2'), (4, '<.5'), (5, '>=.5')) v(bin, low)), b as (select case when cer = 0 then 0 when cer < 0.05 then 1 when cer < 0.1 then 2 when cer < 0.2 then 3 when cer < 0.5 then 4 else 5 end as bin from e) select n.bin, n.low as label, count(b.bin) as samples from bins n left join b on b.bin = n.bin group by n.bin, n.low")
 register_sql("confidence_correlation", ["ocr_pairs"], f"with {_ERRORS} select round(coalesce(corr(confidence, 1 - cer), 0e0), 6) as correlation from e")
 register_sql("worst_samples", ["ocr_pairs"], f"with {_ERRORS} select sample_id, round(cer, 6) as cer from e order by round(cer, 6) desc, sample_id limit 10")
-_RANKS = "ranked as (select query_id, doc_id, relevance, category, row_number() over (partition by query_id order by (doc_id * 17 + query_id) % 1009, doc_id) as place from rag_cases)"
+# documents of a question by the share of its distinct words that they hold
+_RANKS = "held as (select query_id, doc_id, relevance, category, $SIZE($BOTH($DISTINCT($WORDS(lower(question), ' ')), $DISTINCT($WORDS(lower(content), ' ')))) as shared from rag_cases), ranked as (select query_id, doc_id, relevance, category, row_number() over (partition by query_id order by shared desc, doc_id) as place from held)"
 _Q = "per_query as (select query_id, max(category) as category, min(case when relevance >= 2 then place end) as first_hit, count(case when relevance >= 2 then 1 end) as relevant, count(*) as docs, count(case when relevance >= 2 and place <= 3 then 1 end) as hits3, sum(case when relevance >= 2 and place <= 10 then 1 / log2(place + 1) else 0e0 end) as dcg, sum(case when place <= 10 then (power(2e0, relevance) - 1) / log2(place + 1) else 0e0 end) as graded from ranked group by query_id)"
-register_sql("ir_topk_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, case when first_hit <= 1 then 1 else 0 end as hit1, case when first_hit <= 5 then 1 else 0 end as hit5, round(hits3 / 3e0, 6) as precision3, round(coalesce(hits3 / nullif(cast(relevant as double), 0), 0e0), 6) as recall3, round(coalesce(1e0 / first_hit, 0e0), 6) as rr, round(dcg, 6) as dcg10 from per_query")
-register_sql("ident_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(stddev_pop(coalesce(1e0 / first_hit, 0e0)), 6) as sd_rr, round(avg(case when first_hit <= 5 then 1e0 else 0e0 end), 6) as hit_rate from per_query")
-register_sql("ir_by_category", ["rag_cases"], f"with {_RANKS}, {_Q} select category, count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(avg(case when first_hit = 1 then 1e0 else 0e0 end), 6) as p1, round(avg(cast(docs as double)), 6) as candidates from per_query group by category")
+CUTS = (1, 3, 5, 10)
+
+
+def ranking_metrics(ranked: DataFrame, totals: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """A row for each query of totals (query_id, total): rr, and hit, precision, recall and NDCG at each cut.
+
+    ranked is (query_id, place, relevant); gains are binary, and the ideal list holds all relevant items that there are. Queries
+    without candidates, or without a relevant item, score 0.
+    """
+    gain = F.when(F.col("relevant"), 1 / F.log2(F.col("place") + 1)).otherwise(0.0)
+
+    def upto(k: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("place") <= k, value).otherwise(0.0))
+
+    sums = [upto(k, value).alias(f"{name}_{k}") for k in cuts for name, value in (("found", F.col("relevant").cast("double")), ("dcg", gain))]
+    found = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("place"))).alias("first"), *sums)
+    rows = totals.join(found, "query_id", "left")
+
+    def at(k: int) -> list[Column]:
+        hits, dcg = F.coalesce(f"found_{k}", F.lit(0.0)), F.coalesce(f"dcg_{k}", F.lit(0.0))
+        ideal = F.get(F.array(F.lit(0.0), *[F.lit(sum(1 / math.log2(i + 2) for i in range(n))) for n in range(1, k + 1)]), F.least(F.col("total"), F.lit(k)).cast("int"))
+        return [(hits > 0).alias(f"hit_{k}"), F.round(hits / k, 6).alias(f"precision_{k}"), F.when(F.col("total") > 0, F.round(hits / F.col("total"), 6)).otherwise(0.0).alias(f"recall_{k}"), F.when(ideal > 0, F.round(dcg / ideal, 6)).otherwise(0.0).alias(f"ndcg_{k}")]
+
+    return rows.select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), *[c for k in cuts for c in at(k)])
+
+
+def _ir_topk(s: SparkSession, d: str) -> DataFrame:
+    """Vectors with ids divisible by 20 look for others of their label; ranks are those of the exact search."""
+    vectors = adapters.view(s, d, "embeddings").select("vec_id", "embedding", "label")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
+    found = knn(asked.select("query_id", "embedding"), vectors.select("vec_id", "embedding"), max(CUTS) + 1).where("query_id <> vec_id")
+    judged = found.join(vectors.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "wanted"), "query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    ranked = judged.select("query_id", place.alias("place"), (F.col("label") == F.col("wanted")).alias("relevant")).where(F.col("place") <= max(CUTS))
+    sizes = vectors.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("total"))
+    return ranking_metrics(ranked, asked.select("query_id", "wanted").join(sizes, "wanted").select("query_id", "total"))
+
+
+def _ir_oracle() -> str:
+    columns = ", ".join(
+        f"found_{k} > 0 as hit_{k}, round(found_{k} / {k}, 6) as precision_{k}, case when total > 0 then round(found_{k} / total, 6) else 0 end as recall_{k}, "
+        f"case when total > 0 then round(dcg_{k} / (select sum(1 / log2(i + 1)) from range(1, {k} + 1) t(i) where i <= total), 6) else 0 end as ndcg_{k}" for k in CUTS
+    )
+    sums = ", ".join(f"coalesce(sum(case when place <= {k} and rel then 1.0::double else 0 end), 0) as found_{k}, coalesce(sum(case when place <= {k} and rel then 1 / log2(place + 1) else 0 end), 0) as dcg_{k}" for k in CUTS)
+    return f"""with {_KNN_ORACLE}, others as (select query_id, vec_id, row_number() over (partition by query_id order by place) as place from dense where query_id <> vec_id and place <= {max(CUTS) + 1}),
+        judged as (select o.query_id, o.place, a.label = b.label as rel from others o join embeddings a on a.vec_id = o.query_id join embeddings b on b.vec_id = o.vec_id where o.place <= {max(CUTS)}),
+        asked as (select vec_id as query_id, count(*) over (partition by label) - 1 as total from embeddings qualify vec_id % 20 = 0),
+        sums as (select a.query_id, max(a.total) as total, min(case when rel then place end) as first, {sums} from asked a left join judged j on j.query_id = a.query_id group by a.query_id)
+        select query_id, round(coalesce(1.0::double / first, 0), 6) as rr, {columns} from sums"""
+
+
+register("ir_topk_metrics", _ir_topk, [], _ir_oracle())
+register_dialects("ident_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(stddev_pop(coalesce(1e0 / first_hit, 0e0)), 6) as sd_rr, round(avg(case when first_hit <= 5 then 1e0 else 0e0 end), 6) as hit_rate from per_query", **_WORDS)
+register_dialects("ir_by_category", ["rag_cases"], f"with {_RANKS}, {_Q} select category, count(*) as queries, round(avg(coalesce(1e0 / first_hit, 0e0)), 6) as mrr, round(avg(case when first_hit = 1 then 1e0 else 0e0 end), 6) as p1, round(avg(cast(docs as double)), 6) as candidates from per_query group by category", **_WORDS)
 register("score_distribution", _scores, **_oracle(["rag_cases"], f"with {_RANKS} select relevance >= 2 as correct, count(*) as candidates, round(avg(1e0 / place), 6) as mean_score, round($MEDIAN(1e0 / place, 0.5), 6) as median_score from ranked group by relevance >= 2"))
-register_sql("rag_retrieval_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, round(cast(relevant as double) / docs, 6) as precision_all, round(graded, 6) as dcg10, round(coalesce(1e0 / first_hit, 0e0), 6) as rr from per_query")
+register_dialects("rag_retrieval_metrics", ["rag_cases"], f"with {_RANKS}, {_Q} select query_id, round(cast(relevant as double) / docs, 6) as precision_all, round(graded, 6) as dcg10, round(coalesce(1e0 / first_hit, 0e0), 6) as rr from per_query", **_WORDS)
 register_sql("relevance_join", ["rag_cases"], "with judged as (select query_id, doc_id, relevance from rag_cases where doc_id % 3 <> 0) select r.query_id, r.doc_id, coalesce(j.relevance, 0) as relevance from rag_cases r left join judged j on j.query_id = r.query_id and j.doc_id = r.doc_id")
 register_sql("rag_citation_metrics", ["rag_cases"], "with cited as (select query_id, doc_id from rag_cases where doc_id % 2 = 0), expected as (select query_id, doc_id from rag_cases where relevance >= 2), both_sides as (select coalesce(c.query_id, e.query_id) as query_id, c.doc_id as c, e.doc_id as e from cited c full outer join expected e on e.query_id = c.query_id and e.doc_id = c.doc_id) select query_id, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(c) as double), 0), 0e0), 6) as citation_precision, round(coalesce(count(case when c = e then 1 end) / nullif(cast(count(e) as double), 0), 0e0), 6) as citation_recall from both_sides group by query_id")
 # Words that say nothing about a sentence.

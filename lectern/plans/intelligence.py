@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern import adapters
-from lectern.registry import DIALECTS, register, register_dialects, register_sql
+from lectern.registry import dialect, register, register_dialects, register_sql
 
 _COUNTS = "g as (select library_id, $EXPLODE(genres) as genre from owned), c as (select library_id, genre, count(*) as n from g group by library_id, genre), t as (select library_id, genre, n, cast(n as double) / sum(n) over (partition by library_id) as p, count(*) over (partition by library_id) as u from c)"
 _GENRE = "genre_part as (select library_id, max(u) as genres, -sum(p * log2(p)) as entropy, case when max(u) > 1 then -sum(p * log2(p)) / log2(max(u)) else 0e0 end as evenness from t group by library_id)"
@@ -30,12 +30,6 @@ _MOST = "most as (select max(c) as m from (select count(*) as c from libraries g
 _SOURCE = "source as (select library_id, min(book_id) as source_id from owned group by library_id)"
 
 
-def _spelled(text: str, engine: int) -> str:
-    for name, pair in DIALECTS.items():
-        text = text.replace(name, pair[engine])
-    return text
-
-
 def _register_ranked(key: str, body: str, spark: str | None = None) -> None:
     """A query whose ranks stop a few places after the largest library: that number is looked up first, so that Spark drops
     later ranks in each task before it shuffles. spark is the text for Spark where it goes another way than DuckDB."""
@@ -43,9 +37,9 @@ def _register_ranked(key: str, body: str, spark: str | None = None) -> None:
     def build(session: SparkSession, sf_dir: str) -> DataFrame:
         most = adapters.query(session, sf_dir, ["libraries"], "select coalesce(max(c), 0) as m from (select count(*) as c from libraries group by library_id) q").first()[0]
         text = (spark or body).replace(f"{_MOST}, ", "").replace(" cross join most where r <= m +", f" where r <= {most} +").replace("$MOST", str(most))
-        return adapters.query(session, sf_dir, ["owned"], _spelled(text, 0))
+        return adapters.query(session, sf_dir, ["owned"], dialect(text, 0))
 
-    register(key, build, ["owned"], _spelled(body, 1))
+    register(key, build, ["owned"], dialect(body, 1))
 
 
 #: Books by genre set, for Spark: few sets stand for all books, so sets are compared, and each gives its first books only.

@@ -40,12 +40,16 @@ DIALECTS = {
 }
 
 
+def dialect(text: str, engine: int, **words: tuple[str, str]) -> str:
+    """text with each $WORD spelled as Spark (0) or DuckDB (1) has it; words adds further ones."""
+    for name, pair in ({f"${k}": v for k, v in words.items()} | DIALECTS).items():
+        text = text.replace(name, pair[engine])
+    return text
+
+
 def register_dialects(key: str, views: list[str], body: str, **words: tuple[str, str]) -> None:
     """register_sql for a text in which $WORDs stand for what the dialects spell differently; words adds further ones."""
-    texts = [body, body]
-    for name, pair in ({f"${k}": v for k, v in words.items()} | DIALECTS).items():
-        texts = [t.replace(name, p) for t, p in zip(texts, pair, strict=True)]
-    register_sql(key, views, *texts)
+    register_sql(key, views, dialect(body, 0, **words), dialect(body, 1, **words))
 
 
 def _load() -> None:

@@ -108,3 +108,31 @@ def test_filters(spark):
 
     assert kept() == [1, 2, 3] and kept(genres=["SCI", "q"]) == [1] and kept(authors=["Bo"]) == [2, 3]
     assert kept(min_year=1950, max_year=1960) == [1] and kept(max_year=1990) == [1, 3]
+
+
+# -- ranking metrics and redaction
+
+
+def test_ranking_metrics(spark):
+    from lectern.plans.evaluation import ranking_metrics
+
+    hits = {1: [0, 1, 0, 1, 1], 2: [0] * 10, 3: [1] * 10, 4: []}
+    totals = {1: 4, 2: 2, 3: 30, 4: 3, 5: 0}
+    ranked = spark.createDataFrame([(q, k, bool(r)) for q, row in hits.items() for k, r in enumerate(row, 1)], "query_id int, place int, relevant boolean")
+    made = {r.query_id: r for r in ranking_metrics(ranked, spark.createDataFrame(list(totals.items()), "query_id int, total long")).collect()}
+    for q, total in totals.items():
+        row = hits.get(q, [])
+        assert made[q].rr == round(next((1 / (k + 1) for k, r in enumerate(row) if r), 0.0), 6)
+        for k in (1, 3, 5, 10):
+            ideal = sum(1 / math.log2(i + 2) for i in range(min(total, k)))
+            dcg = sum(r / math.log2(i + 2) for i, r in enumerate(row[:k]))
+            want = (sum(row[:k]) > 0, round(sum(row[:k]) / k, 6), round(sum(row[:k]) / total, 6) if total else 0.0, round(dcg / ideal, 6) if ideal else 0.0)
+            assert tuple(made[q][f"{name}_{k}"] for name in ("hit", "precision", "recall", "ndcg")) == want
+
+
+def test_redaction_at_any_depth(spark):
+    from lectern.plans.text import redact
+
+    texts = ['{"Password": {"a": 1}, "x": [{"TOKEN": null, "y": "é \\" z"}, [{"k": [1]}]]}', "[]", '"token"', "no json", "", None, "[" * 100_000]
+    made = [r.o for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, t string").select("i", redact("t").alias("o")).orderBy("i").collect()]
+    assert made == ['{"Password": "[REDACTED]", "x": [{"TOKEN": "[REDACTED]", "y": "é \\" z"}, [{"k": "[REDACTED]"}]]}', "[]", '"token"', "[REDACTED]", "[REDACTED]", None, "[REDACTED]"]
