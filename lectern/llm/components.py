@@ -15,11 +15,14 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     return attach(both.where(F.col("v") > F.col("u")), least, "u", "n", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    """Every smaller neighbour of a node, and the node itself, is linked to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = attach(edges, least, "a", "n", total).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", "m")).distinct()
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node itself, is linked to the smallest of them.
+
+    least has one row a node, so a hub's partition is split at run time (adaptive skew join), which costs no further job.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,9 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(row) == before or not row[0]:
             break
         before = tuple(row)
-        large = materialize(_large_star(edges, row[0]), "large")
+        after = materialize(_small_star(_large_star(edges, row[0])), "edges")
         forget(edges)
-        after = materialize(_small_star(large, row[0]), "edges")
-        forget(large)
         edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
