@@ -27,7 +27,12 @@ register_sql(
        select new_id, isbn_13 from firsts f where not exists (select 1 from isbn_books b where b.isbn_13 = f.isbn_13)
        union all select new_id, isbn_13 from incoming where isbn_13 is null""",
 )
-register_sql("exclude_owned", ["libraries", "books"], "with wanted as (select book_id from books where not is_deleted and author = 'Brand#2'), has as (select l.library_id, count(w.book_id) as n from libraries l left join wanted w on w.book_id = l.book_id group by l.library_id) select h.library_id, t.n - h.n as unowned from has h cross join (select count(*) as n from wanted) t where t.n > h.n")
+register_sql(
+    "exclude_owned", ["owned"],
+    """with source as (select library_id, min(book_id) as source_id from owned group by library_id),
+            candidates as (select s.library_id, c.book_id, c.title from source s join books b on b.book_id = s.source_id join books c on c.title = b.title and c.rating = b.rating where not c.is_deleted)
+       select library_id, book_id, title from candidates c where not exists (select 1 from libraries l where l.library_id = c.library_id and l.book_id = c.book_id)""",
+)
 register_sql(
     "metadata_merge", ["books"],
     """with a as (select book_id, title, case when book_id % 3 = 0 then '' else author end as author, case when book_id % 4 = 0 then 0 else publication_year end as year from books where book_id % 5 <> 0),

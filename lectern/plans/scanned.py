@@ -68,6 +68,21 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
+# What is mended in names of authors, in order.
+NAME_FIXES = [(r"\bJr\b", "Jr."), (r"\bSr\b", "Sr."), (r"\bDr\b", "Dr."), (r"\bMc ([A-Z])", "Mc$1"), (r"\bO ([A-Z])", "O'$1")]
+
+
+def author_name(text: Column) -> Column:
+    """A normalized text as a person's name: what stands behind the first comma comes first, each run of letters is capitalised."""
+    back = F.trim(F.substring(text, F.instr(text, ",") + 1, F.length(text)))
+    name = F.when(F.contains(text, F.lit(",")), F.concat(back, F.lit(" "), F.trim(F.substring_index(text, ",", 1)))).otherwise(text)
+    runs = F.regexp_extract_all(name, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    name = F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+    for pattern, new in NAME_FIXES:
+        name = F.regexp_replace(name, pattern, new)
+    return F.trim(name)
+
+
 def normalized(df: DataFrame, text: str, title: bool = False, least: int = 1) -> DataFrame:
     """Adds normalized, corrections (how many of the rules changed the text) and adjustment (of its confidence).
 
@@ -140,7 +155,7 @@ def _normalize(s: SparkSession, d: str) -> DataFrame:
 
 def _modes(s: SparkSession, d: str) -> DataFrame:
     rows = normalized(_pairs(s, d).select("sample_id", "truth"), "truth").select("sample_id", "truth", F.col("normalized").alias("plain"))
-    return normalized(rows, "truth", title=True).select("sample_id", "plain", F.col("normalized").alias("title"))
+    return normalized(rows, "truth", title=True).select("sample_id", "plain", F.col("normalized").alias("title"), author_name(F.col("plain")).alias("author"))
 
 
 def _confidence(s: SparkSession, d: str) -> DataFrame:

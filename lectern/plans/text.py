@@ -87,9 +87,10 @@ def intent(text: str) -> str:
 _ASKED = "asked as (select conv_id, turn, case (conv_id + turn) % 9 when 0 then concat('Recommend a mystery like this: ', text) when 1 then concat('How many books about history? ', text) when 2 then concat('Give an overview. ', text) when 3 then concat('Books like these, written by friends, about ', text) when 4 then concat('Something sci-fi: ', text) else text end as question from turns)"
 register_sql("expand_query", ["turns"], f"with {_ASKED} select conv_id, turn, {expanded_query('question')} as expanded from asked")
 register_sql("classify_intent", ["turns"], f"with {_ASKED} select conv_id, turn, {intent('question')} as intent from asked")
+_NAMED = "concat_ws(',', " + ", ".join(f"case when {_has('query', g)} then '{g}' end" for g in SYNONYMS) + ")"
 register_dialects(
-    "extract_entities", ["books"],
-    "with q as (select book_id, concat('books on ', title, ' from ', cast(publication_year as varchar(8)), ' or 1999') as query from books) select book_id, $JOIN($ALL, ',') as years from q",
+    "extract_entities", ["turns"],
+    f"with {_ASKED}, q as (select conv_id, turn, concat(question, ' from ', cast(1900 + (conv_id * 7 + turn) % 150 as varchar(8)), ' or 1999') as query from asked) select conv_id, turn, {_NAMED} as genres, $JOIN($ALL, ',') as years from q",
     JOIN=("array_join", "array_to_string"), ALL=("regexp_extract_all(query, '\\\\b((?:19|20)[0-9]{2})\\\\b', 1)", "regexp_extract_all(query, '\\b((?:19|20)[0-9]{2})\\b', 1)"),
 )
 register_dialects(

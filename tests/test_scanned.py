@@ -56,3 +56,24 @@ def test_queries_are_widened_and_sorted_by_intent(spark):
     frame = spark.createDataFrame([(q,) for q, _, _ in cases], "q string")
     found = [tuple(r) for r in frame.selectExpr("q", f"{expanded_query('q')} as e", f"{intent('q')} as i").collect()]
     assert found == cases
+
+
+def test_author_names(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lectern.plans.scanned import author_name
+
+    def plain(name):
+        if "," in name:
+            parts = [p.strip() for p in name.split(",", 1)]
+            name = f"{parts[1]} {parts[0]}"
+        name = name.title()
+        for pattern, new in [(r"\bJr\b", "Jr."), (r"\bSr\b", "Sr."), (r"\bDr\b", "Dr."), (r"\bMc ([A-Z])", r"Mc\1"), (r"\bO ([A-Z])", r"O'\1")]:
+            name = re.sub(pattern, new, name)
+        return name.strip()
+
+    names = ["SMITH, JOHN", "ann brown jr", "mc donald, ronald", "o brien", "o'neill, EUGENE, sr", "dr. seuss", "émile zola", "j.r.r. tolkien", "", ",", "3rd man", "a-b c"]
+    made = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", author_name(F.col("n")).alias("a")).orderBy("k").collect()
+    assert [r.a for r in made] == [plain(n) for n in names]
