@@ -144,4 +144,3 @@ register_sql("endpoint_limits", ["latency"], f"with {_PATH}, rules(ord, prefix,
 register_sql("client_identity", ["latency"], "with r as (select event_id, case when event_id % 3 = 0 then concat('key-', cast(user_id as varchar(12))) end as api_key, case when event_id % 2 = 0 then concat(' 10.0.0.', cast(user_id as varchar(12)), ', 10.1.1.1') end as xff, concat('192.168.0.', cast(user_id as varchar(12))) as ip from latency) select event_id, coalesce(api_key, trim(substring(xff, 1, position(',' in xff) - 1)), ip) as client from r")
 register_dialects("conversation_summarize", ["turns"], "with placed as (select *, row_number() over (partition by conv_id order by turn desc) as back, count(*) over (partition by conv_id) as n from turns), old as (select distinct conv_id, book_id from placed where n >= 6 and back > 3), ranked as (select *, row_number() over (partition by conv_id order by book_id) as r from old) select conv_id, $LIST as summary from ranked where r <= 10 group by conv_id", LIST=("array_join(transform(sort_array(collect_list(book_id)), x -> cast(x as string)), ' | ')", "string_agg(cast(book_id as varchar), ' | ' order by book_id)"))
 register_dialects("conversation_store", ["turns"], "select conv_id, $LIST as document from turns group by conv_id", LIST=("array_join(transform(sort_array(collect_list(struct(turn, role, token_count))), x -> concat(x.turn, ':', x.role, ':', x.token_count)), ',')", "string_agg(concat(turn, ':', role, ':', token_count), ',' order by turn)"))
-register_sql("export_books_json", ["books"], "select book_id, concat('{\"title\":\"', title, '\",\"author\":\"', author, '\"}') as json from books where not is_deleted")

@@ -18,7 +18,8 @@ LIBRARY_DOC = "key string, title string, isbn array<string>, publish_year array<
 
 
 def write_books_json(books: DataFrame, path: str) -> None:
-    books.write.json(path)
+    """A JSON object a line, with the fixed fields; quotes and line breaks are escaped, missing values stay out."""
+    books.select(*[F.col(f.name).cast(f.dataType) for f in BOOK.fields]).write.json(path)
 
 
 def append_books(books: DataFrame, path: str) -> None:
@@ -26,9 +27,12 @@ def append_books(books: DataFrame, path: str) -> None:
     books.select(*[F.col(f.name).cast(f.dataType) for f in BOOK.fields]).write.mode("append").parquet(path)
 
 
-def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, file_name, class_name, x1, y1, x2, y2); images without boxes stay, with nulls."""
-    feed = spark.read.schema(COCO).json(path, multiLine=True)
+def read_coco(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """(image_id, file_name, class_name, x1, y1, x2, y2); images without boxes stay, with nulls.
+
+    A file is one object, or, without whole_files, an object a line: such files are split over tasks.
+    """
+    feed = spark.read.schema(COCO).json(path, multiLine=whole_files)
     images = feed.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
     boxes = feed.select(F.explode("annotations").alias("a")).select(F.col("a.image_id").alias("image_id"), F.col("a.category_id").alias("category_id"), F.col("a.bbox").alias("b"))
     names = feed.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("class_name"))
@@ -36,9 +40,9 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     return images.join(boxes, "image_id", "left").join(names, "category_id", "left").select("image_id", "file_name", "class_name", x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
 
 
-def read_shelves(spark: SparkSession, path: str) -> DataFrame:
-    """(image, book_key, expected_text, bbox) of annotated shelves."""
-    rows = spark.read.schema(SHELF).json(path, multiLine=True).select(F.explode("samples").alias("s")).select("s.image", F.explode_outer("s.books").alias("b"))
+def read_shelves(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """(image, book_key, expected_text, bbox) of annotated shelves, from one object a file or (without whole_files) a line."""
+    rows = spark.read.schema(SHELF).json(path, multiLine=whole_files).select(F.explode("samples").alias("s")).select("s.image", F.explode_outer("s.books").alias("b"))
     return rows.select("image", F.coalesce("b.id", "b.isbn").alias("book_key"), F.concat_ws(" ", "b.title", "b.author").alias("expected_text"), F.col("b.bbox").alias("bbox"))
 
 
@@ -93,9 +97,7 @@ def _coco(s: SparkSession, d: str) -> DataFrame:
     one = boxes.select("image_id", F.struct("image_id", F.ascii("class_name").cast("long").alias("category_id"), F.array("gx1", "gy1", F.col("gx2") - F.col("gx1"), F.col("gy2") - F.col("gy1")).alias("bbox")).alias("a")).groupBy("image_id").agg(F.collect_list("a").alias("annotations"))
     names = F.array(*[F.struct(F.lit(ord(c)).cast("long").alias("id"), F.lit(c).alias("name")) for c in "ANR"])
     docs = one.select(F.to_json(F.struct(F.array(F.struct(F.col("image_id").alias("id"), F.concat(F.lit("f"), F.col("image_id").cast("string")).alias("file_name"))).alias("images"), "annotations", F.when(F.col("image_id") == 1, names).otherwise(F.array()).alias("categories"))).alias("value"))
-    path = _json_lines(docs, s, "coco")
-    feed = s.read.schema(COCO).json(path)
-    return feed.select(F.explode("annotations").alias("a")).select("a.image_id", F.get("a.bbox", F.lit(0)).alias("x1"), (F.get("a.bbox", F.lit(0)) + F.get("a.bbox", F.lit(2))).alias("x2"))
+    return read_coco(s, _json_lines(docs, s, "coco"), whole_files=False)
 
 
 def _volumes(s: SparkSession, d: str) -> DataFrame:
@@ -111,8 +113,17 @@ def _library_docs(s: SparkSession, d: str) -> DataFrame:
     return flatten_library_docs(s.read.schema(LIBRARY_DOC).json(_json_lines(b.select(F.to_json(row).alias("value")), s, "docs"))).withColumn("subjects", F.array_join("subjects", ","))
 
 
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    """Books as JSON and back; some titles have quotes, a backslash, a line break or other scripts."""
+    path = scratch(s, "export")
+    write_books_json(adapters.query(s, d, ["books"], f"select book_id, {_ODD_TITLE} as title, author, publication_year, rating from books where not is_deleted"), path)
+    return s.read.schema(BOOK).json(path)
+
+
+_ODD_TITLE = "case book_id % 4 when 0 then concat('\"', title, '\" ', chr(92), ' ', chr(10), ' 漢') when 1 then concat(title, chr(13), chr(9), '{[,:]}') else title end"
+register("export_books_json", _exported, ["books"], f"select book_id, {_ODD_TITLE} as title, author, cast(publication_year as bigint) as publication_year, rating from books where not is_deleted")
 register("bulk_ingest", _round_trip, ["books"], "select book_id, title, author, cast(publication_year as bigint) as publication_year, rating from books where not is_deleted")
-register("load_coco_boxes", _coco, ["boxes"], "select cast(image_id as bigint) as image_id, gx1 as x1, gx2 as x2 from boxes")
+register("load_coco_boxes", _coco, ["boxes"], "select cast(image_id as bigint) as image_id, concat('f', cast(image_id as varchar)) as file_name, class_name, gx1 as x1, gy1 as y1, gx2 as x2, gy2 as y2 from boxes")
 register("flatten_google_volumes", _volumes, ["isbn_books"], "select cast(book_id as varchar) as id, title, isbn_13, cast(null as varchar) as isbn_10, 'https://covers.example.org/m' as cover_url, cast(publication_year as int) as year from isbn_books")
 register("flatten_openlibrary", _library_docs, ["isbn_books"], "select cast(book_id as varchar) as key, title, isbn_13, isbn_10, cast(publication_year as int) as year, array_to_string(genres, ',') as subjects, book_id as cover_i from isbn_books")
 
@@ -147,8 +158,7 @@ def _shelves(s: SparkSession, d: str) -> DataFrame:
     book = F.struct(F.when(F.col("book_id") % 2 == 0, F.col("book_id").cast("string")).alias("id"), F.coalesce("isbn_13", F.lit("none")).alias("isbn"), "title", "author", F.array(F.lit(0.0), F.lit(1.0)).alias("bbox"))
     sample = F.struct(F.concat(F.lit("shelf"), (F.col("book_id") % 50).cast("string")).alias("image"), F.array(book).alias("books"))
     path = _json_lines(b.select(F.to_json(F.struct(F.array(sample).alias("samples"))).alias("value")), s, "shelves")
-    rows = s.read.schema(SHELF).json(path).select(F.explode("samples").alias("s")).select("s.image", F.explode_outer("s.books").alias("b"))
-    return rows.select("image", F.coalesce("b.id", "b.isbn").alias("book_key"), F.concat_ws(" ", "b.title", "b.author").alias("expected_text"))
+    return read_shelves(s, path, whole_files=False).select("image", "book_key", "expected_text")
 
 
 def _eval_queries(s: SparkSession, d: str) -> DataFrame:
