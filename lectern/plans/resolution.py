@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +40,58 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str = "hashed-64
     return new.union(old)
 
 
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """A text as runs of GRAM characters of its words, ends marked: words with a misread letter still share most of them."""
+    marked = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.concat(F.lit("_"), w, F.lit("_")))
+    cut = F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - GRAM + 1)), lambda i: F.substring(w, i, F.lit(GRAM))))
+    return F.array_join(F.flatten(cut), " ")
+
+
 def candidates(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
-    """The k best catalog rows by BM25 for each query: the block that costly scores are worked out on."""
-    return bm25(queries, catalog, k)
+    """The k best catalog rows for each query: the block that costly scores are worked out on.
+
+    Rows are ranked by BM25 over character runs instead of words, so letters misread in every word do not hide a book; common runs
+    give no candidates by themselves (see sparse.bm25).
+    """
+    return bm25(queries.select("query_id", grams(F.col("query")).alias("query")), catalog.select("doc_id", grams(F.col("text")).alias("text")), k)
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """Length of the shorter over the longer where one holds the other, else the ratio of matching characters; 0 where one is empty."""
+    inside = F.contains(a, b) | F.contains(b, a)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(inside, F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(sequence_ratio(a, b))
+
+
+def last_name(author: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.filter(F.split(author, r"\s+"), lambda w: w != ""), F.lit(-1)), F.lit(""))
 
 
 def score_candidates(pairs: DataFrame) -> DataFrame:
-    """Weighted score of (query_title, query_author, title, author, embedding_score): 0.5, 0.3 and 0.2, less 0.1 where lengths differ."""
-    ratio = sequence_ratio(F.lower("query_title"), F.lower("title"))
-    partial = F.when(F.contains(F.lower("title"), F.lower("query_title")), F.length("query_title") / F.length("title")).otherwise(0.0)
-    author = F.when(F.coalesce("query_author", F.lit("")) == "", 0.5).otherwise(F.greatest(sequence_ratio(F.lower("query_author"), F.lower("author")), sequence_ratio(token_sort(F.col("query_author")), token_sort(F.col("author")))))
-    off = F.length("query_title") / F.greatest(F.length("title"), F.lit(1))
-    score = 0.5 * F.col("embedding_score") + 0.3 * F.greatest(ratio, 0.9 * partial) + 0.2 * author - F.when((off < 0.5) | (off > 2), 0.1).otherwise(0.0)
-    return pairs.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    """Weighted score of (query_title, query_author, title, author, embedding_score): 0.5, 0.3 and 0.2, less 0.1 where lengths differ.
+
+    Titles count by the better of ratio and 0.9 of the partial ratio, authors by the best of ratio, ratio of sorted words and ratio of
+    last names; 0.5 where an author is missing. Nulls count as empty.
+    """
+    low = {c: F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("query_title", "title", "query_author", "author")}
+    pairs = pairs.withColumns({f"_{c}": v for c, v in low.items()})
+    t, u, a, b = (F.col(f"_{c}") for c in ("query_title", "title", "query_author", "author"))
+    ratio = F.when((F.length(t) == 0) | (F.length(u) == 0), 0.0).otherwise(sequence_ratio(t, u))
+    title = F.greatest(ratio, 0.9 * partial_ratio(t, u))
+    author = F.when((a == "") | (b == ""), 0.5).otherwise(F.greatest(sequence_ratio(a, b), sequence_ratio(token_sort(a), token_sort(b)), sequence_ratio(last_name(a), last_name(b))))
+    off = F.length(t) / F.greatest(F.length(u), F.lit(1))
+    score = 0.5 * F.col("embedding_score") + 0.3 * title + 0.2 * author - F.when((off < 0.5) | (off > 2), 0.1).otherwise(0.0)
+    return pairs.withColumn("score", F.round(score, 6)).drop(*[f"_{c}" for c in low])
+
+
+def identified(pairs: DataFrame, least: float = 0.6) -> DataFrame:
+    """(query_id, book_id, similarity): the most similar candidate by title, or by title and author; no book below least. Ties go to the least id."""
+    q = F.lower("query_title")
+    rows = pairs.withColumn("similarity", F.greatest(sequence_ratio(q, F.lower("title")), sequence_ratio(q, F.lower(F.concat_ws(" ", "title", "author")))))
+    best = rows.groupBy("query_id").agg(F.max_by(F.struct("doc_id", "similarity"), F.struct("similarity", -F.col("doc_id"))).alias("b"))
+    return best.select("query_id", F.when(F.col("b.similarity") >= least, F.col("b.doc_id")).alias("book_id"), F.round("b.similarity", 6).alias("similarity"))
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
@@ -72,8 +111,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _identified(s: SparkSession, d: str) -> DataFrame:
-    rows = _scored(s, d).withColumn("similarity", F.greatest(sequence_ratio("query_title", "title"), sequence_ratio("query_title", F.concat_ws(" ", "title", "author"))))
-    return rows.groupBy("query_id").agg(F.max_by(F.struct("doc_id", "similarity"), F.struct("similarity", -F.col("doc_id"))).alias("b")).select("query_id", F.when(F.col("b.similarity") >= 0.6, F.col("b.doc_id")).alias("book_id"), F.round("b.similarity", 6).alias("similarity"))
+    return identified(_scored(s, d))
 
 
 def _explained(s: SparkSession, d: str) -> DataFrame:
