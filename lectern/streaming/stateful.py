@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.registry import register
@@ -188,8 +189,8 @@ def complete(stream: DataFrame, keys: list[str]) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
     stream.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
     rest = [c for c in stream.columns if c not in keys]
+    found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
