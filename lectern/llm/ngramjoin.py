@@ -11,8 +11,8 @@ A document's set is its distinct word shingles. The steps:
    that share a bit. A dual traversal from the root drops node pairs whose greatest possible overlap is too small; leaf
    pairs that remain, and that are not in one component yet, are verified on the whole sets.
 4. Clusters of more than `CHUNK` nodes are split over tasks: trees of chunks first, then of one node from each
-   component found. In each band bucket that still holds several components, finally, the nodes outside the largest
-   one meet chunks of all the bucket's nodes: a stranger among a million near copies costs a million comparisons.
+   component found. In each band bucket that still holds several components, finally, blocks of the nodes outside the
+   largest one meet blocks of all the bucket's nodes: a stranger among a million near copies costs a million comparisons.
 5. Links become components by distributed star contraction.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows that share an id are one node;
@@ -35,6 +35,8 @@ from lectern.llm.shared import attach, bit_filter, forget, materialize, mix, shi
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 64, 5
 CHUNK, FANOUT = 128, 8
+#: Nodes on each side of a comparison in mixed buckets, in chunks: larger blocks repeat fewer sets, and the trees prune inside them.
+BLOCKS = 8
 
 _RNG = np.random.default_rng(7_071_067)
 _FACTOR = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -233,14 +235,16 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
     keyed = rows.select("node", "group").join(nodes, "node").select("node", "group", F.explode("keys").alias("key"))
     keyed = materialize(keyed, "keyed")
     sizes = keyed.groupBy("key", "group").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n")).where("groups > 1")
-    mixed = materialize(mixed.select("key", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), "n"), "mixed")
+    mixed = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n"), F.max("n").alias("most")).where("groups > 1")
+    block = BLOCKS * CHUNK
+    mixed = materialize(mixed.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("turns"), "n"), "mixed")
     total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     keyed = attach(keyed, mixed, "key", "n", total)
-    members = keyed.select("key", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), "node", "group", F.lit(0).alias("side"))
-    strangers = keyed.where(F.col("group") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "group", F.lit(1).alias("side"))
+    part, turn = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int").alias(name) for k, n, name in ((2, "parts", "part"), (3, "turns", "turn")))
+    members = keyed.select("key", part, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node", "group", F.lit(0).alias("side"))
+    strangers = keyed.where(F.col("group") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn, "node", "group", F.lit(1).alias("side"))
     both = members.union(strangers).join(rows.select("node", "set").dropDuplicates(["node"]), "node")
-    return found.union(_linked(both, ["key", "part"], percent))
+    return found.union(_linked(both, ["key", "part", "turn"], percent))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
