@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from lectern.plans import text
+from lectern.plans import alignment, text
 from lectern.plans.alignment import distance, replaced
 
 
@@ -69,3 +69,32 @@ def test_ratios_and_word_errors(spark):
         x, y = (a or "").split(), (b or "").split()
         assert r.r == SequenceMatcher(None, a or "", b or "").ratio()
         assert r.w == (brute(x, y)[0] / len(x) if x else float(bool(y)))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abé", "abcdefgh漢"])
+def test_many_pairs_at_once(letters):
+    draw = random.Random(len(letters) + 7)
+    a = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(500)]
+    b = ["".join({"a": "x", "b": "y"}.get(c, c) if draw.random() < 0.7 else c for c in x) if draw.random() < 0.6 else "".join(draw.choices(letters, k=len(x))) for x in a]
+    whole = [brute(x, y) for x, y in zip(a, b, strict=True)]
+    assert alignment.distances(a, b).tolist() == [w[0] for w in whole]
+    times = [draw.randint(1, 3) for _ in a]
+    total = Counter()
+    for (_, found), n in zip(whole, times, strict=True):
+        for pair, k in found.items():
+            total[pair] += n * k
+    assert alignment.confused(a, b, times) == total
+    assert (len(alignment.distances([], [])), alignment.confused([], [], [])) == (0, Counter())
+
+
+def test_long_lines_take_linear_time():
+    """A table of these lines has 4e10 cells; levenshtein() took minutes for each."""
+    a = "oil and water, " * 14_000
+    began = time.time()
+    assert alignment.distances([a] * 20, [a.translate(str.maketrans("oil", "011"))] * 20).tolist() == [42_000] * 20
+    assert time.time() - began < 30
+
+
+def test_edit_distance_of_nulls(spark):
+    rows = spark.createDataFrame([(1, "oil", "011"), (2, None, "a"), (3, "a", None), (4, "", "ab"), (5, "漢字", "字漢字")], "k int, a string, b string")
+    assert [r[0] for r in rows.orderBy("k").select(text.edit_distance("a", "b")).collect()] == [3, None, None, 2, 1]
