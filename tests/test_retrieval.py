@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from lectern.plans import rag, sparse
+from lectern.plans import rag, retrieval, sparse
 
 
 def tokens(text):
@@ -136,3 +138,32 @@ def test_redaction_at_any_depth(spark):
     texts = ['{"Password": {"a": 1}, "x": [{"TOKEN": null, "y": "é \\" z"}, [{"k": [1]}]]}', "[]", '"token"', "no json", "", None, "[" * 100_000]
     made = [r.o for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, t string").select("i", redact("t").alias("o")).orderBy("i").collect()]
     assert made == ['{"Password": "[REDACTED]", "x": [{"TOKEN": "[REDACTED]", "y": "é \\" z"}, [{"k": "[REDACTED]"}]]}', "[]", '"token"', "[REDACTED]", "[REDACTED]", None, "[REDACTED]"]
+
+
+def test_blocks_of_vectors_and_queries_all_meet(spark, monkeypatch):
+    """Several blocks on both sides: each query finds itself, and the best of all blocks."""
+    monkeypatch.setattr(retrieval, "VECTORS", 40)
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    m = np.random.default_rng(5).normal(size=(300, 8))
+    m[200:] = m[100:200]  # equal vectors go by id
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    found = retrieval.knn(rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), rows, 5).collect()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 8)
+    wanted = {(q, int(v), p) for q in range(0, 300, 10) for p, v in enumerate(np.argsort(-scores[q], kind="stable")[:5], 1)}
+    assert {(r.query_id, r.vec_id, r.place) for r in found} == wanted
+
+
+def test_best_in_slices_holds_few_scores():
+    draw = np.random.default_rng(3)
+    a, b = draw.normal(size=(600, 4)), draw.normal(size=(20_000, 4))
+    tracemalloc.start()
+    row, column, value = retrieval._best(a, b, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.round(a @ b.T, 8)
+    best = np.argsort(-whole, axis=1, kind="stable")[:, :6]
+    assert (row.tolist(), column.tolist()) == (np.repeat(np.arange(600), 6).tolist(), best.ravel().tolist())
+    assert value.tolist() == np.take_along_axis(whole, best, axis=1).ravel().tolist()
+    assert peak < whole.nbytes
