@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import adapters
 from lectern.plans.retrieval import _KNN_ORACLE, _TOKENS, knn, rrf
-from lectern.plans.sparse import bm25
+from lectern.plans.sparse import bm25, bm25_repeated
 from lectern.plans.text import expanded_query
 from lectern.registry import register
 
@@ -72,7 +74,7 @@ def filtered(found: DataFrame, genres: list[str] | None = None, authors: list[st
     return found
 
 
-def retrieve(asked: DataFrame, docs: DataFrame, vectors: DataFrame, catalog: DataFrame, context: DataFrame, k: int = 10, **filters) -> DataFrame:
+def retrieve(asked: DataFrame, docs: DataFrame, vectors: DataFrame, catalog: DataFrame, context: DataFrame, k: int = 10, sparse_search: Callable[[DataFrame, DataFrame, int], DataFrame] = bm25, **filters) -> DataFrame:
     """(query_id, expanded, doc_id, title, score, place): the whole chain for asked (query_id, query, embedding).
 
     docs is (doc_id, text), vectors (vec_id, embedding) with ids of documents, catalog (doc_id, title, author, genres,
@@ -82,7 +84,7 @@ def retrieve(asked: DataFrame, docs: DataFrame, vectors: DataFrame, catalog: Dat
     wide = OVERFETCH * k
     widened = asked.withColumn("query", F.expr(expanded_query("query")))
     dense = knn(widened.select("query_id", "embedding"), vectors, OVERFETCH * wide)
-    sparse = bm25(widened.select("query_id", "query"), docs, OVERFETCH * wide)
+    sparse = sparse_search(widened.select("query_id", "query"), docs, OVERFETCH * wide)
     found = rrf(dense, sparse, wide).join(catalog, "doc_id")
     best = rerank(filtered(found, **filters), context, k)
     return best.join(catalog.select("doc_id", "title"), "doc_id").join(widened.select("query_id", F.col("query").alias("expanded")), "query_id").select("query_id", "expanded", "doc_id", "title", F.round("score", 8).alias("score"), "place")
@@ -105,7 +107,7 @@ def _pipeline(s: SparkSession, d: str) -> DataFrame:
 def similar(asked: DataFrame, docs: DataFrame, vectors: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, title, score, place): books like the book that a query is made of, itself left out."""
     none = asked.select("query_id", F.lit(None).cast("long").alias("doc_id"))
-    found = retrieve(asked, docs, vectors, catalog, none, k + 1).where(F.col("query_id") != F.col("doc_id"))
+    found = retrieve(asked, docs, vectors, catalog, none, k + 1, bm25_repeated).where(F.col("query_id") != F.col("doc_id"))
     order = Window.partitionBy("query_id").orderBy("place")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "doc_id", "title", "score", "place")
 

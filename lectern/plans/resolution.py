@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import adapters
-from lectern.plans.retrieval import _KNN_ORACLE, _RANKED, _VISUAL, bm25, knn, postings, top
+from lectern.plans.retrieval import _KNN_ORACLE, _RANKED, _VISUAL, knn, postings, top
+from lectern.plans.sparse import bm25_repeated, rounded
 from lectern.plans.text import sequence_ratio, token_sort
 from lectern.registry import register
 
@@ -56,7 +57,7 @@ def candidates(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     Rows are ranked by BM25 over character runs instead of words, so letters misread in every word do not hide a book; common runs
     give no candidates by themselves (see sparse.bm25).
     """
-    return bm25(queries.select("query_id", grams(F.col("query")).alias("query")), catalog.select("doc_id", grams(F.col("text")).alias("text")), k)
+    return bm25_repeated(queries.select("query_id", grams(F.col("query")).alias("query")), catalog.select("doc_id", grams(F.col("text")).alias("text")), k)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
@@ -128,7 +129,7 @@ def _fused(s: SparkSession, d: str) -> DataFrame:
     agree = F.when(F.col("text").isNotNull() & F.col("visual").isNotNull(), 1 - F.abs(F.col("text") - F.col("visual")))
     fused = 0.6 * F.coalesce("text", F.lit(0.0)) + 0.4 * F.coalesce("visual", F.lit(0.0))
     score = F.when(agree.isNull(), F.least(F.greatest("text", "visual"), F.lit(0.7))).otherwise(fused * (0.8 + 0.2 * agree))
-    return top(both.select("query_id", "vec_id", F.round(score, 6).alias("score"), F.when(agree.isNotNull(), "fused").when(F.col("text").isNotNull(), "text").otherwise("visual").alias("method")), "query_id", "vec_id", 5)
+    return top(both.select("query_id", "vec_id", rounded(score, 6).alias("score"), F.when(agree.isNotNull(), "fused").when(F.col("text").isNotNull(), "text").otherwise("visual").alias("method")), "query_id", "vec_id", 5)
 
 
 def _embedded(s: SparkSession, d: str) -> DataFrame:

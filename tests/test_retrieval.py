@@ -167,3 +167,16 @@ def test_best_in_slices_holds_few_scores():
     assert (row.tolist(), column.tolist()) == (np.repeat(np.arange(600), 6).tolist(), best.ravel().tolist())
     assert value.tolist() == np.take_along_axis(whole, best, axis=1).ravel().tolist()
     assert peak < whole.nbytes
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    """The rows of the plain search, ties by id included, from as many documents as there are texts."""
+    draw = random.Random(9)
+    texts = [" ".join(draw.choices(["red", "blue", "gear", "rod", "ring", "bolt"], k=draw.randint(1, 4))) for _ in range(12)] + [None]
+    docs = spark.createDataFrame([(i, draw.choice(texts)) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, draw.choice(texts)) for i in range(30)], "query_id long, query string")
+    plain = sorted(map(tuple, sparse.bm25(queries, docs, 7).collect()))
+    sizes, search = [], sparse.bm25
+    monkeypatch.setattr(sparse, "bm25", lambda q, d, k: sizes.extend([q.count(), d.count()]) or search(q, d, k))
+    assert sorted(map(tuple, sparse.bm25_repeated(queries, docs, 7).select("query_id", "doc_id", "score", "place").collect())) == plain
+    assert max(sizes) <= len(texts)
