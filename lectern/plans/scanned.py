@@ -59,13 +59,14 @@ def words_of(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Words capitalised, but small words between the first and the last."""
-    words = words_of(text)
 
-    def one(w: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < F.size(words) - 1)
+    def one(w: Column, i: Column, n: Column) -> Column:
+        inner = (i > 0) & (i < n - 1)
         return F.when(inner & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
 
-    return F.array_join(F.transform(words, one), " ")
+    # the words are bound once: neither they nor their number are worked out anew for each of them
+    bound = F.transform(F.array(words_of(text)), lambda words: F.transform(words, lambda w, i: one(w, i, F.size(words))))
+    return F.array_join(F.get(bound, F.lit(0)), " ")
 
 
 # What is mended in names of authors, in order.
@@ -103,33 +104,36 @@ def normalized(df: DataFrame, text: str, title: bool = False, least: int = 1) ->
     return df.withColumns({"normalized": F.trim(out), "adjustment": F.greatest(F.lit(-0.3), F.col("corrections") * -0.02)})
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
 def scored(df: DataFrame, text: str, engine: str, source: Column | None = None) -> DataFrame:
     """Adds pattern_score, language_score, book_score, final_confidence and flags; a text without words has them all at 0."""
-    t, words = F.coalesce(F.col(text), F.lit("")), words_of(F.coalesce(F.col(text), F.lit("")))
+    kept = df.columns
+    # what is counted is worked out once, in steps, not anew in each score and flag
+    df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    t, low, words = F.col("_t"), F.col("_low"), F.col("_words")
+    df = df.withColumns({"_low": F.lower(t), "_words": words_of(t)})
+    df = df.withColumns({
+        "_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")), "_digits": F.length(F.regexp_replace(t, r"\P{N}+", "")), "_blanks": F.length(F.regexp_replace(t, r"\S+", "")),
+        "_vowels": F.length(low) - F.length(F.translate(low, "aeiou", "")), **{f"_n_{c}": F.length(t) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS},
+        "_total": F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), "_usual": F.size(F.filter(words, lambda w: F.length(w).between(2, 20) & w.rlike("[aeiouAEIOU]"))), "_capital": F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))),
+        "_isbn": t.rlike(r"\b97[89]\d{10}\b|\b\d{9}[\dX]\b"), "_publisher": low.rlike("|".join(PUBLISHERS)), "_signs": low.rlike("|".join(BOOK_SIGNS)),
+        "_bare": F.regexp_replace(t, r"^\s+|\s+$", ""), **{f"_suspicious_{k}": t.rlike(p) for k, p in enumerate(SUSPICIOUS)},
+    })
     n, size = F.size(words), F.greatest(F.length(t), F.lit(1))
-    letters, digits, blanks = (_count(t, p) for p in (r"\p{L}", r"\p{N}", r"\s"))
-    mean = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(n, F.lit(1))
-    usual = F.size(F.filter(words, lambda w: F.length(w).between(2, 20) & w.rlike("[aeiouAEIOU]")))
-    penalties = [*[(t.rlike(p), 0.15, "suspicious_pattern") for p in SUSPICIOUS], (mean < 2, 0.1, "short_words"), (mean > 15, 0.1, "long_words"), (usual < 0.5 * n, 0.15, "unusual_words"), (letters < 0.5 * size, 0.1, "low_letter_ratio"), (F.length(t) - letters - digits - blanks > 0.2 * size, 0.1, "high_special_ratio")]
+    letters, digits, blanks, usual, capital, isbn, publisher, bare = (F.col(f"_{c}") for c in ("letters", "digits", "blanks", "usual", "capital", "isbn", "publisher", "bare"))
+    each = F.greatest(letters, F.lit(1))
+    fit = sum((F.greatest(F.lit(0.0), 1 - 5 * F.abs(F.col(f"_n_{c}") / each - share)) for c, share in LETTERS.items()), F.lit(0.0)) / len(LETTERS)
+    df = df.withColumns({"_fit": fit, "_mean": F.col("_total") / F.greatest(n, F.lit(1))})
+    fit, mean = F.col("_fit"), F.col("_mean")
+    penalties = [*[(F.col(f"_suspicious_{k}"), 0.15, "suspicious_pattern") for k in range(len(SUSPICIOUS))], (mean < 2, 0.1, "short_words"), (mean > 15, 0.1, "long_words"), (usual < 0.5 * n, 0.15, "unusual_words"), (letters < 0.5 * size, 0.1, "low_letter_ratio"), (F.length(t) - letters - digits - blanks > 0.2 * size, 0.1, "high_special_ratio")]
     pattern = F.greatest(F.lit(0.0), 1.0 - sum((F.when(test, loss).otherwise(0.0) for test, loss, _ in penalties), F.lit(0.0)))
 
-    low = F.lower(t)
-    each = F.greatest(letters, F.lit(1))
-    fit = sum((F.greatest(F.lit(0.0), 1 - 5 * F.abs((F.length(t) - F.length(F.translate(low, c, ""))) / each - share)) for c, share in LETTERS.items()), F.lit(0.0)) / len(LETTERS)
-    vowels = _count(low, "[aeiou]") / each
+    vowels = F.col("_vowels") / each
     odd_vowels = (vowels < 0.2) | (vowels > 0.6)
     language = F.when(letters == 0, 0.3).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fit - F.when(odd_vowels, 0.1).otherwise(0.0))))
 
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    isbn, publisher = t.rlike(r"\b97[89]\d{10}\b|\b\d{9}[\dX]\b"), low.rlike("|".join(PUBLISHERS))
-    gains = [(low.rlike("|".join(BOOK_SIGNS)), 0.1), (capital > 0.5 * n, 0.1), (n.between(2, 8), 0.1), (isbn, 0.15), (publisher, 0.1)]
+    gains = [(F.col("_signs"), 0.1), (capital > 0.5 * n, 0.1), (n.between(2, 8), 0.1), (isbn, 0.15), (publisher, 0.1)]
     book = F.least(F.lit(1.0), 0.5 + sum((F.when(test, gain).otherwise(0.0) for test, gain in gains), F.lit(0.0)))
 
-    bare = F.regexp_replace(t, r"^\s+|\s+$", "")
     short, numeric = F.length(bare) < 3, bare.rlike(r"^\p{N}+$")
     loss = F.when(short, 0.2).otherwise(0.0) + F.when(numeric, 0.1).otherwise(0.0)
     if source is not None:
@@ -142,7 +146,7 @@ def scored(df: DataFrame, text: str, engine: str, source: Column | None = None)
     })
     total = WEIGHTS["engine"] * F.col(engine) + WEIGHTS["pattern"] * F.col("pattern_score") + WEIGHTS["language"] * F.col("language_score") + WEIGHTS["book"] * F.col("book_score") - F.col("_loss")
     final = F.when(F.array_contains("flags", "empty_text"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
-    return df.withColumn("final_confidence", final).drop("_loss")
+    return df.withColumn("final_confidence", final).select(*kept, "pattern_score", "language_score", "book_score", "flags", "final_confidence")
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -154,8 +158,8 @@ def _normalize(s: SparkSession, d: str) -> DataFrame:
 
 
 def _modes(s: SparkSession, d: str) -> DataFrame:
-    rows = normalized(_pairs(s, d).select("sample_id", "truth"), "truth").select("sample_id", "truth", F.col("normalized").alias("plain"))
-    return normalized(rows, "truth", title=True).select("sample_id", "plain", F.col("normalized").alias("title"), author_name(F.col("plain")).alias("author"))
+    rows = normalized(_pairs(s, d).select("sample_id", "truth"), "truth").select("sample_id", F.col("normalized").alias("plain"))
+    return rows.select("sample_id", "plain", F.trim(title_case(F.col("plain"))).alias("title"), author_name(F.col("plain")).alias("author"))
 
 
 def _confidence(s: SparkSession, d: str) -> DataFrame:

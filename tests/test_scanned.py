@@ -77,3 +77,19 @@ def test_author_names(spark):
     names = ["SMITH, JOHN", "ann brown jr", "mc donald, ronald", "o brien", "o'neill, EUGENE, sr", "dr. seuss", "émile zola", "j.r.r. tolkien", "", ",", "3rd man", "a-b c"]
     made = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", author_name(F.col("n")).alias("a")).orderBy("k").collect()
     assert [r.a for r in made] == [plain(n) for n in names]
+
+
+def test_titles_of_long_lines_take_linear_time(spark):
+    """The words of the whole line were split anew for each word."""
+    import time
+
+    rows = spark.createDataFrame([(" ".join(["of", "Mice", "and", "men"] * 15_000),)], "t string")
+    began = time.time()
+    made = rows.select(scanned.title_case(F.col("t"))).first()[0]
+    assert made.split()[:5] == ["Of", "Mice", "and", "Men", "of"] and made.endswith(" Men") and time.time() - began < 30
+
+
+def test_counts_are_worked_out_once(spark):
+    """Each score and flag that used the number of letters listed all letters of the text anew."""
+    plan = scanned.scored(spark.createDataFrame([("The Hobbit", 0.5)], "t string, c double"), "t", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
