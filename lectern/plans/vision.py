@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +58,7 @@ register_sql(
 )
 
 
-# -- greedy steps: boxes of an image in one sorted array, folded by aggregate(); nothing leaves the JVM
+# -- greedy steps: boxes of an image in one sorted array
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -90,16 +94,90 @@ def nms(boxes: DataFrame, most: float = 0.5, inside: float = 0.8) -> DataFrame:
     return rows.select(F.explode(kept).alias("b")).select(*[F.col(f"b.{c}").alias(c) for c in boxes.columns])
 
 
-def candidate_pairs(boxes: DataFrame, same_class: bool = True) -> DataFrame:
-    """(image_id, no, class_name, confidence, box_no, p, truths): all predictions, each with its overlapping truth boxes."""
-    every = Window.partitionBy("image_id").orderBy("box_no", "class_name", "confidence", *[F.col(f"{k}{c}") for k in "pg" for c in ("x1", "y1", "x2", "y2")])
-    boxes = boxes.withColumn("no", F.row_number().over(every).cast("long"))  # repeated rows are boxes of their own
-    p = boxes.select("image_id", F.col("no").alias("row"), "class_name", "confidence", "box_no", F.struct(*[F.col(f"p{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("p"))
-    g = boxes.select(F.col("image_id").alias("g_image"), F.col("class_name").alias("g_class"), F.struct("no", *[F.col(f"g{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("g"))
-    on = (F.col("image_id") == F.col("g_image")) & ((F.col("class_name") == F.col("g_class")) if same_class else F.lit(True))
-    pairs = p.join(g, on & (F.col("p.x1") < F.col("g.x2")) & (F.col("g.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("g.y2")) & (F.col("g.y1") < F.col("p.y2")), "left")
-    pairs = pairs.select("image_id", "row", "class_name", "confidence", "box_no", "p", F.col("g.no").alias("no"), F.when(F.col("g").isNotNull(), iou(F.col("p"), F.col("g"))).alias("iou"))
-    return pairs.groupBy("image_id", "row", "class_name", "confidence", "box_no", "p").agg(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("iou", "no"))).alias("truths"))
+#: What is known of a box inside its image, in the order in which boxes are numbered.
+_BOX = ["box_no", "class_name", "confidence", *[f"{k}{c}" for k in "pg" for c in ("x1", "y1", "x2", "y2")]]
+
+
+def _fold(images: pa.Array, boxes: pa.ListArray, steps: list[float], first_fit: bool, strict: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, matched, iou) of all predictions of whole images: matched and iou have a column for each threshold.
+
+    All images take a step at once: the first prediction of each, then the second, and so on. A step holds the boxes of an
+    image once, so memory grows with the boxes, not with their pairs.
+    """
+    flat = boxes.flatten()
+
+    def number(name: str, missing: float = np.nan) -> np.ndarray:
+        return flat.field(name).cast(pa.float64()).fill_null(missing).to_numpy(zero_copy_only=False)
+
+    sizes = boxes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    total, known = len(flat), flat.field("confidence").is_valid().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    names = flat.field("class_name").to_pylist()
+    code = {c: k for k, c in enumerate(sorted({c for c in names if c is not None}))}
+    kind = np.array([code.get(c, -1) for c in names], dtype=np.int64)
+    p, g = ([number(f"{k}{c}") for c in ("x1", "y1", "x2", "y2")] for k in "pg")
+    areas = [(b[2] - b[0]) * (b[3] - b[1]) for b in (p, g)]
+    down = np.where(known, -number("confidence", 0.0), -np.inf)
+    # by falling confidence, then number, place and class; nulls first; at the end the order of the image
+    order = np.lexsort((kind, number("py1", -np.inf), number("px1", -np.inf), number("box_no", -np.inf), down, known, owner))
+    # an image whose key is null meets nothing
+    keyed = images.is_valid().to_numpy(zero_copy_only=False)
+    taken = np.zeros((len(steps), total), dtype=bool)
+    matched, best = np.zeros((total, len(steps)), dtype=bool), np.zeros((total, len(steps)))
+    for step in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero((sizes > step) & keyed)
+        if not len(live):
+            break
+        n = sizes[live]
+        first = np.cumsum(n) - n
+        truth = np.arange(n.sum()) + np.repeat(starts[live] - first, n)  # the boxes of all live images
+        asked = order[starts[live] + step]
+        row = np.repeat(asked, n)
+        meet = (p[0][row] < g[2][truth]) & (g[0][truth] < p[2][row]) & (p[1][row] < g[3][truth]) & (g[1][truth] < p[3][row])
+        if not first_fit:
+            meet &= (kind[row] == kind[truth]) & (kind[row] >= 0)
+        row, truth = row[meet], truth[meet]
+        if not len(row):
+            continue
+        shared = np.maximum(0.0, np.minimum(p[2][row], g[2][truth]) - np.maximum(p[0][row], g[0][truth])) * np.maximum(0.0, np.minimum(p[3][row], g[3][truth]) - np.maximum(p[1][row], g[1][truth]))
+        union = areas[0][row] + areas[1][truth] - shared
+        iou = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        # candidates of a prediction in the order of choice: the largest overlap, then the least number; or by number
+        choice = np.lexsort((truth, owner[row]) if first_fit else (truth, -iou, owner[row]))
+        row, truth, iou = row[choice], truth[choice], iou[choice]
+        for t, least in enumerate(steps):
+            enough = iou > least if strict else iou >= least
+            free = np.flatnonzero(~taken[t, truth] & enough if first_fit else ~taken[t, truth])
+            who, at = np.unique(row[free], return_index=True)
+            got = free[at]
+            best[who, t] = iou[got]
+            matched[who, t] = enough[got]
+            taken[t, truth[got[enough[got]]]] = True
+    return order, matched, best
+
+
+def matches(boxes: DataFrame, thresholds: list[float], first_fit: bool = False, strict: bool = False) -> DataFrame:
+    """(image_id, box_no, class_name, confidence, matched, ious): lists with an entry for each threshold.
+
+    The boxes of an image come together in one shuffle; numpy matches all images of a batch at once.
+    """
+    types = dict(boxes.dtypes)
+    images = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*_BOX))).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, every = batch.columns
+            if not len(key):
+                continue
+            order, matched, best = _fold(key, every, thresholds, first_fit, strict)
+            flat, owner = every.flatten().take(pa.array(order)), np.repeat(np.arange(len(key)), every.value_lengths().to_numpy(zero_copy_only=False))
+            ends = pa.array(np.arange(len(order) + 1) * len(thresholds), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].ravel())) for x in (matched, best)]
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(owner[order])), *[flat.field(c) for c in ("box_no", "class_name", "confidence")], *lists], names=["image_id", "box_no", "class_name", "confidence", "matched", "ious"])
+
+    columns = ", ".join(f"{c} {types[c]}" for c in ("image_id", "box_no", "class_name", "confidence"))
+    return images.mapInArrow(run, f"{columns}, matched array<boolean>, ious array<double>")
 
 
 def match_detections(boxes: DataFrame, thresholds: list[float] | None = None, first_fit: bool = False, strict: bool = False) -> DataFrame:
@@ -109,41 +187,21 @@ def match_detections(boxes: DataFrame, thresholds: list[float] | None = None, fi
     for more than the threshold. All thresholds are worked out in one pass.
     """
     steps = thresholds or [0.5]
-    prediction = F.struct((-F.col("confidence")).alias("down"), "box_no", F.col("p.x1").alias("x"), F.col("p.y1").alias("y"), "class_name", "confidence", "truths")
-    images = candidate_pairs(boxes, not first_fit).groupBy("image_id").agg(F.sort_array(F.collect_list(prediction)).alias("all"))
-    images = images.withColumn("threshold", F.explode(F.lit(steps)))
-    start = F.expr("named_struct('taken', cast(array() as array<bigint>), 'out', cast(array() as array<struct<box_no: bigint, class_name: string, confidence: double, matched: boolean, iou: double>>))")
-
-    def step(done: Column, d: Column) -> Column:
-        enough = (lambda t: t["iou"] > F.col("threshold")) if strict else (lambda t: t["iou"] >= F.col("threshold"))
-        free = F.filter(d["truths"], lambda t: ~F.array_contains(done["taken"], t["no"]))
-        # the largest overlap, then the least number; or the least number of those that fit
-        if first_fit:
-            choice = F.get(F.array_sort(F.transform(F.filter(free, enough), lambda t: F.struct(t["no"].alias("no"), t["iou"].alias("iou")))), F.lit(0))
-        else:
-            choice = F.transform(F.array(F.array_min(F.transform(free, lambda t: F.struct((-t["iou"]).alias("down"), t["no"].alias("no"), t["iou"].alias("iou"))))), lambda t: F.struct(t["no"].alias("no"), t["iou"].alias("iou")))[0]
-
-        def with_choice(c: Column) -> Column:
-            hit = F.coalesce(enough(c), F.lit(False))
-            row = F.struct(d["box_no"].alias("box_no"), d["class_name"].alias("class_name"), d["confidence"].alias("confidence"), hit.alias("matched"), F.coalesce(c["iou"], F.lit(0.0)).alias("iou"))
-            return F.struct(F.when(hit, F.concat(done["taken"], F.array(c["no"]))).otherwise(done["taken"]).alias("taken"), F.concat(done["out"], F.array(row)).alias("out"))
-
-        return F.transform(F.array(choice), with_choice)[0]
-
-    folded = images.select("image_id", "threshold", F.aggregate("all", start, step, lambda done: done["out"]).alias("out"))
-    found = folded.select("image_id", "threshold", F.inline("out"))
+    found = matches(boxes, steps, first_fit, strict)
     columns = ["image_id", "box_no", "class_name", "confidence", "matched", "iou"]
-    return found.select(*columns, "threshold") if thresholds else found.select(*columns)
+    each = found.select(*columns[:4], F.inline(F.arrays_zip("matched", F.col("ious").alias("iou"), F.lit(steps).alias("threshold"))))
+    return each.select(*columns, "threshold") if thresholds else each.select(*columns)
 
 
-def average_precision(matches: DataFrame, by: list[str], points: int = 101) -> DataFrame:
-    """(by, ap): best precision at each recall level, averaged. One truth box stands behind each row.
+def average_precision(matches: DataFrame, by: list[str], points: int = 101, times: Column | None = None) -> DataFrame:
+    """(by, ap): best precision at each recall level, averaged. One truth box stands behind each row, or as many as times says.
 
     Rows are first counted by confidence, so that only distinct confidences are put in order; rows of one confidence
     enter the curve together.
     """
     order = Window.partitionBy(*by).orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = matches.groupBy(*by, "confidence").agg(F.count_if("matched").alias("hits"), F.count("*").alias("rows"))
+    times = F.lit(1) if times is None else times
+    counted = matches.groupBy(*by, "confidence").agg(F.sum(F.when(F.col("matched"), times).otherwise(0)).alias("hits"), F.sum(times).alias("rows"))
     curve = counted.withColumns({"tp": F.sum("hits").over(order), "n": F.sum("rows").over(order), "truths": F.sum("rows").over(Window.partitionBy(*by))})
     curve = curve.select(*by, (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("truths")).alias("recall"))
     levels = curve.select(*by, "precision", F.floor(F.col("recall") * (points - 1) + 1e-9).cast("int").alias("step")).groupBy(*by, "step").agg(F.max("precision").alias("best"))
@@ -164,7 +222,10 @@ def _two_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_thresholds(boxes: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, map) for each threshold, and one row without threshold: their mean."""
-    each = average_precision(match_detections(boxes, thresholds), ["threshold", "class_name"]).groupBy("threshold").agg(F.avg("ap").alias("map"))
+    # equal predictions are counted before they become a row for each threshold
+    same = matches(boxes, thresholds).groupBy("class_name", "confidence", "matched").agg(F.count("*").alias("times"))
+    rows = same.select("class_name", "confidence", "times", F.inline(F.arrays_zip("matched", F.lit(thresholds).alias("threshold"))))
+    each = average_precision(rows, ["threshold", "class_name"], times=F.col("times")).groupBy("threshold").agg(F.avg("ap").alias("map"))
     return each.groupingSets([["threshold"], []], "threshold").agg(F.round(F.avg("map"), 8).alias("map"))
 
 

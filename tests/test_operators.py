@@ -153,3 +153,13 @@ def test_registered_approximate_search_recalls_nine_tenths(spark, name):
     exact = {(r.query_id, r.vec_id) for r in retrieval.knn(asked, vectors).collect()}
     near = {(r.query_id, r.vec_id) for r in registry.queries()[name](spark, place).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_images_are_matched_as_whole_batches(spark):
+    """No pairs of boxes are shuffled, and nulls and repeated boxes keep their rows."""
+    rows = [(1, 1, "a", 0.9, 0.0, 0.0, 10.0, 10.0, 1.0, 0.0, 11.0, 10.0)] * 2 + [(1, 2, None, None, 0.0, 0.0, 10.0, 10.0, 0.0, 0.0, 10.0, 10.0), (None, 1, "a", 0.5, 0.0, 0.0, 10.0, 10.0, 0.0, 0.0, 10.0, 10.0)]
+    frame = spark.createDataFrame(rows, "image_id long, box_no long, class_name string, confidence double, " + ", ".join(f"{k}{c} double" for k in "gp" for c in ("x1", "y1", "x2", "y2")))
+    made = vision.match_detections(frame)
+    assert sorted((r.box_no, r.class_name or "", r.matched, round(r.iou, 6)) for r in made.collect()) == [(1, "a", False, 0.0), (1, "a", True, 0.818182), (1, "a", True, 0.818182), (2, "", False, 0.0)]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert vision.match_detections(frame.limit(0)).count() == 0
