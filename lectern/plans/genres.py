@@ -1,18 +1,21 @@
 """Genres of books by a taxonomy of keywords: classification, normal names, collection reports, suggestions.
 
-The taxonomy is a parameter (`Taxonomy`); `DEFAULT` has 21 genres. Its keywords stand in the plan as one array, each text is
-filtered against it where the book's row is, and only hits become rows: no table of keywords is joined with the books.
+The taxonomy is a parameter (`Taxonomy`); `DEFAULT` has 21 genres. Its keywords make one pattern, each text is read once for
+all of them where the book's row is, and only hits become rows: no table of keywords is joined with the books.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import adapters
-from lectern.registry import register
+from lectern.registry import dealt_libraries, register
+from lectern.storage import written
 
 # Genres in order, each with its parent, its aliases and its keywords; major genres; fiction and its contrary.
 GENRES: list[tuple[str, str | None, list[str], list[str]]] = [
@@ -47,6 +50,16 @@ SECONDARY, SECONDARIES, FALLBACK = 0.3, 4, ("Fiction", 0.5)
 DOMINANT, DOMINANTS, SAMPLES, SUGGESTED = 0.15, 3, 5, 5
 
 
+def longest(words: list[str]) -> str:
+    """A pattern for the longest of the words that start at a place: their common beginnings are tried once."""
+    ends: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        ends.setdefault(w[:1], []).append(w[1:])
+    tails = [re.escape(first) + longest(rest) for first, rest in ends.items() if first]
+    body = tails[0] if len(tails) == 1 and "" not in ends else f"(?:{'|'.join(tails)})" if tails else ""
+    return body + "?" if tails and "" in ends else body
+
+
 @dataclass(frozen=True)
 class Taxonomy:
     """Genres as (name, parent, aliases, keywords), in order."""
@@ -74,9 +87,17 @@ class Taxonomy:
 
     def hits(self, text: Column) -> Column:
         """Structs (k, n, genre) of the words that the text contains."""
-        every = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(g).alias("genre")) for w, k, n, g in self.words()])
-        # the lower-case text is bound once, not worked out for each word
-        return F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter(every, lambda x: F.contains(low, x["w"]))), F.lit(0))
+        words = self.words()
+        places = {w: k for w, k, _, _ in words}
+        pattern = re.compile(f"(?=({longest(list(places))}))")
+        inside = {w: [k for v, k in places.items() if w.startswith(v)] for w in places}  # the words that start where w does
+
+        @F.pandas_udf("array<int>")
+        def found(low: pd.Series) -> pd.Series:
+            return low.map(lambda t: sorted({k for w in set(pattern.findall(t)) for k in inside[w]}), na_action="ignore")
+
+        each = [F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(g).alias("genre")) for v, k, n, g in words if v == w]) for w in places]
+        return F.flatten(F.transform(found(F.lower(text)), lambda k: F.get(F.array(*each), k)))
 
     def normal(self, raw: Column) -> Column:
         """The genre of a name (as it is written) or an alias (in any case); else null."""
@@ -121,26 +142,41 @@ def labels(classified: DataFrame) -> DataFrame:
     return classified.where((F.col("place") == 1) | ((F.col("place") <= 1 + SECONDARIES) & (F.col("share") > SECONDARY)))
 
 
+def counted(owned: DataFrame, classified: DataFrame, *more: str) -> DataFrame:
+    """(library_id, genre, n, first_book, samples, *more): primary genres of each library; more are columns of classified, of which the greatest counts.
+
+    A group is one run of sorted rows, of which the first takes the samples: no lists are gathered.
+    """
+    mine = owned.join(classified.where("place = 1").select("book_id", "genre", *more), "book_id")
+    rising = Window.partitionBy("library_id", "genre").orderBy("book_id")
+    whole = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = [F.lead("book_id", k).over(rising) for k in range(1, SAMPLES)]
+    rows = mine.select("library_id", "genre", F.col("book_id").alias("first_book"), F.row_number().over(rising).alias("at"), F.count("*").over(whole).alias("n"), F.array("book_id", *following).alias("some"), *[F.max(c).over(whole).alias(c) for c in more])
+    return rows.where("at = 1").select("library_id", "genre", "n", "first_book", F.array_join("some", ",").alias("samples"), *more)
+
+
 def collection(owned: DataFrame, classified: DataFrame) -> DataFrame:
     """(library_id, genre, n, share_pct, r, dominant, samples, fiction_pct, nonfiction_pct): primary genres of each library.
 
     owned is (library_id, book_id). Places go by number, then by the least book; samples are the first five books.
     """
-    mine = owned.join(classified.where("place = 1").select("book_id", "genre"), "book_id")
-    first = Window.partitionBy("library_id", "genre").orderBy("book_id")
-    some = mine.withColumn("at", F.row_number().over(first))
-    grouped = some.groupBy("library_id", "genre").agg(F.count("*").alias("n"), F.min("book_id").alias("first_book"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("at") <= SAMPLES, F.col("book_id")))), ",").alias("samples"))
+    return shares(counted(owned, classified))
+
+
+def shares(grouped: DataFrame) -> DataFrame:
+    """collection() of what counted() gives."""
     library = Window.partitionBy("library_id")
-    total = F.sum("n").over(library)
 
     def side(names: list[str]) -> Column:
         return F.sum(F.when(F.col("genre").isin(names), F.col("n")).otherwise(0)).over(library)
 
-    both = side(FICTION) + side(NONFICTION)
-    r = F.row_number().over(library.orderBy(F.desc("n"), "first_book"))
-    return grouped.select(
-        "library_id", "genre", "n", F.round(100 * F.col("n") / total, 6).alias("share_pct"), r.alias("r"), ((r <= DOMINANTS) & (F.col("n") >= DOMINANT * total)).alias("dominant"), "samples",
-        *[F.when(both > 0, F.round(100 * side(names) / both, 6)).otherwise(0.0).alias(name) for name, names in (("fiction_pct", FICTION), ("nonfiction_pct", NONFICTION))],
+    placed = grouped.select(
+        "library_id", "genre", "n", "samples", F.sum("n").over(library).alias("total"), side(FICTION).alias("fiction"), side(NONFICTION).alias("nonfiction"), F.row_number().over(library.orderBy(F.desc("n"), "first_book")).alias("r")
+    )
+    both = F.col("fiction") + F.col("nonfiction")
+    return placed.select(
+        "library_id", "genre", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("share_pct"), "r", ((F.col("r") <= DOMINANTS) & (F.col("n") >= DOMINANT * F.col("total"))).alias("dominant"), "samples",
+        *[F.when(both > 0, F.round(100 * F.col(name) / both, 6)).otherwise(0.0).alias(f"{name}_pct") for name in ("fiction", "nonfiction")],
     )
 
 
@@ -210,20 +246,20 @@ _REPORT_ORACLE = f"""{_CLASSIFIED_ORACLE}, mine as (select l.library_id, l.book_
 _LIKED = "select distinct l.library_id, c.genre from libraries l join books b on b.book_id = l.book_id and b.rating >= 4 join classified c on c.book_id = l.book_id and c.place = 1"
 
 
-def _report(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found, owned = classify(_books(s, d)), adapters.view(s, d, "libraries").select("library_id", "book_id")
-    return collection(owned, found), found
+def _report(s: SparkSession, d: str) -> DataFrame:
+    return collection(dealt_libraries(s, d), classify(_books(s, d)))
 
 
 def _suggested(s: SparkSession, d: str) -> DataFrame:
-    report, found = _report(s, d)
-    liked = adapters.query(s, d, ["libraries", "books"], "select l.library_id, l.book_id from libraries l join books b on b.book_id = l.book_id where b.rating >= 4").join(found.where("place = 1").select("book_id", "genre"), "book_id")
-    return suggest(report, liked)
+    """What a library likes are genres of its books of four stars or more, so it is seen where the genres are counted."""
+    stars = adapters.query(s, d, ["books"], "select book_id, max(rating) >= 4 as liked from books group by book_id")
+    grouped = written(counted(dealt_libraries(s, d), classify(_books(s, d)).where("place = 1").join(stars, "book_id"), "liked"), "genres")
+    return suggest(shares(grouped), grouped.where("liked").select("library_id", "genre"))
 
 
 register("genre_classify", lambda s, d: labels(classify(_books(s, d))).select("book_id", "genre", F.round("share", 6).alias("share"), "place"), ["books"], f"with {_CLASSIFIED_ORACLE} select book_id, genre, round(share, 6) as share, place from classified where place = 1 or (place <= 5 and share > 0.3)")
 register("genre_normalize", lambda s, d: _books(s, d).select("book_id", F.explode("genres").alias("raw")).withColumn("genre", DEFAULT.normal(F.col("raw"))).withColumn("parent", DEFAULT.parent(F.col("genre"))), ["books"], f"with {_CLASSIFIED_ORACLE} select t.book_id, t.text as raw, t.normal as genre, x.parent from told t left join tree x on x.genre = t.normal where t.given")
-register("genre_collection_report", lambda s, d: _report(s, d)[0], ["books", "libraries"], f"with {_REPORT_ORACLE} select * from report")
+register("genre_collection_report", _report, ["books", "libraries"], f"with {_REPORT_ORACLE} select * from report")
 register(
     "suggest_genres", _suggested, ["books", "libraries"],
     f"""with {_REPORT_ORACLE}, liked as ({_LIKED}), major(genre, ord) as (values {_values([(g, i) for i, g in enumerate(MAJOR)])}), libs as (select distinct library_id from report),
