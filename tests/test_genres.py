@@ -1,5 +1,6 @@
 """Genre classification, reports and suggestions against plain Python."""
 
+import re
 from collections import Counter
 
 from lectern.plans import genres as G
@@ -90,3 +91,15 @@ def test_reports_and_suggestions(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "book_id long, title string, description string, subjects array<string>, genres array<string>")
     assert G.classify(none).count() == 0
+
+
+def test_texts_are_read_once_and_no_lists_are_gathered(spark):
+    words = sorted({w for w, *_ in G.DEFAULT.words()}) + ["a", "ab", "abc", "b c", "b.c"]
+    pattern = re.compile(f"(?=({G.longest(words)}))")
+    for text in ["abcd b c bxc b.c", "awarriors", "civil wars of the scifi science fiction", "eras", "", *words]:
+        assert {v for w in pattern.findall(text) for v in words if w.startswith(v)} == {w for w in words if w in text}, text
+    books = spark.createDataFrame([(*b, "clash") for b in BOOKS], "book_id long, title string, description string, subjects array<string>, genres array<string>, score string")
+    found = G.classify(books)
+    owned = spark.createDataFrame([(1, 2)], "library_id long, book_id long")
+    plan = G.collection(owned, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "contains(" not in plan.lower()

@@ -180,3 +180,19 @@ def test_equal_texts_are_scored_once(spark, monkeypatch):
     monkeypatch.setattr(sparse, "bm25", lambda q, d, k: sizes.extend([q.count(), d.count()]) or search(q, d, k))
     assert sorted(map(tuple, sparse.bm25_repeated(queries, docs, 7).select("query_id", "doc_id", "score", "place").collect())) == plain
     assert max(sizes) <= len(texts)
+
+
+def test_ivf_in_blocks_of_few_rows(spark, monkeypatch):
+    """Clusters learned from some vectors, dealt over many blocks: with all clusters probed the search is exact, and nulls match nothing."""
+    monkeypatch.setattr(retrieval, "FITTED", 100)
+    monkeypatch.setattr(retrieval, "VECTORS", 64)
+    monkeypatch.setattr(retrieval, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(300)] + [(300 + k, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for k in range(200)] + [(500, None), (501, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    found = retrieval.knn_ivf(queries, vectors, clusters=7, probe=7)
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.knn(queries, vectors).collect()))
+    part = retrieval.knn_ivf(queries, vectors, clusters=7, probe=2).groupBy("query_id").count().collect()
+    assert len(part) == 50 and retrieval.knn_ivf(queries, vectors.limit(0)).count() == 0
