@@ -304,6 +304,32 @@ def test_signature_meets_near_copies_without_words(spark, letters):
     assert len(wanted) == 25 and found == wanted
 
 
+def test_lines_need_no_python_on_executors(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    def refused(*_, **__):
+        raise AssertionError("Python on executors")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", refused)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", refused)
+    rows = table(spark, ["=" * 400, "=" * 401, "a line that stands alone", "phrase " * 90, "phrase " * 200])
+    found = {r.doc_id: r.n_removed for r in linededup.dedup_lines(rows).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    from lectern.llm import components
+
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges, total: rounds.append(total) or star(edges, total))
+    edges = spark.createDataFrame([(1, 2), (3, 1), (5, 9)], "a long, b long")
+    assert sorted(tuple(r) for r in components.components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)]
+    assert rounds == []
+    chain = spark.range(40).select((components.F.col("id") + 1).alias("a"), components.F.col("id").alias("b"))
+    assert {r.component for r in components.components(chain).collect()} == {0} and rounds
+
+
 def test_awkward_lines(spark):
     """Long lines, repeated and null ids, clashing names, one line in most rows."""
     long = "".join(chr(97 + k * k % 23) + str(k) for k in range(20_000))
