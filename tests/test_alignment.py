@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from lectern import registry
 from lectern.plans import alignment, text
 from lectern.plans.alignment import distance, replaced
 
@@ -121,3 +122,11 @@ def test_ratios_of_long_lines():
     began = time.time()
     assert 0 < alignment.ratio(a, b) < 1 and 0 < alignment.ratio(*(" ".join(sorted(x.split())) for x in (a, b))) < 1
     assert time.time() - began < 30
+
+
+def test_ratios_of_blank_lines(spark, tmp_path):
+    """A blank line made a division of 0 by 0."""
+    spark.createDataFrame([(0, "a word\n\nlion"), (1, ""), (2, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.sample_id: (r.ratio, r.token_sort_ratio, r.partial_ratio) for r in registry.queries()["fuzzy_ratio_cols"](spark, str(tmp_path)).collect()}
+    assert set(found) == {0, 1, 2, 100_000}
+    assert found[1] == found[100_000] == (1.0, 1.0, 0.0) and found[0][2] == 0.0
