@@ -1,6 +1,6 @@
 """Joins, merges, deduplication, upserts and window reports over the book views."""
 
-from lectern.registry import register_by_library, register_dialects, register_sql
+from lectern.registry import by_library, dialect, register, register_by_library, register_dialects, register_sql
 
 register_sql("enrich_join", ["books", "libraries"], "select l.library_id, l.book_id, b.title, b.author, b.publication_year from libraries l join books b on b.book_id = l.book_id where not b.is_deleted")
 
@@ -56,13 +56,25 @@ register_sql(
             best as (select *, row_number() over (partition by response_id, cited_title order by tier, place) as r from pairs where tier < 9)
        select response_id, cited_title, book_id, tier from best where r = 1""",
 )
-register_by_library(
+#: Books of a library that meet in one task: a larger library is cut in blocks, and each two of its blocks meet somewhere.
+BLOCK = 1024
+_LIKENESS = "round((case when a.author = b.author then 0.5 else 0 end) + 0.3 * $SIZE($MEET(a.genres, b.genres)) / greatest($SIZE(a.genres), $SIZE(b.genres)) + (case when abs(a.publication_year - b.publication_year) <= 5 then 0.2 else 0 end), 6) as similarity"
+_PAIRED = f"select a.library_id, a.book_id as book_a, b.book_id as book_b, {_LIKENESS}"
+_MEET = {"MEET": ("array_intersect", "list_intersect")}
+_BLOCKS = f"""with sizes as (select library_id, cast(ceil(count(*) / $BLOCK) as int) as blocks from owned group by library_id),
+            books_of as (select o.library_id, o.book_id, o.author, o.genres, o.publication_year, s.blocks from owned o join sizes s on s.library_id = o.library_id),
+            small as (select * from books_of where blocks = 1),
+            large as (select /*+ REPARTITION(PARTS, library_id, book_id) */ *, cast(pmod(xxhash64(book_id), blocks) as int) as block from books_of where blocks > 1),
+            sides as (select *, explode(sequence(0, blocks - 1)) as other from large),
+            cells as (select /*+ REPARTITION(PARTS, library_id, low, high) */ library_id, book_id, author, genres, publication_year, block, least(block, other) as low, greatest(block, other) as high from sides)
+       {_PAIRED} from small a join small b on a.library_id = b.library_id and a.book_id < b.book_id
+       union all
+       {_PAIRED} from cells a join cells b on a.library_id = b.library_id and a.low = b.low and a.high = b.high and a.book_id < b.book_id and least(a.block, b.block) = a.low and greatest(a.block, b.block) = a.high"""
+register(
     "feature_similarity_join",
-    """with few as (select library_id, book_id, author, genres, publication_year, row_number() over (partition by library_id order by book_id) as place from owned)
-       select a.library_id, a.book_id as book_a, b.book_id as book_b,
-              round((case when a.author = b.author then 0.5 else 0 end) + 0.3 * $SIZE($MEET(a.genres, b.genres)) / greatest($SIZE(a.genres), $SIZE(b.genres)) + (case when abs(a.publication_year - b.publication_year) <= 5 then 0.2 else 0 end), 6) as similarity
-       from few a join few b on a.library_id = b.library_id and a.book_id < b.book_id where a.place <= 10 and b.place <= 10""",
-    MEET=("array_intersect", "list_intersect"),
+    lambda s, d: by_library(s, d, dialect(_BLOCKS.replace("$BLOCK", str(BLOCK)), 0, **_MEET)),
+    ["owned"],
+    dialect(f"{_PAIRED} from owned a join owned b on a.library_id = b.library_id and a.book_id < b.book_id", 1, **_MEET),
 )
 
 # -- windows
