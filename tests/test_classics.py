@@ -10,6 +10,10 @@ WANTED = {
         (1, 4, None, "ring", 0.7, 1), (1, None, "Dune by Frank Herbert", "ring", 0.85, 2), (1, None, "1984 by George Orwell", "ring", 0.85, 3), (1, None, "Foundation by Isaac Asimov", "ring", 0.85, 4),
         (2, None, "The Lord of the Rings by J.R.R. Tolkien", "bolt", 0.85, 1), (2, None, "A Wizard of Earthsea by Ursula K. Le Guin", "bolt", 0.85, 2),
     },
+    "recommend_explore": {
+        (1, 5, None, "bolt", 0.5, 1), (1, None, "Murder on the Orient Express by Agatha Christie", "gear", 0.6, 2), (1, None, "The Great Gatsby by F. Scott Fitzgerald", "plate", 0.6, 3), (1, None, "A Wizard of Earthsea by Ursula K. Le Guin", "bolt", 0.55, 4),
+        (2, 4, None, "ring", 0.5, 1), (2, None, "The Maltese Falcon by Dashiell Hammett", "gear", 0.6, 2), (2, None, "To Kill a Mockingbird by Harper Lee", "plate", 0.6, 3), (2, None, "Foundation by Isaac Asimov", "ring", 0.55, 4),
+    },
 }
 
 
